@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and may have ORACLE_SQL.
-MODULES = ("quality", "bpe_tree", "packing", "simhash")
+MODULES = ("quality", "bpe_tree", "packing", "simhash", "toxicity")
 
 
 def _collect(name: str) -> dict:
