@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and may have ORACLE_SQL.
-MODULES = ("quality", "ngram_bloom", "bpe_tree", "simhash", "toxicity", "packing")
+MODULES = ("quality", "ngram_bloom", "minhash", "bpe_tree", "simhash", "toxicity", "packing")
 
 
 def _collect(name: str) -> dict:
