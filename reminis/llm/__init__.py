@@ -5,7 +5,9 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and may have ORACLE_SQL.
-MODULES = ("quality", "ngram_bloom", "minhash", "bpe_tree", "simhash", "toxicity", "media", "packing")
+MODULES = (
+    "url_rules", "quality", "ngram_bloom", "minhash", "bpe_tree", "simhash", "perspectives", "toxicity", "media", "packing",
+)
 
 
 def _collect(name: str) -> dict:
