@@ -15,8 +15,8 @@ that would need more bits gets a higher chance of false positives, 0.6185 ** (bi
 The model: p(w | v) = (c(v w) + MU p(w)) / (c(v) + MU), with p(w) = (c(w) + 1) / (N + V + 1), by probed counts.
 
 The base score needs exact counts of all tokens. Tokens with N / HOT occurrences or more are at most HOT many,
-whatever the corpus; they are broadcast. All others are looked up where their range of the vocabulary lies and
-their sums come back by row.
+whatever the corpus; they are broadcast. All others are looked up where their range of the vocabulary lies, and
+their sums come back to the few megabytes of documents they were asked for.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are scored and counted as often as
 they stand; a null id is in no held-out fold; without training texts every base score is zero; an empty table
@@ -35,15 +35,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashTable, blocks, byte_hashes, held_out, materialize, mix64, read_table, utf8_of, words_of
+from .common import BLOCK_BYTES, LOWER, HashTable, blocks, byte_hashes, held_out, materialize, mix64, read_table, utf8_of, words_of
 
 MIN_COUNT = 2
 BASE = 1.5
 PROBES = 3
 MU = 20.0
 HOT = 1 << 20
-RANGE_BYTES = 16 << 20
-COLD = 8  # ranges that are joined together for the base score
+RANGE_BYTES = 8 << 20
+FLUSH_TOKENS = 1 << 20  # a task passes its counts on after so many
+COLD = 16  # ranges that are joined together for the base score
 MAX_FILTER_BYTES = 256 << 20
 BEGIN, END = np.uint64(0x9216D5D98979FB1B), np.uint64(0xD1310BA698DFB5AC)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -104,17 +105,12 @@ def count_ngrams(texts: DataFrame, ranges: int) -> DataFrame:
     the filter, and for tokens all keys with their counts."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8_of(batch.column(0))
-            found: tuple[list, list] = ([], [])
-            for a, b in blocks(data, offsets):
-                tokens, row = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                found[0].append(tokens)
-                found[1].append(pair_hashes(before(tokens, row), tokens))
+        found: tuple[list, list] = ([], [])
+
+        def counted() -> Iterator[pa.RecordBatch]:
             for kind in (1, 2):
-                if not found[kind - 1]:
-                    continue
                 keys, counts = np.unique(np.concatenate(found[kind - 1]), return_counts=True)
+                found[kind - 1].clear()
                 cuts = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
                 use = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
                 yield pa.RecordBatch.from_arrays(
@@ -127,6 +123,17 @@ def count_ngrams(texts: DataFrame, ranges: int) -> DataFrame:
                     names=["kind", "r", "keys", "counts"],
                 )
 
+        for batch in batches:
+            data, offsets = utf8_of(batch.column(0))
+            for a, b in blocks(data, offsets):
+                tokens, row = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                found[0].append(tokens)
+                found[1].append(pair_hashes(before(tokens, row), tokens))
+                if sum(map(len, found[0])) >= FLUSH_TOKENS:
+                    yield from counted()
+        if found[0]:
+            yield from counted()
+
     def merge(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         kind, r = key
         keys = np.concatenate([_unpack(x, kind) for x in rows["keys"]])
@@ -272,29 +279,28 @@ def score(docs: DataFrame, model: NgramModel, table: DataFrame, ranges: int) ->
     cold = max(1, ranges // COLD)
 
     def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, number = shared.value.ready(), TaskContext.get().partitionId() << 40
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
-        names = ["row", "doc_id", "n_tokens", "n_known", "logs", "score", "c", "keys", "rows"]
+        own, unit = shared.value.ready(), TaskContext.get().partitionId() << 32
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32(), pa.binary(), pa.binary())
+        names = ["unit", "i", "doc_id", "n_tokens", "n_known", "logs", "score", "c", "keys", "rows"]
         for batch in batches:
             data, offsets = utf8_of(batch.column(1))
-            far: list[tuple[np.ndarray, np.ndarray]] = []
-            for a, b in blocks(data, offsets):
-                tokens, row = tokens_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                at = own.hot.find(tokens)
-                known = at >= 0
-                logs = np.bincount(row[known], np.log10(own.hot_counts[at[known]] + 1), minlength=b - a)
-                far.append((tokens[~known], number + a + row[~known]))
-                n = b - a
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(number + np.arange(a, b)), batch.column(0).slice(a, n), pa.array(np.bincount(row, minlength=n)),
-                        pa.array(np.bincount(row[known], minlength=n)), pa.array(logs), pa.array(own.score(tokens, row, n)),
-                        *(pa.nulls(n, k) for k in kinds[6:]),
-                    ],
-                    names=names,
-                )
-            number += len(batch)
-            if far:
+            for a, b in blocks(data, offsets, 4 * BLOCK_BYTES):
+                far, n = [], b - a
+                for x, y in blocks(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]):
+                    x, y = a + x, a + y
+                    tokens, row = tokens_of(data[offsets[x] : offsets[y]], offsets[x : y + 1] - offsets[x])
+                    at = own.hot.find(tokens)
+                    known = at >= 0
+                    logs = np.bincount(row[known], np.log10(own.hot_counts[at[known]] + 1), minlength=y - x)
+                    far.append((tokens[~known], (x - a + row[~known]).astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(y - x, unit)), pa.array(np.arange(x - a, y - a, dtype=np.int32)), batch.column(0).slice(x, y - x),
+                            pa.array(np.bincount(row, minlength=y - x)), pa.array(np.bincount(row[known], minlength=y - x)), pa.array(logs),
+                            pa.array(own.score(tokens, row, y - x)), *(pa.nulls(y - x, k) for k in kinds[7:]),
+                        ],
+                        names=names,
+                    )
                 keys, of = (np.concatenate(x) for x in zip(*far))
                 part = range_of(keys, cold)
                 order = np.argsort(part, kind="stable")
@@ -302,42 +308,56 @@ def score(docs: DataFrame, model: NgramModel, table: DataFrame, ranges: int) ->
                 use = [c for c in range(cold) if cuts[c + 1] > cuts[c]]
                 yield pa.RecordBatch.from_arrays(
                     [
-                        *(pa.nulls(len(use), k) for k in kinds[:6]), pa.array(use, pa.int32()),
+                        pa.array(np.full(len(use), unit)), *(pa.nulls(len(use), k) for k in kinds[1:7]), pa.array(use, pa.int32()),
                         pa.array([keys[cuts[c] : cuts[c + 1]].tobytes() for c in use], pa.binary()),
                         pa.array([of[cuts[c] : cuts[c + 1]].tobytes() for c in use], pa.binary()),
                     ],
                     names=names,
                 )
+                unit += 1
 
-    schema = "row long, doc_id long, n_tokens long, n_known long, logs double, score double, c int, keys binary, rows binary"
+    schema = "unit long, i int, doc_id long, n_tokens long, n_known long, logs double, score double, c int, keys binary, rows binary"
     parts = materialize(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows_of, schema), "scored")
 
     def look_up(key: tuple, asked: pd.DataFrame, vocabulary: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame({"row": np.zeros(0, np.int64), "n_known": np.zeros(0, np.int64), "logs": np.zeros(0)})
-        if not len(asked) or not len(vocabulary):
-            return out
-        keys = np.concatenate([np.frombuffer(x, "<u8") for x in asked["keys"]])
-        rows = np.concatenate([np.frombuffer(x, "<i8") for x in asked["rows"]])
-        words = np.concatenate([np.frombuffer(x, "<u8") for x in vocabulary["all_keys"]])
-        counts = np.concatenate([np.frombuffer(x, "<u8") for x in vocabulary["counts"]])
-        order = np.argsort(words)
-        words, counts = words[order], counts[order]
-        at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
-        there = words[at] == keys
-        found, of = np.unique(rows[there], return_inverse=True)
-        logs = np.log10(counts[at[there]].astype(np.float64) + 1)
-        return pd.DataFrame({"row": found, "n_known": np.bincount(of, minlength=len(found)), "logs": np.bincount(of, logs, minlength=len(found))})
-
-    asked = parts.where("c is not null").select("c", "keys", "rows").groupBy("c")
+        """For each array of tokens: the documents with known ones, how many, and the sum of their logarithms."""
+        out: dict[str, list] = {"unit": [], "rows": [], "n_known": [], "logs": []}
+        if len(asked) and len(vocabulary):
+            words = np.concatenate([np.frombuffer(x, "<u8") for x in vocabulary["all_keys"]])
+            counts = np.concatenate([np.frombuffer(x, "<u8") for x in vocabulary["counts"]])
+            order = np.argsort(words)
+            words, counts = words[order], counts[order]
+            for unit, keys, rows in zip(asked["unit"], asked["keys"], asked["rows"]):
+                keys = np.frombuffer(keys, "<u8")
+                at = np.minimum(np.searchsorted(words, keys), len(words) - 1)
+                there = words[at] == keys
+                found, of = np.unique(np.frombuffer(rows, "<i4")[there], return_inverse=True)
+                logs = np.bincount(of, np.log10(counts[at[there]].astype(np.float64) + 1), minlength=len(found))
+                out["unit"].append(unit)
+                out["rows"].append(found.astype("<i4").tobytes())
+                out["n_known"].append(np.bincount(of, minlength=len(found)).astype("<i4").tobytes())
+                out["logs"].append(logs.astype("<f8").tobytes())
+        return pd.DataFrame(out)
+
+    def add_up(key: tuple, rows: pd.DataFrame, more: pd.DataFrame) -> pd.DataFrame:
+        """The documents of a unit with what look-ups found for them."""
+        known, logs = np.zeros(len(rows), np.int64), np.zeros(len(rows))
+        for found, n, value in zip(more["rows"], more["n_known"], more["logs"]):
+            found = np.frombuffer(found, "<i4")
+            known[found] += np.frombuffer(n, "<i4")
+            logs[found] += np.frombuffer(value, "<f8")
+        at = rows["i"].to_numpy()
+        return rows.drop(columns="i").assign(n_known=rows["n_known"].to_numpy() + known[at], logs=rows["logs"].to_numpy() + logs[at])
+
+    asked = parts.where("c is not null").select("unit", "c", "keys", "rows").groupBy("c")
     words = table.where("kind = 1").select(F.floor(F.col("r") * cold / ranges).cast("int").alias("c"), "all_keys", "counts").groupBy("c")
-    rest = asked.cogroup(words).applyInPandas(look_up, "row long, n_known long, logs double")
-    own = parts.where("c is null").select("row", "doc_id", "n_tokens", "n_known", "logs", "score")
-    empty = [F.lit(None).cast(own.schema[x].dataType).alias(x) for x in ("doc_id", "n_tokens", "score")]
-    both = own.unionByName(rest.select("row", "n_known", "logs", *empty))
-    summed = both.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), F.sum("n_known").alias("n_known"),
-        F.sum("logs").alias("logs"), F.max("score").alias("score"),
-    )
+    rest = asked.cogroup(words).applyInPandas(look_up, "unit long, rows binary, n_known binary, logs binary")
+    own = parts.where("c is null").select("unit", "i", "doc_id", "n_tokens", "n_known", "logs", "score")
+    # doc_id as text: pandas has no null integers
+    own = own.withColumn("doc_id", F.col("doc_id").cast("string"))
+    summed = own.groupBy("unit").cogroup(rest.groupBy("unit")).applyInPandas(
+        add_up, "unit long, doc_id string, n_tokens long, n_known long, logs double, score double"
+    ).withColumn("doc_id", F.col("doc_id").cast("long"))
     each = F.lit(float(np.log10(model.total + model.types + 1)))
     return summed.select(
         "doc_id", "n_tokens", "n_known", F.lit(model.total).cast("long").alias("train_tokens"),
