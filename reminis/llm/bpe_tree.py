@@ -83,6 +83,8 @@ class TreeEncoder:
 
     def join(self, text: str, left: Element, right: Element, boundary: int, end: int) -> Element:
         """The element of the stretch that ``left`` (up to ``boundary``) and ``right`` (up to ``end``) make."""
+        if not len(left[0]) or not len(right[0]):  # the empty stretch is the identity
+            return right if len(right[0]) else left
         starts = left[0]
         keep = max(0, int(np.searchsorted(starts, boundary - LOOK, "right")) - 1)  # those before it end in time
         begin = int(starts[keep])
