@@ -18,6 +18,7 @@ members and no rows; other columns are not read.
 
 from __future__ import annotations
 
+import io
 import json
 import struct
 import uuid
@@ -192,7 +193,9 @@ class ArchiveReader(DataSourceReader):
         files, root = fs.FileSystem.from_uri(self.path)
         path = f"{root}/{partition.name}"
         with files.open_input_file(path) as source:
-            with zipfile.ZipFile(source) as archive:
+            # the directory's search steps back from the end, further than a tiny archive goes
+            whole = io.BytesIO(source.read_at(source.size(), 0)) if source.size() < 1 << 16 else source
+            with zipfile.ZipFile(whole) as archive:
                 members = sorted(archive.infolist(), key=lambda m: m.header_offset)
                 ends = [*(m.header_offset for m in members[1:]), archive.start_dir]
             mine = [(m, end) for m, end in zip(members, ends) if partition.begin <= m.header_offset < partition.end]
