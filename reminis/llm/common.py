@@ -8,9 +8,10 @@ small whatever the batch size. A single text is never cut: memory grows with the
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -75,6 +76,20 @@ def bounded_sample(df: DataFrame, by: str, rows: int) -> DataFrame:
     return df.orderBy(F.xxhash64(by), by).limit(rows)
 
 
+def fit_in_task(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:
+    """``fit`` of the texts and labels of a bounded sample (doc_id, text, label), run in one task: neither the
+    driver's memory nor its time is spent on it, and a lost executor repeats it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [x for b in batches for x in zip(*(c.to_pylist() for c in b.columns))]
+        found.sort(key=lambda x: (x[0], x[1] or ""))
+        model = fit([x[1] or "" for x in found], np.array([x[2] for x in found], np.int64))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    made = rows.select(F.col("doc_id").cast("long"), "text", F.col("label").cast("int")).repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(made.model) if made else fit([], np.zeros(0, np.int64))
+
+
 # --- texts as arrays -------------------------------------------------------------------------------------
 
 
@@ -167,7 +182,16 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    return span_hashes(_byte_values()[data], starts, stops)
+    """Hashes of spans of bytes; their starts do not decrease. Long arrays are hashed block by block."""
+    if len(data) <= 2 * BLOCK_BYTES:
+        return span_hashes(_byte_values()[data], starts, stops)
+    cuts = np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts))
+    out = np.empty(len(starts), np.uint64)
+    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        if j > i:
+            low, high = int(starts[i]), int(stops[i:j].max())
+            out[i:j] = span_hashes(_byte_values()[data[low:high]], starts[i:j] - low, stops[i:j] - low)
+    return out
 
 
 class HashTable:

@@ -6,7 +6,7 @@ in numpy. Because the output layer is linear in the average, a fitted model is k
 (the difference of the two classes' logits), which scores a document by a mean of look-ups.
 
 The fit takes at most ``max_rows`` labelled documents, those with the smallest hashes of their ids: a bounded
-sample, gathered on the driver. Scoring covers all rows and whole texts; no row meets another, so there is no
+sample, gathered in one task. Scoring covers all rows and whole texts; no row meets another, so there is no
 shuffle.
 
 Defined cases: a text without words (null, empty) scores by the output layer's bias alone; without labelled
@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, LOWER, blocks, bounded_sample, byte_hashes, held_out, mix64, read_table, utf8_of, words_of
+from .common import SPACE, LOWER, blocks, bounded_sample, byte_hashes, fit_in_task, held_out, mix64, read_table, utf8_of, words_of
 
 BUCKETS = 1 << 18
 WIDTH = 16
 EPOCHS = 6
 RATE = 0.5
-MAX_ROWS = 6000
+MAX_ROWS = 3000
 GRAMS = (3, 4, 5)
 REPEATED = np.uint64(0x5851F42D4C957F2D)
 
@@ -91,7 +91,7 @@ class SubwordClassifier:
             ends = np.searchsorted(pairs // self.buckets, np.arange(b - a + 1))
             for x, y in zip(ends[:-1], ends[1:]):
                 n = counts[x:y].astype(np.float32)
-                bags.append((pairs[x:y] % self.buckets, n / max(1.0, float(n.sum()))))
+                bags.append(((pairs[x:y] % self.buckets).astype(np.int32), n / np.float32(max(1.0, float(n.sum())))))
         random = np.random.default_rng(self.seed)
         vectors = random.uniform(-1 / self.width, 1 / self.width, (self.buckets, self.width)).astype(np.float32)
         output, bias = np.zeros((self.width, 2), np.float32), np.zeros(2, np.float32)
@@ -124,12 +124,6 @@ class SubwordClassifier:
         return np.bincount(row, self.weight[bucket], minlength=rows) / np.maximum(n, 1) + self.bias
 
 
-def fit(labelled: DataFrame, max_rows: int = MAX_ROWS, **options) -> SubwordClassifier:
-    """From rows doc_id, text, label (0 or 1); of more than ``max_rows`` a fixed sample."""
-    rows = bounded_sample(labelled.where("label is not null").select("doc_id", "text", "label"), "doc_id", max_rows).collect()
-    return SubwordClassifier(**options).fit([r.text or "" for r in rows], np.array([r.label for r in rows], np.int64))
-
-
 def score(docs: DataFrame, model: SubwordClassifier, column: str = "score") -> DataFrame:
     """``docs`` with the probability of class 1 of each text."""
     shared = docs.sparkSession.sparkContext.broadcast((model.weight, model.bias, model.buckets))
@@ -151,24 +145,13 @@ def score(docs: DataFrame, model: SubwordClassifier, column: str = "score") -> D
     return docs.mapInArrow(compute, schema)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, label: str, divisor: int, remainder: int) -> DataFrame:
-    """doc_id, text, label of the labelled documents outside the held-out fold. The labels' ids alone are
-    shuffled if they are too many to broadcast."""
-    known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("id_"), F.col(label).cast("int").alias("label"))
-    known = known.where(~held_out("id_", divisor, remainder))
-    return docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
-
-
-def sampled_labels(labels: DataFrame, label: str, divisor: int, remainder: int, rows: int) -> DataFrame:
-    """At most ``rows`` labels outside the held-out fold, by the smallest hashes of their ids."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id", divisor, remainder))
-    return bounded_sample(known.select("doc_id", label), "doc_id", rows)
-
-
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> SubwordClassifier:
-    """The model of this corpus: labels are sampled first, so that few texts are joined (by broadcast)."""
-    sample = sampled_labels(labels, "quality", 3, 1, max_rows)
-    return fit(training_rows(docs, F.broadcast(sample), "quality", 3, 1), max_rows)
+    """The model of this corpus: labels are sampled first, so that few texts are joined (by broadcast of at most
+    ``max_rows`` ids)."""
+    known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id", 3, 1))
+    sample = bounded_sample(known.select(F.col("doc_id").alias("id_"), F.col("quality").alias("label")), "id_", max_rows)
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
+    return fit_in_task(rows, lambda texts, found: SubwordClassifier().fit(texts, found))
 
 
 def op2_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ added up and divided by the number of words. A logistic curve over its square ro
 counted half did not hold, makes it a probability under the labels' class shares.
 
 The fit takes at most ``max_rows`` labelled documents of each class (those with the smallest hashes of their
-ids), gathered on the driver. Scoring covers all rows and whole texts, without a shuffle: a worker scores each
+ids), gathered in one task. Scoring covers all rows and whole texts, without a shuffle: a worker scores each
 distinct word once and keeps at most ``KEPT`` of them.
 
 Defined cases: a text without words (null, empty) has no evidence and scores by the curve at zero; without
@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, HashTable, blocks, bounded_sample, byte_hashes, held_out, read_table, utf8_of, words_of
+from .common import LOWER, HashTable, blocks, bounded_sample, byte_hashes, fit_in_task, held_out, read_table, utf8_of, words_of
 
 ORDER = 7
 DISCOUNT = 0.75
 BACKOFF = 30.0
 SHARED = 2
 MARGIN = 2.0
-MAX_ROWS = 2000
+MAX_ROWS = 800
 KEPT = 1 << 20
 
 #: Bytes that stand between words: all of ASCII but letters and digits.
@@ -237,10 +237,9 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Toxi
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     sample = bounded_sample(known.where("label = 1"), "doc_id", max_rows).union(bounded_sample(known.where("label = 0"), "doc_id", max_rows))
     sample = sample.withColumnRenamed("doc_id", "id_")
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label").collect()
-    rows.sort(key=lambda r: (r.doc_id, r.text or ""))
+    rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
     share = shares.get(1, 0) / max(1, shares.get(0, 0) + shares.get(1, 0))
-    return ToxicityModel().fit([r.text or "" for r in rows], np.array([r.label for r in rows], np.int64), share)
+    return fit_in_task(rows, lambda texts, found: ToxicityModel().fit(texts, found, share))
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
