@@ -14,14 +14,14 @@ from pyspark.sql import functions as F
 def ranked(df: DataFrame, keys: list[str], buckets: dict[str, Column], order: list[Column], name: str) -> DataFrame:
     """``df`` with a 1-based row number among the rows of equal ``keys``. ``buckets`` are columns that come in
     descending order before ``order``; nulls are not allowed in them."""
-    named = df.withColumns(buckets)
     parts = [*keys, *buckets]
-    sizes = named.groupBy(*parts).agg(F.count(F.lit(1)).alias("__n"))
+    within = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
+    numbered = df.withColumns(buckets).withColumn("__nth", within)
+    # Both uses of the numbered rows read one exchange, so rows are made and shuffled once.
+    sizes = numbered.groupBy(*parts).agg(F.max("__nth").alias("__n"))
     earlier = Window.partitionBy(*keys).orderBy(*[F.desc(b) for b in buckets]).rowsBetween(Window.unboundedPreceding, -1)
     bases = sizes.select(*parts, F.coalesce(F.sum("__n").over(earlier), F.lit(0)).alias("__base"))
-    within = F.row_number().over(Window.partitionBy(*parts).orderBy(*order))
-    placed = named.withColumn("__nth", within).join(bases, parts)
-    return placed.withColumn(name, (F.col("__base") + F.col("__nth")).cast("long")).drop("__base", "__nth", *buckets)
+    return numbered.join(bases, parts).withColumn(name, (F.col("__base") + F.col("__nth")).cast("long")).drop("__base", "__nth", *buckets)
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], k: int | Column, name: str) -> DataFrame:

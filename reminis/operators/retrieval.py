@@ -68,32 +68,51 @@ def inverse_frequency(hits: DataFrame, stats: DataFrame) -> DataFrame:
     return df.join(stats, "user_id").select("user_id", "term", "df", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"), "avgdl")
 
 
-def bm25_hits(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
-    """query_id, user_id, fact_id, bm25 of facts with a queried term."""
-    terms = query_terms(queries)
-    hits = term_hits(docs, terms, bounded)
-    idf = inverse_frequency(hits, corpus_stats(docs))
-    tf = F.col("tf").cast("double")
-    part = F.col("qtf") * F.col("idf") * (tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
-    scored = hits.join(small(terms.join(idf, ["user_id", "term"]), bounded), ["user_id", "term"])
-    return scored.groupBy("query_id", "user_id", "fact_id").agg(F.round(F.sum(part), 9).alias("bm25"))
+def terms_of(queries: DataFrame) -> DataFrame:
+    """query_id, user_id, terms: each query's distinct terms and how often it has them."""
+    words = tx.tokenize(F.col("text"))
+    term = F.transform(F.array_distinct(words), lambda t: F.struct(t.alias("term"), F.size(F.filter(words, lambda w: w == t)).alias("qtf")))
+    return queries.select("query_id", "user_id", term.alias("terms"))
+
+
+def matched(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
+    """query_id, fact_id, created_at, dl, hits (term, qtf, tf) of every live fact for each query of its user.
+    Terms are counted where the facts are read; nothing is shuffled."""
+    both = docs.join(small(terms_of(queries), bounded), "user_id")
+    found = F.transform(
+        "terms", lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), F.size(F.filter("tokens", lambda w: w == t.term)).alias("tf"))
+    )
+    return both.select("query_id", "user_id", "fact_id", "created_at", "dl", F.filter(found, lambda h: h.tf > 0).alias("hits"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
-    """query_id, user_id, fact_id, created_at, bm25 of every live fact; zero without a queried term."""
-    every = docs.select("user_id", "fact_id", "created_at").join(small(queries.select("query_id", "user_id"), bounded), "user_id")
-    found = bm25_hits(docs, queries, bounded).drop("user_id")
-    return every.join(found, ["query_id", "fact_id"], "left").fillna(0.0, ["bm25"])
+    """query_id, fact_id, created_at, bm25 of every live fact; zero without a queried term."""
+    rows = matched(docs, queries, bounded)
+    df = rows.select("query_id", "user_id", F.explode("hits.term").alias("term")).groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("df"))
+    n = F.col("n_docs").cast("double")
+    weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
+    known = df.join(corpus_stats(docs), "user_id").groupBy("query_id").agg(  # a row for each query, of its few terms
+        F.map_from_entries(F.collect_list(F.struct("term", weight))).alias("idfs"), F.first("avgdl").alias("avgdl")
+    )
+
+    def part(sum_, hit):
+        tf = hit.tf.cast("double")
+        return sum_ + hit.qtf * F.col("idfs")[hit.term] * (tf * (K1 + 1)) / (tf + K1 * ((1 - B) + B * F.col("dl") / F.col("avgdl")))
+
+    scored = rows.join(small(known, bounded), "query_id", "left")
+    bm25 = F.when(F.size("hits") > 0, F.aggregate("hits", F.lit(0.0), part)).otherwise(F.lit(0.0))
+    return scored.select("query_id", "fact_id", "created_at", F.round(bm25, 9).alias("bm25"))
 
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
     """``bm25_scores`` with rank; of equal scores the newest comes first, then the smallest id."""
-    buckets = {"__score": F.floor(F.col("bm25") * 4), "__day": F.to_date("created_at")}
     # Within a bucket of scores days would break the order, so scores above zero have one day.
-    buckets["__day"] = F.when(F.col("bm25") > 0, F.lit("1970-01-01").cast("date")).otherwise(F.to_date("created_at"))
-    buckets["__score"] = F.when(F.col("bm25") > 0, F.floor(F.col("bm25") * 4)).otherwise(F.lit(-1))
+    buckets = {
+        "__score": F.when(F.col("bm25") > 0, F.floor(F.col("bm25") * 4)).otherwise(F.lit(-1)),
+        "__day": F.when(F.col("bm25") > 0, F.lit("1970-01-01").cast("date")).otherwise(F.coalesce(F.to_date("created_at"), F.lit("0001-01-01").cast("date"))),
+    }
     order = [F.desc("bm25"), F.desc("created_at"), F.asc("fact_id")]
-    return ranked(bm25_scores(docs, queries, bounded), ["query_id"], {k: buckets[k] for k in ("__score", "__day")}, order, "rank")
+    return ranked(bm25_scores(docs, queries, bounded), ["query_id"], buckets, order, "rank")
 
 
 def distances(vectors: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:

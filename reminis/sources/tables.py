@@ -62,8 +62,9 @@ def days_before(as_of: datetime, days: Column) -> Column:
 def facts(spark: SparkSession, sf_dir: str, as_of: datetime = AS_OF) -> DataFrame:
     """Documents as facts of three users."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    vectors = read(spark, sf_dir, "embeddings").select("vec_id")
-    labels = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("label_id"), "quality")
+    # One row for each id, so that the optimizer drops a join whose columns a query doesn't use.
+    vectors = read(spark, sf_dir, "embeddings").select("vec_id").distinct()
+    labels = read(spark, sf_dir, "labels").groupBy(F.col("doc_id").alias("label_id")).agg(F.max("quality").alias("quality"))
     rows = docs.join(vectors, docs.doc_id == vectors.vec_id, "left").join(labels, docs.doc_id == labels.label_id, "left")
     d, failed = F.col("doc_id"), F.col("doc_id") % 17 == 0
     rate = F.floor(d / 3) % 4
