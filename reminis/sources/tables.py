@@ -118,4 +118,5 @@ def queries(spark: SparkSession, sf_dir: str, items: int = 1, words: int = 5, su
     rows = read(spark, sf_dir, "benchmark").where(F.col("item_id") < items)
     first = F.array_join(F.slice(tx.raw_tokens(F.col("text")), 1, words), " ")
     asked = rows.select(F.col("item_id").alias("query_id"), F.lit(user).alias("user_id"), F.concat(first, F.lit(suffix)).alias("text"))
-    return asked.join(vectors(spark, sf_dir), asked.query_id == F.col("vec_id"), "left").drop("vec_id")
+    own = vectors(spark, sf_dir).where(F.col("vec_id") < items).dropDuplicates(["vec_id"])
+    return asked.join(own, asked.query_id == F.col("vec_id"), "left").drop("vec_id")
