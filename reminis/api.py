@@ -7,6 +7,7 @@ import os
 import time
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,6 +26,27 @@ class BadRequest(ValueError):
     """A request that is not valid."""
 
 
+class StatusStore(Protocol):
+    """What reports on a store need."""
+
+    def status(self) -> dict: ...
+
+
+class SearchStore(Protocol):
+    """What reads from a store need."""
+
+    def search(self, text: str, limit: int = DEFAULT_LIMIT) -> DataFrame: ...
+
+
+def log_error(path: str, kind: str, message: str, **context) -> None:
+    """Append an error as a JSON line; a log that cannot be written is no error."""
+    try:
+        with open(path, "a") as log:
+            log.write(json.dumps({"timestamp": now().isoformat() + "Z", "type": kind, "message": message, **context}, default=str) + "\n")
+    except OSError:
+        pass
+
+
 def now() -> datetime:
     return datetime.now(timezone.utc).replace(tzinfo=None)
 
@@ -139,4 +161,4 @@ def option(name: str, given: str | None, default: str, environment: dict | None
     return os.path.expanduser(given or environment.get(name) or default)
 
 
-__all__ = ["BadRequest", "MemoryStore", "answer", "memory_report", "memory_search", "option"]
+__all__ = ["BadRequest", "MemoryStore", "SearchStore", "StatusStore", "answer", "log_error", "memory_report", "memory_search", "option"]

@@ -114,3 +114,9 @@ def upsert_section(document: Column, body: Column, begin: str, end: str) -> Colu
     replaced = F.concat(F.substring(document, F.lit(1), i - 1), block, F.substring(document, j + len(end), F.length(document)))
     gap = F.when(document == "", "").when(document.endswith("\n"), "\n").otherwise("\n\n")
     return F.when((i > 0) & (j > i), replaced).otherwise(F.concat(document, gap, block, F.lit("\n")))
+
+
+def append_section(document: Column, section: str, marker: str) -> Column:
+    """The document with the section at its end, unless it holds the marker already."""
+    gap = F.when(document == "", "").when(document.endswith("\n"), "\n").otherwise("\n\n")
+    return F.when(F.contains(document, F.lit(marker)), document).otherwise(F.concat(document, gap, F.lit(section)))

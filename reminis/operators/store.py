@@ -5,14 +5,17 @@ Parquet has no update in place: what changes is appended as an event, and ``late
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+import uuid
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reminis.functions import formats as fm
 from reminis.functions import vectors as vx
-from reminis.sources.tables import FACTS, timestamp
+from reminis.sources.tables import API_KEYS, FACTS, timestamp
 
 # Fixed value: the confidence of facts that are given none.
 INGEST_CONFIDENCE = 0.95
@@ -136,6 +139,23 @@ def revoke(keys: DataFrame, key_id: str, at: datetime) -> DataFrame:
     return keys.withColumn("revoked_at", F.when(F.col("id") == key_id, timestamp(at)).otherwise(F.col("revoked_at")))
 
 
+def create_key(spark: SparkSession, user: str, prefix: str, at: datetime, label: str | None = None) -> tuple[str, DataFrame]:
+    """A new secret, shown once, and the row that is stored for it: its hash alone."""
+    secret = f"{prefix}_{secrets.token_hex(32)}"
+    row = (str(uuid.uuid4()), user, hashlib.sha256(secret.encode()).hexdigest(), label, at, None, None)
+    return secret, spark.createDataFrame([row], API_KEYS)
+
+
+def touch(keys: DataFrame, key_id: str, at: datetime) -> DataFrame:
+    return keys.withColumn("last_used_at", F.when(F.col("id") == key_id, timestamp(at)).otherwise(F.col("last_used_at")))
+
+
+def seed(spark: SparkSession, user: str, session: str, rows: list[tuple[str, float, list[str]]], as_of: datetime) -> DataFrame:
+    """Fixed facts (content, confidence, tags) of a new user."""
+    new = spark.createDataFrame([(user, session, *row) for row in rows], "user_id string, source_session_id string, content string, confidence double, tags array<string>")
+    return ingest(new.withColumn("fact_id", F.xxhash64("user_id", "content")), as_of)
+
+
 def deduplicate(new: DataFrame, existing: DataFrame | None = None) -> DataFrame:
     """``new`` exchanges with ``skipped``: the content is known, or came earlier in the same batch. Rows without
     a hash are never skipped."""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import time
 from collections import OrderedDict
+from collections.abc import Callable
 from threading import Timer
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,6 +44,44 @@ def start_embedding(
     return writer.start()
 
 
+class EmbeddingLoop:
+    """Keeps one embedding query running: starting twice changes nothing, ``stop`` waits for the batch at hand,
+    and ``stop_if_idle`` ends it when no rows have come for a while; the next ``start`` goes on from the
+    checkpoint."""
+
+    def __init__(self, facts: Callable[[], DataFrame], embedder: Embedder, out: str, checkpoint: str, idle_seconds: float = 5.0):
+        self.facts, self.embedder, self.out, self.checkpoint, self.idle_seconds = facts, embedder, out, checkpoint, idle_seconds
+        self.query: StreamingQuery | None = None
+        self.seen, self.since = -1, 0.0
+
+    @property
+    def running(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def start(self) -> StreamingQuery:
+        if not self.running:
+            self.query = start_embedding(self.facts(), self.embedder, self.out, self.checkpoint, idle_seconds=self.idle_seconds)
+            self.since = time.monotonic()
+        return self.query
+
+    def stop(self) -> None:
+        if self.running:
+            self.query.processAllAvailable()
+            self.query.stop()
+
+    def stop_if_idle(self, seconds: float = 300.0) -> bool:
+        """To be called now and then; whether the query was stopped."""
+        if not self.running:
+            return False
+        batch = max((p["batchId"] for p in self.query.recentProgress if p["numInputRows"]), default=-1)
+        if batch != self.seen:
+            self.seen, self.since = batch, time.monotonic()
+        if time.monotonic() - self.since < seconds:
+            return False
+        self.stop()
+        return True
+
+
 def with_status(facts: DataFrame, status: DataFrame) -> DataFrame:
     """Facts with what the embedding stream wrote about them."""
     names = ("embed_status", "embed_error", "embed_model", "vec_rowid")

@@ -88,3 +88,8 @@ def test_cosine(spark):
     assert value(spark, vx.is_zero(zero)) and not value(spark, vx.is_zero(b))
     with pytest.raises(Exception, match="different lengths"):
         value(spark, vx.cosine_distance(a, F.array(F.lit(1.0).cast("float"))))
+
+
+def test_append_section(spark):
+    assert value(spark, tx.append_section(F.lit("a"), "## M\n", "## M")) == "a\n\n## M\n"
+    assert value(spark, tx.append_section(F.lit("## M"), "## M\n", "## M")) == "## M"

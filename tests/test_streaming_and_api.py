@@ -106,3 +106,30 @@ def test_options():
     assert api.option("X", "given", "d", {"X": "e"}) == "given"
     assert api.option("X", None, "d", {"X": "e"}) == "e"
     assert not api.option("X", None, "~/d", {}).startswith("~")
+
+
+def test_embedding_loop(spark, tmp_path):
+    source = str(tmp_path / "facts")
+    new_facts(spark, [(1, "u", "dark mode", "s")]).write.parquet(source)
+    loop = pl.EmbeddingLoop(lambda: pl.pending_facts(spark, source), HashingEmbedder(), str(tmp_path / "out"), str(tmp_path / "checkpoint"), 0.2)
+    query = loop.start()
+    assert loop.start() is query
+    query.processAllAvailable()
+    assert not loop.stop_if_idle(1000)
+    assert loop.stop_if_idle(0.0) and not loop.running and not loop.stop_if_idle(0.0)
+    assert spark.read.parquet(str(tmp_path / "out/status")).count() == 1
+
+
+def test_keys_and_seeds(spark, tmp_path):
+    secret, keys = st.create_key(spark, "u", "key", NOW)
+    assert len(secret) == 4 + 64 and keys.first().hashed_key != secret
+    assert st.find_key(keys, secret).count() == 1 and st.find_key(keys, secret + "x").count() == 0
+    used = st.touch(keys, keys.first().id, NOW)
+    assert used.first().last_used_at == NOW and st.list_keys(used, "u").count() == 1
+    assert st.find_key(st.revoke(used, keys.first().id, NOW), secret).count() == 0
+    seeded = st.seed(spark, "u", "setup", [("likes tea", 0.9, ["drink"])], NOW).first()
+    assert (seeded.confidence, seeded.tags, seeded.embed_status) == (0.9, ["drink"], "pending")
+    log = tmp_path / "errors.jsonl"
+    api.log_error(str(log), "search", "failed", query="q")
+    api.log_error(str(tmp_path / "missing" / "x"), "search", "failed")
+    assert json.loads(log.read_text())["query"] == "q"
