@@ -28,7 +28,7 @@ def test_query(spark, sf, duck, name):
     df = catalog.QUERIES[name](spark, sf)
     columns = sorted(df.columns)
     rows = sorted(repr(tuple(r)) for r in df.select(columns).collect())
-    assert rows
+    assert rows or name in catalog.ORACLE_SQL  # no fact is pending in the smallest tables
     if name in catalog.ORACLE_SQL:
         listed = ", ".join(f'"{c}"' for c in columns)
         assert rows == sorted(map(repr, duck.sql(f"select {listed} from ({catalog.ORACLE_SQL[name]})").fetchall()))
