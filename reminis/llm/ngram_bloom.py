@@ -54,6 +54,12 @@ def range_of(hashes: np.ndarray, ranges: int) -> np.ndarray:
     return (((hashes >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
 
 
+def runs(values: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """The distinct values of a sorted array and where each stands; no work for values that are not there."""
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, np.int64)
+    return values[first], list(zip(first.tolist(), [*first[1:].tolist(), len(values)]))
+
+
 def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of each text's words and end, in order, and the row of each."""
     data = LOWER[data]
@@ -111,14 +117,13 @@ def count_ngrams(texts: DataFrame, ranges: int) -> DataFrame:
             for kind in (1, 2):
                 keys, counts = np.unique(np.concatenate(found[kind - 1]), return_counts=True)
                 found[kind - 1].clear()
-                cuts = np.searchsorted(range_of(keys, ranges), np.arange(ranges + 1))
-                use = [r for r in range(ranges) if cuts[r + 1] > cuts[r]]
+                use, spans = runs(range_of(keys, ranges))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([kind] * len(use), pa.int32()),
-                        pa.array(use, pa.int32()),
-                        pa.array([_pack(keys[cuts[r] : cuts[r + 1]], kind) for r in use], pa.binary()),
-                        pa.array([counts[cuts[r] : cuts[r + 1]].astype("<u4").tobytes() for r in use], pa.binary()),
+                        pa.array(use.astype(np.int32)),
+                        pa.array([_pack(keys[x:y], kind) for x, y in spans], pa.binary()),
+                        pa.array([counts[x:y].astype("<u4").tobytes() for x, y in spans], pa.binary()),
                     ],
                     names=["kind", "r", "keys", "counts"],
                 )
@@ -304,13 +309,13 @@ def score(docs: DataFrame, model: NgramModel, table: DataFrame, ranges: int) ->
                 keys, of = (np.concatenate(x) for x in zip(*far))
                 part = range_of(keys, cold)
                 order = np.argsort(part, kind="stable")
-                keys, of, cuts = keys[order], of[order], np.searchsorted(part[order], np.arange(cold + 1))
-                use = [c for c in range(cold) if cuts[c + 1] > cuts[c]]
+                keys, of = keys[order], of[order]
+                use, spans = runs(part[order])
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.full(len(use), unit)), *(pa.nulls(len(use), k) for k in kinds[1:7]), pa.array(use, pa.int32()),
-                        pa.array([keys[cuts[c] : cuts[c + 1]].tobytes() for c in use], pa.binary()),
-                        pa.array([of[cuts[c] : cuts[c + 1]].tobytes() for c in use], pa.binary()),
+                        pa.array(np.full(len(use), unit)), *(pa.nulls(len(use), k) for k in kinds[1:7]), pa.array(use.astype(np.int32)),
+                        pa.array([keys[x:y].tobytes() for x, y in spans], pa.binary()),
+                        pa.array([of[x:y].tobytes() for x, y in spans], pa.binary()),
                     ],
                     names=names,
                 )
