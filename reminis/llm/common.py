@@ -182,9 +182,14 @@ def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hashes of spans of bytes; their starts do not decrease. Long arrays are hashed block by block."""
+    """Hashes of spans of bytes. Long arrays are hashed block by block, in the order of the spans' starts."""
     if len(data) <= 2 * BLOCK_BYTES:
         return span_hashes(_byte_values()[data], starts, stops)
+    if (starts[1:] < starts[:-1]).any():
+        order = np.argsort(starts, kind="stable")
+        out = np.empty(len(starts), np.uint64)
+        out[order] = byte_hashes(data, starts[order], stops[order])
+        return out
     cuts = np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts))
     out = np.empty(len(starts), np.uint64)
     for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
@@ -226,7 +231,7 @@ class HashTable:
 
     def insert(self, keys: np.ndarray) -> None:
         """Add distinct new keys; they get the positions n, n+1, ..."""
-        while (self.n + len(keys)) * 2 > len(self.keys):
+        while (self.n + len(keys)) * 10 > len(self.keys) * 7:
             old, slots = self.keys, self.slots
             self.bits += 1
             self.keys, self.slots = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)

@@ -29,7 +29,7 @@ BUCKETS = 1 << 18
 WIDTH = 16
 EPOCHS = 6
 RATE = 0.5
-MAX_ROWS = 3000
+MAX_ROWS = 6000
 GRAMS = (3, 4, 5)
 REPEATED = np.uint64(0x5851F42D4C957F2D)
 

@@ -35,7 +35,7 @@ DISCOUNT = 0.75
 BACKOFF = 30.0
 SHARED = 2
 MARGIN = 2.0
-MAX_ROWS = 800
+MAX_ROWS = 2000
 KEPT = 1 << 20
 
 #: Bytes that stand between words: all of ASCII but letters and digits.
@@ -70,9 +70,9 @@ def framed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.
     index = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
     line[at], line[at + lengths + 1] = ord("<"), ord(">")
     line[index + np.repeat(at + 1 - starts, lengths)] = data[index]
-    begin = np.repeat(at, lengths + 1)
-    places = begin + 1 + np.arange(len(begin)) - np.repeat(np.cumsum(lengths + 1) - lengths - 1, lengths + 1)
-    return line, places, begin
+    begin = np.repeat(at.astype(np.int32), lengths + 1)  # a line is far shorter than 2 GB; this halves the fit's memory
+    before = np.repeat((np.cumsum(lengths + 1) - lengths - 1).astype(np.int32), lengths + 1)
+    return line, begin + np.int32(1) + np.arange(len(begin), dtype=np.int32) - before, begin
 
 
 class KneserNey:
@@ -85,14 +85,19 @@ class KneserNey:
     def fit(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, weights: np.ndarray) -> KneserNey:
         """Distinct words and how often each class has them (words x 2)."""
         line, places, begin = framed(data, starts, stops)
-        word = np.repeat(np.arange(len(starts)), stops - starts + 1)
-        longest = np.minimum(places - begin, self.order - 1)
-        events, contexts = byte_hashes(line, places - longest, places + 1), byte_hashes(line, places - longest, places)
+        word = np.repeat(np.arange(len(starts), dtype=np.int32), stops - starts + 1)
+        longest = np.minimum(places - begin, np.int32(self.order - 1))
+        del begin
+        events = byte_hashes(line, places - longest, places + 1)
         keys, (toxic, other) = grouped(events, weights[word, 1], weights[word, 0])
+        del word
         _, first = np.unique(events, return_index=True)
+        del events
+        contexts = byte_hashes(line, places - longest, places)
         self.events = Counts(keys, toxic, other)
         keys, sums = grouped(contexts[first], toxic, other, toxic > 0, other > 0)
         self.contexts = Counts(keys, *sums, sums[0] + sums[1], grouped(contexts[first], np.ones(len(first)))[1][0])
+        del contexts, first, toxic, other, sums
         self.shared = []
         for k in range(self.order - 1):
             at = places[longest > k]

@@ -83,6 +83,8 @@ def test_segmentation_of_hashes():
     big = np.frombuffer((b"word " * 700_000), np.uint8)
     starts, stops, _ = words_of(big, np.array([0, len(big)]))
     assert len(set(byte_hashes(big, starts, stops).tolist())) == 1
+    mixed = np.random.default_rng(0).permutation(len(starts))
+    assert (byte_hashes(big, starts[mixed], stops[mixed]) == byte_hashes(big, starts, stops)[mixed]).all()
     assert len(set(span_hashes(np.arange(1, 1000, dtype=np.uint64), np.arange(0, 990), np.arange(3, 993)).tolist())) == 990
 
 
