@@ -26,11 +26,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, blocks, materialize, read_table, utf8_of, words_of
 from .components import connected_components
+from .near_copies import drop_near_copies  # noqa: F401  the pipeline's stage, under its first name
 
 WORDS = 4
 BITS = 4
@@ -244,22 +245,6 @@ def components(docs: DataFrame, words: int = WORDS, bits: int = BITS, seed: int
     return prints.join(of.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
-def drop_near_copies(docs: DataFrame, words: int = WORDS, bits: int = BITS) -> DataFrame:
-    """One document of each component: the one with the smallest id (of repeated ids, that with the smallest
-    text). Rows without an id stand in by a hash of their text. Columns are those of ``docs``."""
-    id_ = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-    found = components(docs.select(id_.alias("doc_id"), "text"), words, bits)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    first = Window.partitionBy("__id").orderBy("text")
-    return (
-        docs.withColumn("__id", id_)
-        .join(kept, F.col("__id") == F.col("__kept"), "left_semi")
-        .withColumn("__nth", F.row_number().over(first))
-        .where("__nth = 1")
-        .select(*docs.columns)
-    )
-
-
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(read_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
