@@ -6,6 +6,8 @@ All but the last return the columns of documents.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,15 +15,31 @@ from reminis.llm import near_copies, packing, quality, toxicity
 from reminis.llm.common import materialize, read_table
 
 
+def fitted(fit_on: Callable, ready: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str) -> object | None:
+    """A model of the labelled rows of ``docs``; where these don't have both classes (rows that no label knows, one
+    class alone), of the labelled documents of ``sf_dir``; None where those don't either. Labels are sampled among
+    those of the table's documents, so that samples are filled."""
+    labels = read_table(spark, sf_dir, "labels")
+    for table in (docs, read_table(spark, sf_dir, "documents")):
+        model = fit_on(table, labels, found=True)
+        if ready(model):
+            return model
+    return None
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, fitted on the labelled ones of ``docs``, scores 0.5 or more."""
-    model = quality.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    """Documents that the quality classifier scores 0.5 or more; all of them where there is nothing to fit it on."""
+    model = fitted(quality.fit_on, lambda m: m.weight.any(), spark, docs, sf_dir)
+    if model is None:
+        return docs
     return quality.score(docs, model, "__quality").where(F.col("__quality") >= 0.5).select(*docs.columns)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity models, fitted on the labelled ones of ``docs``, score under 0.5."""
-    model = toxicity.fit_on(docs, read_table(spark, sf_dir, "labels"))
+    """Documents that the toxicity models score under 0.5; all of them where there is nothing to fit them on."""
+    model = fitted(toxicity.fit_on, lambda m: m.model is not None, spark, docs, sf_dir)
+    if model is None:
+        return docs
     return toxicity.score(docs, model, "__toxicity").where(F.col("__toxicity") < 0.5).select(*docs.columns)
 
 

@@ -234,12 +234,15 @@ class ToxicityModel:
         return self.slope * x + self.offset
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> ToxicityModel:
+def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, found: bool = False) -> ToxicityModel:
     """The model of this corpus: labels are sampled by class first, so that few texts are joined (by broadcast
-    of at most twice ``max_rows`` ids)."""
+    of at most twice ``max_rows`` ids). With ``found`` only labels of rows of ``docs`` are sampled; class shares
+    are those of all labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id", 5, 0))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("label"))
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if found:
+        known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = bounded_sample(known.where("label = 1"), "doc_id", max_rows).union(bounded_sample(known.where("label = 0"), "doc_id", max_rows))
     sample = sample.withColumnRenamed("doc_id", "id_")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
