@@ -63,3 +63,12 @@ def test_near_dedup_equals_brute_force_on_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     root, _ = brute_force({x.doc_id: x.text for x in docs.collect()})
     assert {x.doc_id for x in near_copies.drop_near_copies(docs).collect()} == set(root.values())
+
+
+def test_survivors_are_told_apart_by_component(spark):
+    """Rows of one id with unlinked texts both stay, and a null id takes no real document's place."""
+    long_ = " ".join(f"a{i}" for i in range(40))
+    rows = [(1, long_, "a"), (7, long_, "b"), (7, "quite another text of its own here", "c"), (7, "a third one that nothing else resembles", "d")]
+    rows += [(42, "the real document of this id", "e"), (None, None, "f"), (None, "no id but a text of its own", "g")]
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted(x.lang for x in kept) == ["a", "c", "d", "e", "f", "g"]
