@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import BLOCK_BYTES, LOWER, HashTable, blocks, byte_hashes, held_out, materialize, mix64, read_table, utf8_of, words_of
 
-MIN_COUNT = 2
+MIN_COUNT = 1  # level 1: seen once
 BASE = 1.5
 PROBES = 3
 MU = 20.0
@@ -102,8 +102,9 @@ def level_of(counts: np.ndarray) -> np.ndarray:
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
-    """The middle of a level's counts; zero for none."""
-    return np.where(levels > 0, MIN_COUNT * BASE ** (levels - 0.5), 0.0)
+    """The geometric middle of a level's whole counts; zero for none."""
+    level = np.asarray(levels, np.float64)
+    return np.where(level > 0, np.sqrt(np.ceil(MIN_COUNT * BASE ** (level - 1)) * (np.ceil(MIN_COUNT * BASE**level) - 1)), 0.0)
 
 
 def count_ngrams(texts: DataFrame, ranges: int) -> DataFrame:

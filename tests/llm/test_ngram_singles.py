@@ -1,0 +1,17 @@
+"""N-grams that the corpus has once are counted by the filter."""
+
+import numpy as np
+import pyarrow as pa
+
+from reminis.llm import ngram_bloom
+from reminis.llm.common import utf8_of
+
+
+def test_every_training_ngram_has_a_level(spark):
+    texts = [f"common words once{i} and lonely{i} again" for i in range(200)]
+    ranges = ngram_bloom.COLD
+    model, _ = ngram_bloom.fit(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string"), ranges)
+    tokens, row = ngram_bloom.tokens_of(*utf8_of(pa.array(texts)))
+    assert (model.grams.levels(1, tokens) >= 1).all()
+    assert (model.grams.levels(2, ngram_bloom.pair_hashes(ngram_bloom.before(tokens, row), tokens)) >= 1).all()
+    assert ngram_bloom.count_of(np.array([0, 1, 2, 3])).tolist() == [0, 1, 2, 3]
