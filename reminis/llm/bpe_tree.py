@@ -11,10 +11,16 @@ are provably those of the whole stretch:
   look-behind), so from the first place at which the window and the right element both begin a piece, the
   right element's pieces are final. While there is none, the window doubles.
 
-Within a piece the merges are those of the ranks. Decoding concatenates the bytes of halves up the tree.
+Within a piece that the boundary cuts, the ids of its halves are joined in the same way, by ``join_tokens``: a window
+of ids on both sides is merged anew and grows until the ids at its edges and those outside stay apart when they are
+merged as a pair. That proves the whole: take the first merge in time that would cross an edge between neighbouring
+ids; until then the bytes of the two ids have merged as they would alone, so the pair alone would cross it as well.
+So an endless piece costs windows, not a merge of all of it at each level; matching the split pattern is linear.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; a text of one endless piece is
-re-encoded whole at each level (n log n); repeated rows give repeated rows; other columns are not read.
+Decoding concatenates the bytes of halves up the tree.
+
+Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -35,6 +41,8 @@ VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAF = 1024
 #: Characters that decide a piece's end: the longest alternative that may fail, an apostrophe and two letters.
 LOOK = 3
+#: Pairs of ids that a worker remembers.
+PAIRS = 1 << 18
 
 Element = tuple[np.ndarray, np.ndarray, np.ndarray]  # starts of pieces, sizes in ids, ids
 
@@ -46,6 +54,31 @@ class TreeEncoder:
         self.encoder, self.leaf = PieceEncoder(path), leaf
         self.pattern = regex.compile(public_tokenizers.PATTERN)
         self.merge = self.encoder.merge
+        self.tokens = {rank: token for token, rank in load_ranks(path).items()}
+        self.pairs: dict[tuple[int, int], bool] = {}
+
+    def apart(self, a: int, b: int) -> bool:
+        """Whether two neighbouring ids stay as they are when their bytes are merged anew."""
+        found = self.pairs.get((a, b))
+        if found is None:
+            if len(self.pairs) >= PAIRS:
+                self.pairs.clear()
+            found = self.pairs[a, b] = self.merge(self.tokens[a] + self.tokens[b]) == [a, b]
+        return found
+
+    def join_tokens(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The ids of two stretches of one piece as those of both together."""
+        if not len(left) or not len(right):
+            return left if len(left) else right
+        i, j = 1, 1
+        while True:
+            i, j = min(i, len(left)), min(j, len(right))
+            window = self.merge(b"".join(self.tokens[x] for x in (*left[len(left) - i :].tolist(), *right[:j].tolist())))
+            wider = i < len(left) and not self.apart(int(left[-i - 1]), window[0])
+            longer = j < len(right) and not self.apart(window[-1], int(right[j]))
+            if not wider and not longer:
+                return np.concatenate([left[: len(left) - i], np.array(window, np.uint32), right[j:]])
+            i, j = i * (1 + wider), j * (1 + longer)
 
     def encode_block(self, text: str, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids of each of the texts that lie at ``offsets`` (code points) in ``text``."""
@@ -103,16 +136,28 @@ class TreeEncoder:
                 if meet < 0:
                     reach *= 2
                     continue
-            window = [(x, self.merge(piece.encode())) for x, piece in found if x < meet]
+            ends = [np.append(0, np.cumsum(side[1])) for side in (left, right)]
+
+            def ids_of(x: int, piece: str) -> np.ndarray:
+                """The ids of a piece from place x on: known from one side, joined from both, or merged."""
+                y = x + len(piece)
+                if x < boundary < y:
+                    if x == int(starts[-1]) and y == (int(right[0][1]) if len(right[0]) > 1 else end):
+                        return self.join_tokens(left[2][ends[0][-2] :], right[2][: ends[1][1]])
+                else:
+                    side, last = (0, boundary) if y <= boundary else (1, end)
+                    own = (left, right)[side][0]
+                    k = int(np.searchsorted(own, x))
+                    if k < len(own) and own[k] == x and y == (int(own[k + 1]) if k + 1 < len(own) else last):
+                        return (left, right)[side][2][ends[side][k] : ends[side][k + 1]]
+                return np.array(self.merge(piece.encode()), np.uint32)
+
+            window = [(x, ids_of(x, piece)) for x, piece in found if x < meet]
             k = int(np.searchsorted(right[0], meet)) if meet < end else len(right[0])
             return (
                 np.concatenate([starts[:keep], np.array([x for x, _ in window], np.int64), right[0][k:]]),
                 np.concatenate([left[1][:keep], np.array([len(i) for _, i in window], np.int64), right[1][k:]]),
-                np.concatenate([
-                    left[2][: int(left[1][:keep].sum())],
-                    np.array([i for _, x in window for i in x], np.uint32),
-                    right[2][int(right[1][:k].sum()) :],
-                ]),
+                np.concatenate([left[2][: ends[0][keep]], *(i for _, i in window), right[2][ends[1][k] :]]).astype(np.uint32),
             )
 
 

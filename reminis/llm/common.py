@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import atexit
 import pickle
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,13 +29,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where it is unset (one
-    machine, as in tests) a temporary folder of this session."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, as a qualified path. Where it is unset on
+    one machine (as in tests) a temporary folder of this session; a cluster without one is an error, since its
+    executors would each write to their own disk."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="reminis-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(found)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "file:///", files.makeQualified(path).toString()).rstrip("/")
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -54,11 +60,16 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """``df`` as a written table of the shared folder: its lineage is cut and lost executors lose nothing."""
+def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
+    """``df`` as a written table of the shared folder, and its path, which ``remove`` takes once nothing reads it."""
     path = scratch(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` as a written table of the shared folder: its lineage is cut and lost executors lose nothing."""
+    return written(df, tag)[0]
 
 
 def id_remainder(column: str, divisor: int) -> Column:
@@ -150,52 +161,43 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-
-
-@lru_cache(maxsize=4)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (_BASE, _INVERSE):
-        table = np.full(size, base, np.uint64)
-        table[0] = 1
-        out.append(np.multiply.accumulate(table))
-    return out[0], out[1]
-
-
-@lru_cache(maxsize=1)
-def _byte_values() -> np.ndarray:
-    values = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xA24BAED4963EE407))
-    return values
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+LONG = 512
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of ``values`` (uint64), the same wherever the span lies: differences of
-    one running polynomial sum, shifted back to position zero."""
-    size = 1 << max(16, int(len(values) + 1).bit_length())
-    up, down = _powers(size)
-    total = np.empty(len(values) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(values * up[: len(values)], out=total[1:])
-    return mix64((total[stops] - total[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+def chunks_of(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place of ``data`` on, its end included, as one number; zeros follow the end."""
+    return np.ndarray((len(data) + 1,), "<u8", np.append(data, np.zeros(8, np.uint8)), 0, (1,))
 
 
 def byte_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """Hashes of spans of bytes. Long arrays are hashed block by block, in the order of the spans' starts."""
-    if len(data) <= 2 * BLOCK_BYTES:
-        return span_hashes(_byte_values()[data], starts, stops)
-    if (starts[1:] < starts[:-1]).any():
-        order = np.argsort(starts, kind="stable")
-        out = np.empty(len(starts), np.uint64)
-        out[order] = byte_hashes(data, starts[order], stops[order])
-        return out
-    cuts = np.append(np.searchsorted(starts, np.arange(0, len(data), BLOCK_BYTES)), len(starts))
-    out = np.empty(len(starts), np.uint64)
-    for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-        if j > i:
-            low, high = int(starts[i]), int(stops[i:j].max())
-            out[i:j] = span_hashes(_byte_values()[data[low:high]], starts[i:j] - low, stops[i:j] - low)
+    """A 64-bit hash of each span of bytes, the same wherever the span lies: the sum of its eight-byte chunks, each
+    mixed with its place (a polynomial's collisions modulo 2 ** 64 would have a pattern), mixed with its length."""
+    lengths = stops - starts
+    chunks = chunks_of(data)
+    out = mix64(chunks[starts] & _MASKS[np.minimum(lengths, 8)])
+    more, k = np.flatnonzero((lengths > 8) & (lengths <= LONG)), 1
+    while len(more):
+        left = lengths[more] - 8 * k
+        out[more] += mix64((chunks[starts[more] + 8 * k] & _MASKS[np.minimum(left, 8)]) + np.array([k], np.uint64) * _STEP)
+        more, k = more[left > 8], k + 1
+    for i in np.flatnonzero(lengths > LONG).tolist():
+        at = np.arange(starts[i], stops[i], 8)
+        own = chunks[at] & _MASKS[np.minimum(stops[i] - at, 8)]
+        out[i] = mix64(own + np.arange(len(at), dtype=np.uint64) * _STEP).sum()
+    return mix64(out + lengths.astype(np.uint64) * _STEP)
+
+
+def same_bytes(a: np.ndarray, a_starts: np.ndarray, b: np.ndarray, b_starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether spans of ``a`` and ``b`` (both as ``chunks_of`` gives them) of equal lengths hold the same bytes."""
+    out = np.ones(len(lengths), bool)
+    left, k = np.flatnonzero(lengths > 0), 0
+    while len(left):
+        mask = _MASKS[np.minimum(lengths[left] - k, 8)]
+        out[left] &= (a[a_starts[left] + k] ^ b[b_starts[left] + k]) & mask == 0
+        k += 8
+        left = left[(lengths[left] > k) & out[left]]
     return out
 
 

@@ -18,9 +18,12 @@ packed like any other; an empty table gives no rows; columns besides ``doc_id``
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,16 +38,49 @@ from .pieces import PieceEncoder, code_point_offsets
 
 CAPACITY = 1024
 END_ID = 2
-#: The rank file that holds the vocabulary of ``byte_bpe_50k.json``.
-VOCABULARY = "byte_bpe_50k.tiktoken"
+#: The tokenizer, for its added tokens, and the rank file of the same vocabulary and merges.
+TOKENIZER, VOCABULARY = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bucket int, nth long"
 
 
-def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file: strings that are one id wherever they stand in a text."""
+    with open(path, "rb") as file:
+        found = json.load(file)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in found):
+        raise ValueError("added tokens that take or need what is next to them are not supported")
+    return {t["content"]: t["id"] for t in found}
+
+
+def encode_with_added(
+    encoder: PieceEncoder, added: dict[str, int], text: str, offsets: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``PieceEncoder.encode``, with one id for each added token; what stands between them is text of its own."""
+    if not any(token in text for token in added):
+        return encoder.encode(text, offsets)
+    pattern = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
+    spans = [m.span() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()) for m in pattern.finditer(text, a, b)]
+    cuts = np.unique(np.concatenate([offsets, np.array(spans, np.int64).reshape(-1)]))
+    starts, ids, sizes = encoder.encode(text, cuts)
+    ends, sizes, parts, at = np.append(0, np.cumsum(sizes)), sizes.copy(), [], 0
+    for a, b in spans:
+        i, j = np.searchsorted(starts, [a, b])
+        parts += [ids[at : ends[i]], np.array([added[text[a:b]]], np.uint32)]
+        at = ends[j]
+        sizes[i:j] = 0
+        sizes[i] = 1
+    return starts, np.concatenate([*parts, ids[at:]]), sizes
+
+
+def token_pieces(
+    docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, added: dict[str, int] | None = None
+) -> DataFrame:
     """A row for each piece: doc_id, piece, start, length, ids_crc32, the task it was made in (bucket) and its
     number among this task's pieces of its length (nth)."""
-    path = path or public_tokenizers.path(VOCABULARY)
+    if path is None:
+        path, added = public_tokenizers.path(VOCABULARY), added_tokens(public_tokenizers.path(TOKENIZER))
 
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen, bucket = PieceEncoder(path), [0] * (capacity + 1), TaskContext.get().partitionId()
@@ -55,7 +91,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
             for a, b in blocks(data, offsets):
                 part = data[offsets[a] : offsets[b]]
                 points = code_point_offsets(part, offsets[a : b + 1] - offsets[a])
-                starts, ids, sizes = encoder.encode(part.tobytes().decode(), points)
+                starts, ids, sizes = encode_with_added(encoder, added or {}, part.tobytes().decode(), points)
                 ends = np.zeros(len(starts) + 1, np.int64)
                 np.cumsum(sizes, out=ends[1:])
                 cuts = ends[np.searchsorted(starts, points)].tolist()

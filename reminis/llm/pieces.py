@@ -2,8 +2,9 @@
 
 ``segment`` finds the matches of ``public_tokenizers.PATTERN`` for all texts of a block at once, from a table
 of character classes; the rules of the pattern become array operations. ``PieceEncoder`` looks the pieces up
-in a hash table of those seen before and runs the merges only for new ones. The table is emptied when it
-holds ``max_pieces``, which bounds a worker's memory and changes no result.
+in a hash table of those seen before, compares their bytes (a piece whose hash is another's is encoded by itself)
+and runs the merges only for new ones. Pieces of over ``LONGEST`` bytes are never kept, and the table is emptied
+when it holds ``max_pieces``: both bound a worker's memory and change no result.
 """
 
 from __future__ import annotations
@@ -15,8 +16,9 @@ from functools import lru_cache
 
 import numpy as np
 
-from .common import HashTable, mix64, span_hashes
+from .common import HashTable, byte_hashes, chunks_of, same_bytes
 
+LONGEST = 256
 OTHER, LETTER, NUMBER, BLANK = 0, 1, 2, 3
 # The characters of the Unicode property White_Space.
 WHITE_SPACE = (
@@ -26,12 +28,12 @@ WHITE_SPACE = (
 
 
 @lru_cache(maxsize=1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Class and hash value of every code point."""
+def _kinds() -> np.ndarray:
+    """The class of every code point."""
     first = {"L": LETTER, "N": NUMBER}
     kinds = np.array([first.get(unicodedata.category(chr(c))[0], OTHER) for c in range(sys.maxunicode + 1)], np.uint8)
     kinds[list(WHITE_SPACE)] = BLANK
-    return kinds, mix64(np.arange(1, sys.maxunicode + 2, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25))
+    return kinds
 
 
 def segment(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -39,7 +41,7 @@ def segment(points: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(points)
     if not n:
         return np.zeros(0, np.int64)
-    kind = _tables()[0][points]
+    kind = _kinds()[points]
     first = np.zeros(n + 1, bool)  # a text begins, or the block ends
     first[offsets] = True
     start = first.copy()
@@ -83,6 +85,7 @@ class PieceEncoder:
             "ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=load_ranks(path), special_tokens={}
         )
         self.merge = self.encoding._core_bpe.encode_single_piece
+        self.hashes = byte_hashes
         self.max_pieces = max_pieces
         self._empty()
 
@@ -90,20 +93,31 @@ class PieceEncoder:
         self.known = HashTable(16)
         self.begin, self.size = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
         self.ids, self.n_ids = np.zeros(1 << 18, np.uint32), 0
+        self.at, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.bytes, self.n_bytes = np.zeros(1 << 20, np.uint8), 0
 
-    def _learn(self, keys: np.ndarray, pieces: list[str]) -> None:
-        found = [self.merge(piece.encode()) for piece in pieces]
+    @staticmethod
+    def _grown(array: np.ndarray, size: int) -> np.ndarray:
+        while size > len(array):
+            array = np.resize(array, 2 * len(array))
+        return array
+
+    def _learn(self, keys: np.ndarray, pieces: list[bytes]) -> None:
+        found = [self.merge(piece) for piece in pieces]
         n, sizes = self.known.n, np.array([len(x) for x in found], np.int64)
+        lengths = np.array([len(x) for x in pieces], np.int64)
         self.known.insert(keys)
-        while n + len(found) > len(self.begin):
-            self.begin, self.size = np.resize(self.begin, 2 * len(self.begin)), np.resize(self.size, 2 * len(self.size))
-        while self.n_ids + sizes.sum() > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.size[n : n + len(found)] = sizes
-        self.begin[n : n + len(found)] = self.n_ids + np.cumsum(sizes) - sizes
-        flat = np.array([i for x in found for i in x], np.uint32)
+        new = slice(n, n + len(found))
+        self.begin, self.size = self._grown(self.begin, new.stop), self._grown(self.size, new.stop)
+        self.at, self.length = self._grown(self.at, new.stop), self._grown(self.length, new.stop)
+        self.ids = self._grown(self.ids, self.n_ids + int(sizes.sum()))
+        self.bytes = self._grown(self.bytes, self.n_bytes + int(lengths.sum()) + 8)
+        self.size[new], self.begin[new] = sizes, self.n_ids + np.cumsum(sizes) - sizes
+        self.length[new], self.at[new] = lengths, self.n_bytes + np.cumsum(lengths) - lengths
+        flat, raw = np.array([i for x in found for i in x], np.uint32), np.frombuffer(b"".join(pieces), np.uint8)
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
-        self.n_ids += len(flat)
+        self.bytes[self.n_bytes : self.n_bytes + len(raw)] = raw
+        self.n_ids, self.n_bytes = self.n_ids + len(flat), self.n_bytes + len(raw)
 
     def encode(self, text: str, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """``text``: texts one after another; ``offsets``: where each begins, in code points, and the end.
@@ -115,19 +129,33 @@ class PieceEncoder:
             return starts, np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if self.known.n > self.max_pieces:
             self._empty()
-        stops = np.append(starts[1:], len(points))
-        keys = span_hashes(_tables()[1][points], starts, stops)
+        raw = text.encode()
+        data = np.frombuffer(raw, np.uint8)
+        first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data)) if len(data) != len(points) else None
+        begin = starts if first is None else first[starts]
+        lengths = np.diff(np.append(begin, len(data)))
+        keys = self.hashes(data, begin, begin + lengths)
         at = self.known.find(keys)
-        new = np.flatnonzero(at < 0)
+        new = np.flatnonzero((at < 0) & (lengths <= LONGEST))
         if len(new):
             fresh, where, back = np.unique(keys[new], return_index=True, return_inverse=True)
             n = self.known.n
             where = new[where]
-            self._learn(fresh, [text[a:b] for a, b in zip(starts[where].tolist(), stops[where].tolist())])
+            self._learn(fresh, [raw[a : a + b] for a, b in zip(begin[where].tolist(), lengths[where].tolist())])
             at[new] = n + back
-        sizes = self.size[at]
+        known = (at >= 0) & (self.length[at] == lengths)
+        there = np.flatnonzero(known)
+        own = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, 0, (1,))
+        known[there] = same_bytes(chunks_of(data), begin[there], own, self.at[at[there]], lengths[there])
+        sizes = np.where(known, self.size[at], 0)
+        alone = {i: np.array(self.merge(raw[begin[i] : begin[i] + lengths[i]]), np.uint32) for i in np.flatnonzero(~known).tolist()}
+        for i, ids in alone.items():
+            sizes[i] = len(ids)
         ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(self.begin[at] - ends + sizes, sizes) + np.arange(ends[-1])]
+        from_table = np.repeat(np.where(known, self.begin[at], 0) - ends + sizes, sizes) + np.arange(ends[-1])
+        flat = self.ids[np.minimum(from_table, len(self.ids) - 1)]
+        for i, ids in alone.items():
+            flat[ends[i] - sizes[i] : ends[i]] = ids
         return starts, flat, sizes
 
 

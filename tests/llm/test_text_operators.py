@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as hs
 
 from reminis.llm import bpe_tree, media, minhash, packing, pieces
-from reminis.llm.common import HashTable, byte_hashes, span_hashes, utf8_of, words_of
+from reminis.llm.common import HashTable, byte_hashes, utf8_of, words_of
 
 AWKWARD = ["'s", "'re", "'ll", "'", " ", "  ", "\n", "\t", "a", "Sing", "1", "½", "é", "日本", "!", "\x1c", "<|endoftext|>", "’", "don't", "　", "🙂"]
 TEXTS = hs.lists(hs.lists(hs.one_of(hs.sampled_from(AWKWARD), hs.text(max_size=3)), max_size=25).map("".join), min_size=1, max_size=8)
@@ -85,7 +85,40 @@ def test_segmentation_of_hashes():
     assert len(set(byte_hashes(big, starts, stops).tolist())) == 1
     mixed = np.random.default_rng(0).permutation(len(starts))
     assert (byte_hashes(big, starts[mixed], stops[mixed]) == byte_hashes(big, starts, stops)[mixed]).all()
-    assert len(set(span_hashes(np.arange(1, 1000, dtype=np.uint64), np.arange(0, 990), np.arange(3, 993)).tolist())) == 990
+    mixed = np.random.default_rng(1).integers(0, 256, 5000).astype(np.uint8)
+    for size in (6, 8, 9, 511, 513, 1000):
+        assert len(set(byte_hashes(mixed, np.arange(0, 3990), np.arange(size, 3990 + size)).tolist())) == 3990
+        assert byte_hashes(mixed[7:], np.array([0]), np.array([size]))[0] == byte_hashes(mixed, np.array([7]), np.array([7 + size]))[0]
+
+
+def alternating(size):
+    """A word whose polynomial hash modulo 2 ** 64 is its complement's, whatever the odd base, and the complement."""
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("bits", range(6, 14))
+def test_alternating_words_are_told_apart(encoders, bits):
+    pair = alternating(1 << bits)
+    for name, make in (("byte_bpe_50k.tiktoken", pieces.PieceEncoder), ("byte_bpe_multi_50k.tiktoken", bpe_tree.TreeEncoder)):
+        path, library = encoders[name]
+        encoder = make(path)
+        for word in pair:
+            found = encoder.encode(word, np.array([0, len(word)]))[1] if hasattr(encoder, "encode") else encoder.encode_block(word, np.array([0, len(word)]))[0]
+            assert found.tolist() == library.encode_ordinary(word)
+    data = np.frombuffer("".join(pair).encode(), np.uint8)
+    a, b = byte_hashes(data, np.array([0, 1 << bits]), np.array([1 << bits, 2 << bits]))
+    assert a != b
+
+
+def test_pieces_with_one_hash_are_told_apart(encoders):
+    path, library = encoders["byte_bpe_50k.tiktoken"]
+    encoder = pieces.PieceEncoder(path)
+    encoder.hashes = lambda data, starts, stops: (stops - starts).astype(np.uint64)  # all of one length collide
+    for text in ("abc abd été abc x", "xyz abd abc", " " + "q" * 300 + " " + "r" * 300):
+        assert encoder.encode(text, np.array([0, len(text)]))[1].tolist() == library.encode_ordinary(text)
 
 
 def test_hash_table():
@@ -117,10 +150,9 @@ def test_packing_equals_brute_force(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     r = random.Random(3)
     texts = [(i, " ".join(r.choice(["alpha", "beta", "x", "9"]) for _ in range(r.randint(0, 900))), "en") for i in range(60)]
-    texts += [(100, None, None), (101, "", ""), (101, "", ""), (None, "no id", "en"), (102, "long " * 5000, "en"), (103, "<|endoftext|>", "en")]
+    texts += [(100, None, None), (101, "", ""), (101, "", ""), (None, "no id", "en"), (102, "long " * 5000, "en"), (103, "<|endoftext|>", "en"), (104, "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endof", "en"), (105, "text|> d's  ", "en")]
     rows = packing.pack(spark.createDataFrame(texts, SCHEMA)).collect()
     by_doc: dict = {}
     for x in rows:
