@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reminis.llm import ngram_bloom, perspectives, quality, simhash, toxicity, url_rules
+from reminis.llm import perspectives, quality, simhash, toxicity, url_rules
 from reminis.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -167,50 +167,6 @@ def test_classifiers_on_edge_cases(spark):
     assert quality.score(empty, quality.SubwordClassifier()).count() == 0
 
 
-# --- language model ------------------------------------------------------------------------------------------
-
-
-@pytest.mark.parametrize("hot", [1 << 20, 40])
-def test_base_scores_are_exact(spark, hot):
-    r = np.random.default_rng(8)
-    texts = {i: " ".join(f"W{int(x)}" for x in r.zipf(1.4, r.integers(0, 120)) % 500) for i in range(120)}
-    texts |= {500: None, 501: "", 502: "a\tB\n c  a"}
-    docs = spark.createDataFrame([(i, t, "x") for i, t in texts.items()], SCHEMA)
-    training = {i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2}
-    ranges = 2 * ngram_bloom.COLD
-    model, table = ngram_bloom.fit(docs.where(F.col("doc_id").isin(list(training))), ranges, hot=hot)
-    rows = ngram_bloom.score(docs, model, table, ranges).collect()
-    tokens = {i: [*words(t), "</s>"] for i, t in texts.items()}
-    counts = Counter(w for i in training for w in tokens[i])
-    n, v = sum(counts.values()), len(counts)
-    assert len(rows) == len(texts)
-    for x in rows:
-        own = tokens[x.doc_id]
-        assert (x.n_tokens, x.n_known, x.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
-        assert x.base_score == pytest.approx(sum(log10((counts[w] + 1) / (n + v + 1)) for w in own), rel=1e-9)
-        assert x.score < 0
-
-
-def test_filter_never_underestimates():
-    keys = np.unique(np.random.default_rng(3).integers(0, 1 << 63, 4000, dtype=np.uint64) * np.uint64(2))
-    counts = np.random.default_rng(4).integers(2, 5000, len(keys))
-    levels = ngram_bloom.level_of(counts)
-    size = -(-int(levels.sum() * 8) // 64) * 64
-    grams = ngram_bloom.LogFrequencyFilter(1, np.array([size, 64]), 30)
-    grams.bits[: size // 8] = np.frombuffer(ngram_bloom.LogFrequencyFilter.block(keys, levels, size), np.uint8)
-    found = grams.levels(1, keys)
-    assert (found >= levels).all() and (found == levels).mean() > 0.9
-    assert (grams.levels(1, keys + np.uint64(1)) == 0).mean() > 0.9
-    middle = ngram_bloom.count_of(levels)
-    assert (np.abs(np.log(middle / counts)) <= np.log(ngram_bloom.BASE)).all()
-
-
-def test_model_beats_the_base_on_held_out_text(spark):
-    rows = ngram_bloom.op3_ngram_bloom(spark, "/root/testdata/sf0.01").where("held_out").collect()
-    assert sum(x.score for x in rows) > sum(x.base_score for x in rows)
-    assert ngram_bloom.ranges_for(spark.createDataFrame([], SCHEMA)) == ngram_bloom.COLD
-
-
 # --- URLs and dialogues --------------------------------------------------------------------------------------
 
 
