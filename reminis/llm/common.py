@@ -82,9 +82,11 @@ def held_out(column: str, divisor: int, remainder: int) -> Column:
     return F.coalesce(id_remainder(column, divisor) == remainder, F.lit(False))
 
 
-def bounded_sample(df: DataFrame, by: str, rows: int) -> DataFrame:
-    """At most ``rows`` rows, the same ones in every run: those with the smallest hashes of ``by``."""
-    return df.orderBy(F.xxhash64(by), by).limit(rows)
+def bounded_sample(df: DataFrame, by: str | list[str], rows: int) -> DataFrame:
+    """At most ``rows`` rows, the same ones in every run: those with the smallest hashes of ``by``. No task passes on
+    more than that."""
+    by = [by] if isinstance(by, str) else by
+    return df.orderBy(F.xxhash64(*by), *by).limit(rows)
 
 
 def fit_in_task(rows: DataFrame, fit: Callable[[list[str], np.ndarray], object]) -> object:

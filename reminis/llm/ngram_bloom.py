@@ -32,11 +32,14 @@ bits within a range. A text is never cut: a unit is as large as its longest text
 
 from __future__ import annotations
 
+import io
+import struct
 from collections.abc import Iterator
 from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import ipc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,7 +53,6 @@ FILL = 0.25  # share of a block's bits that are set
 RANGE_BYTES = 8 << 20
 UNIT_BYTES = 8 << 20
 FILTER_BYTES = 256 << 20
-KINDS = (1, 2, 3)
 BEGIN, END = np.uint64(0x9216D5D98979FB1B), np.uint64(0xD1310BA698DFB5AC)
 
 
@@ -104,18 +106,56 @@ def ngrams(tokens: np.ndarray, row: np.ndarray) -> dict[int, np.ndarray]:
 
 
 def packed(keys: np.ndarray) -> bytes:
-    """Sorted keys: the first, and differences of as many bytes as the largest needs."""
-    steps = np.diff(keys)
-    width = max(1, -(-int(steps.max(initial=0)).bit_length() // 8))
-    return bytes([width]) + keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
+    """Sorted keys: the first, and differences. Their low four bytes are noise; what is above is compressed."""
+    steps = np.diff(keys).astype("<u8").view("<u4").reshape(-1, 2)
+    high = pa.compress(np.ascontiguousarray(np.ascontiguousarray(steps[:, 1]).view(np.uint8).reshape(-1, 4).T).tobytes() if len(steps) else b"", codec="zstd", asbytes=True)
+    return keys[:1].astype("<u8").tobytes() + np.ascontiguousarray(steps[:, 0]).tobytes() + high + struct.pack("<II", len(steps), len(high))
 
 
 def unpacked(raw: bytes) -> np.ndarray:
-    width = raw[0]
-    wide = np.zeros(((len(raw) - 9) // width + 1, 8), np.uint8)
-    wide[0] = np.frombuffer(raw, np.uint8, 8, 1)
-    wide[1:, :width] = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
-    return np.cumsum(wide.view("<u8")[:, 0], dtype=np.uint64)
+    n, size = struct.unpack("<II", raw[-8:])
+    steps = np.zeros((n + 1, 2), "<u4")
+    steps[0] = np.frombuffer(raw, "<u4", 2)
+    steps[1:, 0] = np.frombuffer(raw, "<u4", n, 8)
+    if n:
+        high = pa.decompress(raw[-8 - size : -8], decompressed_size=4 * n, codec="zstd", asbytes=True)
+        steps[1:, 1] = np.ascontiguousarray(np.frombuffer(high, np.uint8).reshape(4, n).T).view("<u4")[:, 0]
+    return np.cumsum(steps.view("<u8")[:, 0], dtype=np.uint64)
+
+
+def shrunk(array: np.ndarray) -> bytes:
+    return pa.compress(array.tobytes(), codec="zstd", asbytes=True)
+
+
+def grown(raw: bytes, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, decompressed_size=n * np.dtype(kind).itemsize, codec="zstd", asbytes=True), kind)
+
+
+def sorted_distinct(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """As ``np.unique`` with the inverse. Hashes are dealt into buckets of their upper bits, and sorted there with
+    their place in the lowest bits."""
+    n = len(hashes)
+    bits = np.uint64(max(1, n - 1).bit_length())
+    if n < 1 << 12 or bits > 22:
+        return np.unique(hashes, return_inverse=True)
+    low = hashes.min()
+    up = np.uint64(64 - int(hashes.max() - low).bit_length())
+    spread = (hashes - low) << up
+    bucket = (spread >> np.uint64(52)).astype(np.uint16)
+    order = np.argsort(bucket, kind="stable")
+    spread = (((spread << np.uint64(12)) >> bits) << bits)[order] | order.astype(np.uint64)
+    begin = 0
+    for end in np.cumsum(np.bincount(bucket, minlength=4096)).tolist():
+        spread[begin:end].sort()
+        begin = end
+    order = (spread & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    arranged = hashes[order]
+    if (arranged[1:] < arranged[:-1]).any():  # two differ in their lowest bits alone
+        return np.unique(hashes, return_inverse=True)
+    first = np.append(True, arranged[1:] != arranged[:-1])
+    at = np.empty(n, np.int64)
+    at[order] = np.cumsum(first) - 1
+    return arranged[first], at
 
 
 def keys_of(kind: int, hashes: np.ndarray, ranges: int) -> np.ndarray:
@@ -199,84 +239,79 @@ class Block:
 # --- counting and probing ----------------------------------------------------------------------------------
 
 
-def units_of(docs: DataFrame) -> DataFrame:
-    """unit, doc_id, text, train: every unit whole and in a row within one partition. A unit is made of the rows
-    that one task reads one after another."""
+def units_of(docs: DataFrame, parts: int) -> DataFrame:
+    """unit, rows: about ``UNIT_BYTES`` of texts that one task reads one after another, as a compressed table of
+    doc_id, text, train."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unit, size = TaskContext.get().partitionId() << 32, 0
+        unit, size, held = TaskContext.get().partitionId() << 32, 0, []
+
+        def row() -> pa.RecordBatch:
+            out = io.BytesIO()
+            with ipc.new_stream(out, held[0].schema, options=ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for part in held:
+                    stream.write_batch(part)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([unit], pa.int64()), pa.array([out.getvalue()], pa.binary())], names=["unit", "rows"])
+
         for batch in batches:
             _, offsets = utf8_of(batch.column(1))
-            which = []
-            for n in np.diff(offsets).tolist():
-                if size and size + n > UNIT_BYTES:
-                    unit, size = unit + 1, 0
-                which.append(unit)
-                size += n
-            yield pa.RecordBatch.from_arrays([pa.array(which, pa.int64()), *batch.columns], names=["unit", *batch.schema.names])
-
-    dealt = docs.mapInArrow(deal, "unit long, doc_id long, text string, train boolean")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return dealt.repartition(parts, "unit").sortWithinPartitions("unit")
-
-
-def whole_units(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table]]:
-    """The rows of one unit after another, from batches in the order of units."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        units = batch.column(0).to_numpy()
-        cuts = [0, *(np.flatnonzero(units[1:] != units[:-1]) + 1).tolist(), len(units)]
-        for a, b in zip(cuts, cuts[1:]):
-            if held and b > a and held[0].column(0)[0].as_py() != int(units[a]):
-                yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
-                held = []
-            if b > a:
+            for a, b in blocks(offsets[-1:], offsets, UNIT_BYTES // 4):
                 held.append(batch.slice(a, b - a))
-    if held:
-        yield held[0].column(0)[0].as_py(), pa.Table.from_batches(held)
+                size += int(offsets[b] - offsets[a])
+                if size >= UNIT_BYTES:
+                    yield row()
+                    unit, size = unit + 1, 0
+        if held:
+            yield row()
+
+    return docs.mapInArrow(deal, "unit long, rows binary").repartition(parts, "unit")
+
+
+def opened(raw: bytes) -> pa.Table:
+    with ipc.open_stream(raw) as stream:
+        return stream.read_all()
 
 
 def distinct_of(hashes: np.ndarray, ranges: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
     """The distinct n-grams in order, where each token's stands among them, and (range, from, to) of each range."""
-    found, at = np.unique(hashes, return_inverse=True)
+    found, at = sorted_distinct(hashes)
     part = range_of(found, ranges)
     cuts = np.append(np.flatnonzero(np.append(True, part[1:] != part[:-1])), len(part))
     return found, at, list(zip(part[cuts[:-1]].tolist(), cuts[:-1].tolist(), cuts[1:].tolist()))
 
 
-def counted(units: DataFrame, ranges: int, kinds: tuple = KINDS) -> DataFrame:
-    """unit, kind, r, keys, counts: the distinct n-grams of each unit by range, with their training counts."""
+def counted(units: DataFrame, ranges: int) -> DataFrame:
+    """unit, kind, r, n, keys, counts: the distinct n-grams of each unit by range, with their training counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for unit, rows in whole_units(batches):
+        for unit, raw in ((u, r) for batch in batches for u, r in zip(batch.column(0).to_pylist(), batch.column(1))):
+            rows = opened(raw.as_buffer())
             tokens, row = tokens_of_texts(rows.column("text"))
             train = rows.column("train").combine_chunks().to_numpy(zero_copy_only=False)[row]
             for kind, hashes in ngrams(tokens, row).items():
-                if kind not in kinds:
-                    continue
                 found, at, spans = distinct_of(hashes, ranges)
                 counts = np.bincount(at[train], minlength=len(found)).astype("<u4")
                 del hashes, at
                 keys = keys_of(kind, found, ranges)
-                pack = np.ndarray.tobytes if kind == 1 else packed
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.full(len(spans), unit)), pa.array(np.full(len(spans), kind, np.int32)), pa.array([r for r, _, _ in spans], pa.int32()),
-                        pa.array([pack(keys[a:b]) for _, a, b in spans], pa.binary()), pa.array([counts[a:b].tobytes() for _, a, b in spans], pa.binary()),
+                        pa.array([b - a for _, a, b in spans], pa.int32()), pa.array([packed(keys[a:b]) for _, a, b in spans], pa.binary()),
+                        pa.array([shrunk(counts[a:b]) for _, a, b in spans], pa.binary()),
                     ],
-                    names=["unit", "kind", "r", "keys", "counts"],
+                    names=["unit", "kind", "r", "n", "keys", "counts"],
                 )
 
-    return units.mapInArrow(count, "unit long, kind int, r int, keys binary, counts binary")
+    return units.mapInArrow(count, "unit long, kind int, r int, n int, keys binary, counts binary")
 
 
-def added_up(kind: int, table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a range's rows: the sizes of each, all their keys, the distinct keys, where each key stands, and the counts."""
-    own = [np.frombuffer(x, "<u8") if kind == 1 else unpacked(x) for x in table.column("keys").to_pylist()]
-    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
-    keys = np.concatenate(own)
-    found, at = np.unique(keys, return_inverse=True)
-    return [len(x) for x in own], keys, found, at, np.bincount(at, counts, minlength=len(found)).astype(np.int64)
+def added_up(table: pa.Table) -> tuple[list[int], np.ndarray, np.ndarray, np.ndarray]:
+    """Of a range's rows: the sizes of each, the distinct keys, where each key stands among them, and their counts."""
+    sizes = table.column("n").to_pylist()
+    found, at = sorted_distinct(np.concatenate([unpacked(x) for x in table.column("keys").to_pylist()]))
+    counts = np.concatenate([grown(x, "<u4", n) for x, n in zip(table.column("counts").to_pylist(), sizes)])
+    return sizes, found, at, np.bincount(at, counts, minlength=len(found)).astype(np.int64)
 
 
 def totals_of(rows: DataFrame, ranges: int) -> tuple[int, int]:
@@ -284,23 +319,22 @@ def totals_of(rows: DataFrame, ranges: int) -> tuple[int, int]:
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8_of(batch.column(0))
-            for a, b in blocks(data, offsets, 8 * BLOCK_BYTES):
-                found, at, spans = distinct_of(tokens_of_texts(batch.column(0).slice(a, b - a))[0], ranges)
-                counts = np.bincount(at, minlength=len(found)).astype("<u4")
+            _, offsets = utf8_of(batch.column(0))
+            for a, b in blocks(offsets[-1:], offsets, UNIT_BYTES):
+                tokens = tokens_of_texts(batch.column(0).slice(a, b - a))[0]
+                found, _, spans = distinct_of(tokens, few)
+                totals = [len(tokens), *[0] * (len(spans) - 1)]
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([r for r, _, _ in spans], pa.int32()), pa.array([found[x:y].tobytes() for _, x, y in spans], pa.binary()),
-                        pa.array([counts[x:y].tobytes() for _, x, y in spans], pa.binary()),
-                    ],
-                    names=["r", "keys", "counts"],
+                    [pa.array([r for r, _, _ in spans], pa.int32()), pa.array(totals, pa.int64()), pa.array([packed(found[x:y]) for _, x, y in spans], pa.binary())],
+                    names=["r", "total", "keys"],
                 )
 
     def add(table: pa.Table) -> pa.Table:
-        counts = added_up(1, table)[4]
-        return pa.table({"total": pa.array([int(counts.sum())], pa.int64()), "types": pa.array([len(counts)], pa.int64())})
+        types = len(sorted_distinct(np.concatenate([unpacked(x) for x in table.column("keys").to_pylist()]))[0])
+        return pa.table({"total": pa.array([sum(table.column("total").to_pylist())], pa.int64()), "types": pa.array([types], pa.int64())})
 
-    parts = rows.where("train").select("text").mapInArrow(words, "r int, keys binary, counts binary")
+    few = max(1, ranges // 4)  # words are fewer than pairs
+    parts = rows.where("train").select("text").mapInArrow(words, "r int, total long, keys binary")
     total, types = parts.groupBy("r").applyInArrow(add, "total long, types long").agg(F.sum("total"), F.sum("types")).first()
     return total or 0, types or 0
 
@@ -311,21 +345,19 @@ def answers(keyed: DataFrame, shape: Shape) -> DataFrame:
 
     def answer(table: pa.Table) -> pa.Table:
         kind = table.column("kind")[0].as_py()
-        sizes, keys, found, at, counts = added_up(kind, table)
+        sizes, found, at, counts = added_up(table)
         if kind == 1:
-            out, width = counts[at].astype("<u8"), 8
+            out = counts[at]
         else:
             seen = counts > 0
-            block = Block.build(shape, found[seen], level_of(counts[seen]))
-            del at, found, counts
-            out, width = block.levels(keys).astype("<u2"), 2
-        raw, ends = out.tobytes(), np.cumsum([0, *sizes]) * width
+            out = Block.build(shape, found[seen], level_of(counts[seen])).levels(found)[at]
+        ends = np.cumsum([0, *sizes]).tolist()
         return pa.table({
-            "unit": table.column("unit"), "kind": table.column("kind"), "r": table.column("r"),
-            "found": pa.array([raw[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())], pa.binary()),
+            "unit": table.column("unit"), "kind": table.column("kind"), "r": table.column("r"), "n": table.column("n"),
+            "found": pa.array([shrunk(out[a:b].astype("<i8" if kind == 1 else "<u2")) for a, b in zip(ends, ends[1:])], pa.binary()),
         })
 
-    return keyed.groupBy("kind", "r").applyInArrow(answer, "unit long, kind int, r int, found binary")
+    return keyed.groupBy("kind", "r").applyInArrow(answer, "unit long, kind int, r int, n int, found binary")
 
 
 # --- scores ------------------------------------------------------------------------------------------------
@@ -361,32 +393,35 @@ def with_train(docs: DataFrame, train: Column) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(train, F.lit(False)).alias("train"))
 
 
-def ranges_for(rows: DataFrame) -> tuple[int, int]:
-    """A range for every ``RANGE_BYTES`` of text, and the number of training texts."""
+def sizes_of(rows: DataFrame) -> tuple[int, int, int]:
+    """A range for every ``RANGE_BYTES`` of text, a partition for every half unit (so that few share one), and the
+    number of training texts."""
     size, texts = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
-    return max(1, ceil((size or 0) / RANGE_BYTES)), texts
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * ceil((size or 0) / UNIT_BYTES))
+    return max(1, ceil((size or 0) / RANGE_BYTES)), parts, texts
 
 
 def score(docs: DataFrame, train: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs``; the model is that of the
     rows where ``train`` holds."""
     rows = with_train(docs, train)
-    ranges, texts = ranges_for(rows)
+    ranges, parts, texts = sizes_of(rows)
     total, types = totals_of(rows, ranges)
-    units, shape = units_of(rows), Shape(types)
+    units, shape = units_of(rows, parts), Shape(types)
 
     def finish(key: tuple, own: pa.Table, found: pa.Table) -> pa.Table:
-        tokens, row = tokens_of_texts(own.column("text"))
+        rows = opened(own.column("rows")[0].as_buffer())
+        tokens, row = tokens_of_texts(rows.column("text"))
         order = np.lexsort((found.column("r").to_numpy(), found.column("kind").to_numpy())).tolist()
-        kinds, raw = found.column("kind").to_pylist(), found.column("found").to_pylist()
+        kinds, sizes, raw = (found.column(c).to_pylist() for c in ("kind", "n", "found"))
         counts = {}
         for kind, hashes in ngrams(tokens, row).items():
-            levels = np.frombuffer(b"".join(raw[i] for i in order if kinds[i] == kind), "<u8" if kind == 1 else "<u2")
-            distinct, at = np.unique(hashes, return_inverse=True)
-            if len(distinct) != len(levels):
+            distinct, at = sorted_distinct(hashes)
+            answered = np.concatenate([grown(raw[i], "<i8" if kind == 1 else "<u2", sizes[i]) for i in order if kinds[i] == kind])
+            if len(distinct) != len(answered):
                 raise ValueError("the answers are not those of this unit's n-grams")
-            counts[kind] = (levels.astype(np.float64) if kind == 1 else count_of(levels))[at]
-        return pa.Table.from_batches([_scored(own.column("doc_id").combine_chunks(), tokens, row, counts, texts, total, types)])
+            counts[kind] = (answered.astype(np.float64) if kind == 1 else count_of(answered))[at]
+        return pa.Table.from_batches([_scored(rows.column("doc_id").combine_chunks(), tokens, row, counts, texts, total, types)])
 
     back = answers(counted(units, ranges), shape)
     return units.groupBy("unit").cogroup(back.groupBy("unit")).applyInArrow(finish, SCORED)
@@ -417,21 +452,21 @@ def model_of(docs: DataFrame, train: Column, max_bytes: int = FILTER_BYTES) -> M
     """The model of the rows where ``train`` holds, on the driver; an error where its filter has over ``max_bytes``
     (``score`` has no such bound)."""
     rows = with_train(docs, train).where("train")
-    ranges, texts = ranges_for(rows)
+    ranges, parts, texts = sizes_of(rows)
     total, types = totals_of(rows, ranges)
     model = Model(ranges, texts, total, types, Shape(types))
     shape = model.shape
 
     def build(table: pa.Table) -> pa.Table:
         kind, r = table.column("kind")[0].as_py(), table.column("r")[0].as_py()
-        _, _, found, _, counts = added_up(kind, table)
+        _, found, _, counts = added_up(table)
         block = Block.build(shape, found, level_of(counts)) if kind > 1 else None
         return pa.table({
             "kind": pa.array([kind], pa.int32()), "r": pa.array([r], pa.int32()), "size": pa.array([block.size if block else 0], pa.int64()),
             "bits": pa.array([block.bits.tobytes() if block else found.tobytes()], pa.binary()), "counts": pa.array([b"" if block else counts.tobytes()], pa.binary()),
         })
 
-    made = counted(units_of(rows), ranges).groupBy("kind", "r").applyInArrow(build, "kind int, r int, size long, bits binary, counts binary")
+    made = counted(units_of(rows, parts), ranges).groupBy("kind", "r").applyInArrow(build, "kind int, r int, size long, bits binary, counts binary")
     made = materialize(made, "filter")
     size = made.agg(F.sum(F.length("bits") + F.length("counts"))).first()[0] or 0
     if size > max_bytes:

@@ -147,12 +147,14 @@ def score(docs: DataFrame, model: SubwordClassifier, column: str = "score") -> D
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, found: bool = False) -> SubwordClassifier:
     """The model of this corpus: labels are sampled first, so that few texts are joined (by broadcast of at most
-    ``max_rows`` ids). With ``found`` only labels of rows of ``docs`` are sampled."""
+    ``max_rows`` ids), and of the rows that have these ids as many at most. With ``found`` only labels of rows of
+    ``docs`` are sampled."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id", 3, 1))
     if found:
         known = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
     sample = bounded_sample(known.select(F.col("doc_id").alias("id_"), F.col("quality").alias("label")), "id_", max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
+    rows = bounded_sample(rows, ["doc_id", "text", "label"], max_rows)
     return fit_in_task(rows, lambda texts, found: SubwordClassifier().fit(texts, found))
 
 

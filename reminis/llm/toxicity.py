@@ -1,22 +1,27 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two models, of toxic and of ordinary labelled texts, give a word the likelihood of its bytes and end, each
-under the bytes before it (``ORDER - 1`` at most, from the word's start). A class's own discounted counts decide
-at the longest context; below it both classes share one Kneser-Ney chain over the pooled counts, with a weight
-of ``BACKOFF`` counts, so that an expression too rare in a class falls back to the same estimate in both.
-
-The difference of a word's two log-likelihoods is its evidence. A text's language and style move all of its
-words alike, so the text's median is taken off first; what words have beyond that by more than ``MARGIN`` is
-added up and divided by the number of words. A logistic curve over its square root, fitted on texts that the
-counted half did not hold, makes it a probability under the labels' class shares.
-
-The fit takes at most ``max_rows`` labelled documents of each class (those with the smallest hashes of their
-ids), gathered in one task. Scoring covers all rows and whole texts, without a shuffle: a worker scores each
-distinct word once and keeps at most ``KEPT`` of them.
-
-Defined cases: a text without words (null, empty) has no evidence and scores by the curve at zero; without
-labelled documents every score is 0.5, with one class that class's end (0 or 1); null labels are ignored;
-repeated rows are scored alike; other columns are not read.
+Two models, of toxic and of ordinary labelled texts, give each expression (a word, or two neighbouring characters
+of a script without word breaks) its likelihood. A class's own discounted counts come first (n_c is the number of its
+texts that hold an expression: a line that one text repeats is no more evidence); what the discount sets free, at least ``BACKOFF`` of all, is shared: both classes fall back to the same Kneser-Ney estimate, the number of
+different expressions that precede one in either class, plus ``RARE``. So an expression that neither class knows says
+nothing, and one that is rare in a class says little:
+
+    P(w) = (N1+(. w) + RARE) / (N1+(. .) + RARE (V + 1))
+    P_c(w) = (1 - g) max(n_c(w) - D, 0) / sum of these + g P(w)
+
+An expression's evidence is log P_toxic - log P_ordinary. The mean evidence of a text's expressions, the plain
+length-normalised difference, cannot tell the classes apart where a toxic text has one toxic word in a hundred: it
+follows the share of languages in the two samples (the README has figures). So a text is compared over its ``TELLING``
+expressions that speak most for toxic, and its length enters the curve: chance alone gives a long text stronger
+expressions. A logistic curve over (sum of evidence, log of length), fitted on each of ``FOLDS`` parts of the texts by
+the counts of the others, makes it a probability under the labels' class shares. Nothing is taken off and no evidence is cut.
+
+The fit takes at most ``max_rows`` labelled documents of each class (those with the smallest hashes of ids and texts),
+gathered in one task. Scoring covers all rows and whole texts, without a shuffle, by one look-up for each expression.
+
+Defined cases: a text without expressions (null, empty) scores by the curve at zero; without labelled documents
+every score is 0.5, with one class that class's end (0 or 1); null labels are ignored; repeated rows are scored
+alike; other columns are not read.
 """
 
 from __future__ import annotations
@@ -30,13 +35,12 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, HashTable, blocks, bounded_sample, byte_hashes, fit_in_task, held_out, read_table, utf8_of, words_of
 
-ORDER = 7
 DISCOUNT = 0.75
-BACKOFF = 30.0
-SHARED = 2
-MARGIN = 2.0
+BACKOFF = 0.05
+RARE = 20.0
+TELLING = 3
+FOLDS = 5
 MAX_ROWS = 2000
-KEPT = 1 << 20
 
 #: Bytes that stand between words: all of ASCII but letters and digits.
 BREAKS = np.ones(256, bool)
@@ -44,170 +48,104 @@ BREAKS[128:] = False
 BREAKS[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
 
 
-class Counts:
-    """Numbers by 64-bit key."""
-
-    def __init__(self, keys: np.ndarray, *columns: np.ndarray):
-        self.table, self.columns = HashTable(), columns
-        self.table.insert(keys)
-
-    def get(self, keys: np.ndarray) -> list[np.ndarray]:
-        at = self.table.find(keys)
-        return [np.where(at < 0, 0, column[at]) for column in self.columns]
-
-
-def grouped(keys: np.ndarray, *weights: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, [np.bincount(at, w, minlength=len(found)) for w in weights]
-
-
-def framed(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words as one line "<word>...", the place of every byte and end that is to be predicted, and for
-    each the place where its word begins. The marks are never bytes of words."""
-    lengths = stops - starts
-    at = np.cumsum(lengths + 2) - lengths - 2
-    line = np.empty(int((lengths + 2).sum()), np.uint8)
-    index = np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))
-    line[at], line[at + lengths + 1] = ord("<"), ord(">")
-    line[index + np.repeat(at + 1 - starts, lengths)] = data[index]
-    begin = np.repeat(at.astype(np.int32), lengths + 1)  # a line is far shorter than 2 GB; this halves the fit's memory
-    before = np.repeat((np.cumsum(lengths + 1) - lengths - 1).astype(np.int32), lengths + 1)
-    return line, begin + np.int32(1) + np.arange(len(begin), dtype=np.int32) - before, begin
+def expressions_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, stops and rows of a block's expressions, in order. Characters of three or four UTF-8 bytes are no
+    letters of words: each makes an expression with the one right after it, or alone where it has no neighbour."""
+    leads = np.flatnonzero(data >= 0xE0)
+    if not len(leads):
+        return words_of(data, offsets, BREAKS)
+    ends = leads + 3 + (data[leads] >= 0xF0)
+    plain = data.copy()
+    for k in range(4):
+        plain[leads[ends - leads > k] + k] = 0x20
+    starts, stops, row = words_of(plain, offsets, BREAKS)
+    own = np.searchsorted(offsets, leads, "right") - 1
+    next_to = np.append((leads[1:] == ends[:-1]) & (own[1:] == own[:-1]), False)
+    after = np.append(False, next_to[:-1])
+    use = next_to | ~after
+    wide_stops = np.where(next_to, np.append(ends[1:], 0), ends)[use]
+    starts, stops, row = (np.concatenate(x) for x in ((starts, leads[use]), (stops, wide_stops), (row, own[use])))
+    order = np.argsort(starts, kind="stable")
+    return starts[order], stops[order], row[order]
+
+
+def hashed_expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of each expression, A-Z lower-cased."""
+    data = LOWER[data]
+    starts, stops, row = expressions_of(data, offsets)
+    return byte_hashes(data, starts, stops), row
 
 
 class KneserNey:
-    """Byte models of words for two classes with a shared backoff chain."""
-
-    def __init__(self, order: int = ORDER, discount: float = DISCOUNT, backoff: float = BACKOFF):
-        self.order, self.discount, self.backoff = order, discount, backoff
-        self.shared: list[tuple[Counts, Counts]] = []
-
-    def fit(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, weights: np.ndarray) -> KneserNey:
-        """Distinct words and how often each class has them (words x 2)."""
-        line, places, begin = framed(data, starts, stops)
-        word = np.repeat(np.arange(len(starts), dtype=np.int32), stops - starts + 1)
-        longest = np.minimum(places - begin, np.int32(self.order - 1))
-        del begin
-        events = byte_hashes(line, places - longest, places + 1)
-        keys, (toxic, other) = grouped(events, weights[word, 1], weights[word, 0])
-        del word
-        _, first = np.unique(events, return_index=True)
-        del events
-        contexts = byte_hashes(line, places - longest, places)
-        self.events = Counts(keys, toxic, other)
-        keys, sums = grouped(contexts[first], toxic, other, toxic > 0, other > 0)
-        self.contexts = Counts(keys, *sums, sums[0] + sums[1], grouped(contexts[first], np.ones(len(first)))[1][0])
-        del contexts, first, toxic, other, sums
-        self.shared = []
-        for k in range(self.order - 1):
-            at = places[longest > k]
-            _, first = np.unique(byte_hashes(line, at - k - 1, at + 1), return_index=True)  # distinct left neighbours
-            at = at[first]
-            events = byte_hashes(line, at - k, at + 1)
-            keys, (n,) = grouped(events, np.ones(len(at)))
-            _, first = np.unique(events, return_index=True)
-            sums_of, sums = grouped(byte_hashes(line, at[first] - k, at[first]), n, np.ones(len(first)))
-            self.shared.append((Counts(keys, n), Counts(sums_of, *sums)))
-        return self
-
-    def evidence(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Log-likelihood of each word if toxic less that if ordinary."""
-        line, places, begin = framed(data, starts, stops)
-        longest = np.minimum(places - begin, self.order - 1)
-        chance = np.full(len(places), 1 / 257)
-        d = self.discount
-        for k, (events, contexts) in enumerate(self.shared):
-            use = np.flatnonzero(longest > k)
-            at = places[use]
-            (n,), (total, kinds) = events.get(byte_hashes(line, at - k, at + 1)), contexts.get(byte_hashes(line, at - k, at))
-            seen = total > 0
-            use, n, total, kinds = use[seen], n[seen], total[seen], kinds[seen]
-            chance[use] = (np.maximum(n - d, 0) + d * kinds * chance[use]) / total
-        own = self.events.get(byte_hashes(line, places - longest, places + 1))
-        above = self.contexts.get(byte_hashes(line, places - longest, places))
-        total = above[4]
-        pooled = (np.maximum(own[0] + own[1] - d, 0) + d * above[5] * chance) / np.maximum(total, 1)
-        chance = np.where(total > 0, pooled, chance)
-        logs = []
-        for c in (0, 1):
-            total = above[c]
-            p = (np.maximum(own[c] - d, 0) + d * above[2 + c] * chance) / np.maximum(total, 1)
-            own_share = np.where(longest >= SHARED, total / (total + self.backoff), 0)
-            logs.append(np.log(own_share * p + (1 - own_share) * chance))
-        sums = np.cumsum(np.append(0, logs[0] - logs[1]))
-        ends = np.cumsum(stops - starts + 1)
-        return sums[ends] - sums[ends - (stops - starts + 1)]
-
-
-class WordScores:
-    """Evidence of words, computed once for each; emptied when it holds ``KEPT``."""
-
-    def __init__(self, model: KneserNey):
-        self.model = model
-        self._empty()
-
-    def _empty(self) -> None:
-        self.known, self.values = HashTable(16), np.zeros(1 << 16)
-
-    def of_texts(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Length-normalised evidence of each text; zero without words."""
-        rows = len(offsets) - 1
-        data = LOWER[data]
-        starts, stops, row = words_of(data, offsets, BREAKS)
-        if not len(starts):
-            return np.zeros(rows)
-        if self.known.n > KEPT:
-            self._empty()
-        keys = byte_hashes(data, starts, stops)
-        at = self.known.find(keys)
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            fresh, first, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            n = self.known.n
-            self.known.insert(fresh)
-            while self.known.n > len(self.values):
-                self.values = np.resize(self.values, 2 * len(self.values))
-            self.values[n : self.known.n] = self.model.evidence(data, starts[new[first]], stops[new[first]])
-            at[new] = n + back
-        value, n = self.values[at], np.bincount(row, minlength=rows)
-        first = np.cumsum(n) - n
-        middle = np.minimum(first + n // 2, len(value) - 1)
-        beyond = np.maximum(value - value[np.lexsort((value, row))[middle]][row] - MARGIN, 0)
-        return np.sqrt(np.bincount(row, beyond, minlength=rows) / np.maximum(n, 1))
-
-
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
-    """Slope and offset of a weighted logistic curve, by Newton's method with a small ridge."""
-    scale = float(np.std(x)) or 1.0
-    design = np.stack([x / scale, np.ones(len(x))], axis=1)
-    beta = np.zeros(2)
+    """The two models, from expressions (hashes, in order), their texts' rows and the texts' labels."""
+
+    def __init__(self, keys: np.ndarray, row: np.ndarray, labels: np.ndarray, discount: float = DISCOUNT, backoff: float = BACKOFF, rare: float = RARE):
+        self.known, at = np.unique(keys, return_inverse=True)
+        before = np.where(np.append(-1, row[:-1]) == row, np.append(-1, at[:-1]), -1) + 1
+        different = np.unique(before * len(self.known) + at) % max(1, len(self.known))
+        self.preceding = np.bincount(different, minlength=len(self.known)).astype(np.float64)
+        text, once = np.divmod(np.unique(row * np.int64(len(self.known)) + at), max(1, len(self.known)))
+        self.counts = np.stack([np.bincount(once, labels[text] == c, minlength=len(self.known)) for c in (0, 1)])
+        own = np.maximum(self.counts - discount, 0)
+        sums = own.sum(1)
+        self.backoff = max(backoff, *(1 - sums / np.maximum(self.counts.sum(1), 1)).tolist())
+        types = len(self.known)
+        self.shared = (self.preceding + rare) / (self.preceding.sum() + rare * (types + 1))
+        self.likelihood = (1 - self.backoff) * own / np.maximum(sums, 1e-300)[:, None] + self.backoff * self.shared
+
+    def evidence(self) -> np.ndarray:
+        return np.log(self.likelihood[1]) - np.log(self.likelihood[0])
+
+
+class Evidence:
+    """What scoring needs: the expressions that speak for toxic, and how much. All others count as zero, as the
+    ``TELLING`` strongest do where they speak against it."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.keys, self.values, self.table = keys[values > 0], values[values > 0].astype(np.float32), None
+
+    def of(self, keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+        """For each text the sum of its ``TELLING`` strongest evidences, and the log of its length: rows x 2."""
+        if self.table is None:  # once for a worker
+            self.table = HashTable()
+            self.table.insert(self.keys)
+        at = self.table.find(keys)
+        there = np.flatnonzero(at >= 0)
+        value, own = self.values[at[there]].astype(np.float64), row[there]
+        order = np.lexsort((-value, own))
+        value, own = value[order], own[order]
+        n = np.bincount(own, minlength=rows)
+        nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+        strong = nth < TELLING
+        sums = np.bincount(own[strong], value[strong], minlength=rows)
+        return np.stack([sums, np.log1p(np.bincount(row, minlength=rows))], axis=1)
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": None}
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
+    """Slopes and offset of a weighted logistic curve, by Newton's method with a small ridge."""
+    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+    design = np.column_stack([x / scale, np.ones(len(x))])
+    beta = np.zeros(design.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - 1e-3 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(beta))
         step = np.linalg.solve(hessian, gradient)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0] / scale), float(beta[1])
+    return beta[:-1] / scale, float(beta[-1])
 
 
 class ToxicityModel:
-    """Two Kneser-Ney models and the curve over their difference."""
-
-    def __init__(self, order: int = ORDER, discount: float = DISCOUNT):
-        self.order, self.discount = order, discount
-        self.model: KneserNey | None = None
-        self.slope, self.offset = 0.0, 0.0
-
-    def _count(self, data: np.ndarray, offsets: np.ndarray, labels: np.ndarray, use: np.ndarray) -> KneserNey:
-        starts, stops, row = words_of(data, offsets, BREAKS)
-        own = use[row]
-        starts, stops, toxic = starts[own], stops[own], labels[row[own]]
-        keys = byte_hashes(data, starts, stops)
-        _, first, at = np.unique(keys, return_index=True, return_inverse=True)
-        weights = np.stack([np.bincount(at, toxic == c, minlength=len(first)) for c in (0, 1)], axis=1)
-        return KneserNey(self.order, self.discount).fit(data, starts[first], stops[first], weights)
+    """Two Kneser-Ney models, as the evidence of expressions, and the curve over it."""
+
+    def __init__(self) -> None:
+        self.model: Evidence | None = None
+        self.slopes, self.offset = np.zeros(2), 0.0
 
     def fit(self, texts: list[str], labels: np.ndarray, share: float) -> ToxicityModel:
         """``share``: that of toxic documents among all labelled ones."""
@@ -215,29 +153,33 @@ class ToxicityModel:
         if len(set(labels.tolist())) < 2:
             self.offset = 0.0 if not len(labels) else (40.0 if labels[0] else -40.0)
             return self
-        data, offsets = utf8_of(pa.array(texts, pa.string()))
-        data = LOWER[data]
-        fold = np.arange(len(labels)) % 2
-        for c in (0, 1):  # both folds get their half of either class
-            fold[labels == c] = np.arange(int((labels == c).sum())) % 2
-        x = np.zeros(len(labels))
-        for half in (0, 1):
-            own = self._count(data, offsets, labels, fold != half)
-            x = np.where(fold == half, WordScores(own).of_texts(data, offsets), x)
+        data, offsets = utf8_of(pa.array(texts, pa.large_string()))
+        parts = [(a, *hashed_expressions(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])) for a, b in blocks(data, offsets)]
+        keys, row = np.concatenate([k for _, k, _ in parts]), np.concatenate([a + r for a, _, r in parts])
+        fold = np.zeros(len(labels), np.int64)
+        for c in (0, 1):  # every fold gets its part of either class
+            fold[labels == c] = np.arange(int((labels == c).sum())) % FOLDS
+        x = np.zeros((len(labels), 2))
+        for part in range(FOLDS):
+            counted = fold[row] != part
+            own = KneserNey(keys[counted], row[counted], labels)
+            x = np.where((fold == part)[:, None], Evidence(own.known, own.evidence()).of(keys, row, len(labels)), x)
         weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum()) * len(labels)
-        self.slope, self.offset = logistic(x, labels, weight)
-        self.model = self._count(data, offsets, labels, np.ones(len(labels), bool))
+        self.slopes, self.offset = logistic(x, labels, weight)
+        whole = KneserNey(keys, row, labels)
+        self.model = Evidence(whole.known, whole.evidence())
         return self
 
-    def logits(self, words: WordScores | None, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        x = words.of_texts(data, offsets) if words else np.zeros(len(offsets) - 1)
-        return self.slope * x + self.offset
+    def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        rows = len(offsets) - 1
+        x = self.model.of(*hashed_expressions(data, offsets), rows) if self.model else np.zeros((rows, 2))
+        return x @ self.slopes + self.offset
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, found: bool = False) -> ToxicityModel:
     """The model of this corpus: labels are sampled by class first, so that few texts are joined (by broadcast
-    of at most twice ``max_rows`` ids). With ``found`` only labels of rows of ``docs`` are sampled; class shares
-    are those of all labels."""
+    of at most twice ``max_rows`` ids), and of the rows that have these ids as many at most. With ``found`` only labels
+    of rows of ``docs`` are sampled; class shares are those of all labels."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).where(~held_out("doc_id", 5, 0))
     known = known.select("doc_id", F.col("toxic").cast("int").alias("label"))
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -246,6 +188,7 @@ def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, found:
     sample = bounded_sample(known.where("label = 1"), "doc_id", max_rows).union(bounded_sample(known.where("label = 0"), "doc_id", max_rows))
     sample = sample.withColumnRenamed("doc_id", "id_")
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("id_")).select("doc_id", "text", "label")
+    rows = bounded_sample(rows, ["doc_id", "text", "label"], 2 * max_rows)
     share = shares.get(1, 0) / max(1, shares.get(0, 0) + shares.get(1, 0))
     return fit_in_task(rows, lambda texts, found: ToxicityModel().fit(texts, found, share))
 
@@ -258,10 +201,9 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        words = WordScores(own.model) if own.model else None
         for batch in batches:
             data, offsets = utf8_of(batch.column(at))
-            z = [own.logits(words, data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(data, offsets)]
+            z = [own.logits(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]) for a, b in blocks(data, offsets)]
             z = np.concatenate(z or [np.zeros(0)])
             p = pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in kept), p], names=[*(batch.schema.names[i] for i in kept), column])

@@ -141,17 +141,6 @@ def test_toxicity_held_out(spark):
     assert all(x.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and 0 <= x.score <= 1 for i, x in found.items())
 
 
-def test_kneser_ney_tells_the_classes_apart():
-    """Of the words abc, abd, abe, acb the third is mostly toxic and the last never; unseen words are finite."""
-    data = np.frombuffer(b"abcabdabeacb", np.uint8)
-    starts, stops = np.array([0, 3, 6, 9]), np.array([3, 6, 9, 12])
-    model = toxicity.KneserNey(order=3).fit(data, starts, stops, np.array([[3, 1], [2, 2], [1, 5], [4, 0]]))
-    found = model.evidence(data, starts, stops)
-    assert found[2] > found[1] > found[3] and found[2] > found[0]
-    unseen = np.frombuffer(b"zzz\xc3\xa9", np.uint8)
-    assert np.isfinite(model.evidence(unseen, np.array([0]), np.array([5]))).all()
-
-
 def test_classifiers_on_edge_cases(spark):
     docs = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (2, "", "b"), (None, "no id here", None), (3, "long " * 30000, "x"), (4, "fine words", "y")], SCHEMA)
     docs = docs.withColumn("score", F.lit("taken"))
