@@ -15,7 +15,8 @@ Within a piece that the boundary cuts, the ids of its halves are joined in the s
 of ids on both sides is merged anew and grows until the ids at its edges and those outside stay apart when they are
 merged as a pair. That proves the whole: take the first merge in time that would cross an edge between neighbouring
 ids; until then the bytes of the two ids have merged as they would alone, so the pair alone would cross it as well.
-So an endless piece costs windows, not a merge of all of it at each level; matching the split pattern is linear.
+So an endless piece costs windows, not a merge of all of it at each level; matching the split pattern is linear. (A run
+of one character is the exception: its ids move along with the boundary, and windows grow until they meet again.)
 
 Decoding concatenates the bytes of halves up the tree.
 

@@ -1,19 +1,22 @@
 """Media columns: a Spark data source over directories of media archives.
 
-Writing. Every task packs its rows into one ZIP archive (members are stored as they are) and reports its name;
-the commit lists the archives in a manifest, so what a failed or repeated task left behind is never read.
+Writing. Every task packs its rows into ZIP archives (members are stored as they are), a new one after every
+``ARCHIVE_BYTES``, and reports their names; the commit lists them in a manifest of its own, written beside and then
+renamed, so what a failed or repeated task left behind is never read and two writers don't meet. Overwriting adds a
+manifest first and then deletes those before it with their archives.
 Reading. The plan needs file sizes alone: each archive is cut into byte ranges, and a range's task takes the
-members that begin in it, which the archive's own directory names. A range is read in one stream; a member that
+members that begin in it, which the archive's own directory names (its size is bounded as the archive's is). A range
+is read in one stream; a member that
 turns out short or corrupt is read again by its offset, by itself, up to ``retries`` times, and is then a row
-with its error. Batches of payloads stream to Spark as Arrow.
+with its error (the query fails on it). Batches of payloads stream to Spark as Arrow.
 
 A payload (UTF-8 of a text, zeros up to a positive multiple of ``ROW`` bytes) is kept as the samples of a grey
 PNG image of 8 bits, ``ROW`` wide; its own length is a text chunk of the image.
 
 Paths are any that pyarrow can open from every executor; the query writes to the session's shared folder.
 Defined cases: a null or empty text is ``ROW`` zero bytes; equal texts have equal images wherever they lie;
-repeated rows are members of their own; a null id comes back as null; an empty table makes archives without
-members and no rows; other columns are not read.
+repeated rows are members of their own; a null id comes back as null; an empty table makes no archives and no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -39,10 +42,11 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 from .common import read_table, scratch
 
 ROW = 64
-RANGE_BYTES = 4 << 20
+ARCHIVE_BYTES = 64 << 20
+RANGE_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
 RETRIES = 3
-MANIFEST = "manifest.json"
+MANIFEST = "manifest-"
 SCHEMA = "doc_id long, archive string, offset long, media binary, payload binary, n_bytes long, error string"
 # The PNG signature.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -111,9 +115,8 @@ def feature_of(payload: bytes) -> str:
 
 
 @dataclass
-class Archive(WriterCommitMessage):
-    name: str
-    size: int
+class Archives(WriterCommitMessage):
+    found: list[tuple[str, int]]  # name, size
 
 
 @dataclass
@@ -124,43 +127,59 @@ class ByteRange(InputPartition):
 
 
 class ArchiveWriter(DataSourceArrowWriter):
-    def __init__(self, path: str, overwrite: bool):
+    def __init__(self, path: str, overwrite: bool, options: dict):
         self.path, self.overwrite = path, overwrite
+        self.archive_bytes = int(options.get("archivebytes") or options.get("archiveBytes") or ARCHIVE_BYTES)
 
-    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archive:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Archives:
         files, root = fs.FileSystem.from_uri(self.path)
         files.create_dir(root, recursive=True)
-        name, n = f"archive-{uuid.uuid4().hex}.zip", 0
-        with files.open_output_stream(f"{root}/{name}") as out, zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
-            for batch in iterator:
-                ids, texts = batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text"))
-                for i in range(len(batch)):
-                    raw = (texts[i].as_py() or "").encode()
-                    archive.writestr(zipfile.ZipInfo(f"{ids[i].as_py()}/{n}.png"), encode_image(raw))
-                    n += 1
-        return Archive(name, files.get_file_info(f"{root}/{name}").size)
-
-    def commit(self, messages: list[Archive]) -> None:
+        members = (
+            (ids[i].as_py(), texts[i].as_py() or "")
+            for batch in iterator
+            for ids, texts in [(batch.column(batch.schema.get_field_index("doc_id")), batch.column(batch.schema.get_field_index("text")))]
+            for i in range(len(batch))
+        )
+        found: list[tuple[str, int]] = []
+        row = next(members, None)
+        while row is not None:
+            name, n = f"archive-{uuid.uuid4().hex}.zip", 0
+            with files.open_output_stream(f"{root}/{name}") as out:
+                with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as archive:
+                    while row is not None and archive.start_dir < self.archive_bytes:
+                        archive.writestr(zipfile.ZipInfo(f"{row[0]}/{n}.png"), encode_image(row[1].encode()))
+                        row, n = next(members, None), n + 1
+            found.append((name, files.get_file_info(f"{root}/{name}").size))
+        return Archives(found)
+
+    def commit(self, messages: list[Archives | None]) -> None:
         files, root = fs.FileSystem.from_uri(self.path)
         files.create_dir(root, recursive=True)
-        found = [] if self.overwrite else read_manifest(self.path, missing=True)
-        found += [{"name": m.name, "size": m.size} for m in messages if m]
-        with files.open_output_stream(f"{root}/{MANIFEST}") as out:
-            out.write(json.dumps(found).encode())
-
-    def abort(self, messages: list[Archive | None]) -> None:
+        before = manifests(files, root) if self.overwrite else []
+        name = f"{root}/{MANIFEST}{uuid.uuid4().hex}.json"
+        with files.open_output_stream(f"{name}.new") as out:
+            out.write(json.dumps([x for m in messages if m for x in m.found]).encode())
+        files.move(f"{name}.new", name)
+        for old in before:
+            gone = read_manifest(files, old)
+            files.delete_file(old)
+            for archive, _ in gone:
+                files.delete_file(f"{root}/{archive}")
+
+    def abort(self, messages: list[Archives | None]) -> None:
         files, root = fs.FileSystem.from_uri(self.path)
-        for m in messages:
-            if m:
-                files.delete_file(f"{root}/{m.name}")
+        for name, _ in (x for m in messages if m for x in m.found):
+            files.delete_file(f"{root}/{name}")
+
+
+def manifests(files: fs.FileSystem, root: str) -> list[str]:
+    found = files.get_file_info(fs.FileSelector(root))
+    return sorted(x.path for x in found if x.base_name.startswith(MANIFEST) and x.base_name.endswith(".json"))
 
 
-def read_manifest(path: str, missing: bool = False) -> list[dict]:
-    files, root = fs.FileSystem.from_uri(path)
-    if missing and files.get_file_info(f"{root}/{MANIFEST}").type == fs.FileType.NotFound:
-        return []
-    with files.open_input_stream(f"{root}/{MANIFEST}") as manifest:
-        return json.loads(manifest.read())
+def read_manifest(files: fs.FileSystem, path: str) -> list[tuple[str, int]]:
+    with files.open_input_stream(path) as manifest:
+        return [(name, size) for name, size in json.loads(manifest.read())]
 
 
 class ArchiveReader(DataSourceReader):
@@ -170,10 +189,12 @@ class ArchiveReader(DataSourceReader):
         self.retries = int(options.get("retries") or RETRIES)
 
     def partitions(self) -> list[ByteRange]:
+        files, root = fs.FileSystem.from_uri(self.path)
         return [
-            ByteRange(x["name"], begin, min(begin + self.range_bytes, x["size"]))
-            for x in read_manifest(self.path)
-            for begin in range(0, x["size"], self.range_bytes)
+            ByteRange(name, begin, min(begin + self.range_bytes, size))
+            for path in manifests(files, root)
+            for name, size in read_manifest(files, path)
+            for begin in range(0, size, self.range_bytes)
         ] or [ByteRange("", 0, 0)]
 
     @staticmethod
@@ -256,13 +277,13 @@ class MediaArchive(DataSource):
         return ArchiveReader(self.options["path"], dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> ArchiveWriter:
-        return ArchiveWriter(self.options["path"], overwrite)
+        return ArchiveWriter(self.options["path"], overwrite, dict(self.options))
 
 
-def store(docs: DataFrame, path: str) -> None:
+def store(docs: DataFrame, path: str, mode: str = "append", **options) -> None:
     """Write the texts as images to the archive directory ``path``."""
     docs.sparkSession.dataSource.register(MediaArchive)
-    docs.select(F.col("doc_id").cast("long"), "text").write.format("media_archive").mode("append").save(path)
+    docs.select(F.col("doc_id").cast("long"), "text").write.format("media_archive").options(**options).mode(mode).save(path)
 
 
 def load(spark: SparkSession, path: str, **options) -> DataFrame:
@@ -275,14 +296,13 @@ def feature(payload: pd.Series) -> pd.Series:
     return payload.map(feature_of, na_action="ignore")
 
 
-def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark, "media")
-    store(read_table(spark, sf_dir, "documents"), path)
-    read = load(spark, path)
+def digests(read: DataFrame) -> DataFrame:
+    """The query's columns, of rows that ``load`` read; a member that could not be read is an error."""
     size = F.length("payload").cast("long")
+    lost = F.raise_error(F.concat(F.lit("a member cannot be read: "), "archive", F.lit(" at "), "offset", F.lit(": "), "error"))
     return read.select(
         "doc_id",
-        "n_bytes",
+        F.when(F.col("error").isNull(), F.col("n_bytes")).otherwise(lost.cast("long")).alias("n_bytes"),
         size.alias("payload_bytes"),
         F.sha2("payload", 256).alias("payload_sha256"),
         F.crc32(F.expr(f"substring(payload, -{ROW}, {ROW})")).alias("tail_crc32"),
@@ -292,4 +312,10 @@ def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_media_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "media")
+    store(read_table(spark, sf_dir, "documents"), path)
+    return digests(load(spark, path))
+
+
 QUERIES = {"op9_media_archive": op9_media_archive}

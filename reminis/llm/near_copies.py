@@ -2,8 +2,10 @@
 
 Two texts are linked where the Jaccard similarity of their sets of shingles of ``WORDS`` words is at least
 ``SIMILARITY``; a group is a component of links. Texts with the same set are one node (``fp``, a 64-bit hash of the
-set). Candidates come from MinHash fingerprints: ``BANDS`` keys of ``ROWS`` minima each; a pair of similarity 0.8 shares
-none with a chance of 4 in 10,000. Every pair that shares a key is verified on the sets themselves unless links already
+set). Candidates come from two searches. One is operator 6: texts whose SimHash fingerprints the Gray-order index
+links, directly or by others, are one bucket. 64 bits cannot show all: texts of similarity 0.8 differ in ten of them,
+further than an index reaches. So MinHash adds ``BANDS`` keys of ``ROWS`` minima each; a pair of similarity 0.8
+shares none with a chance of 4 in 10,000. Every pair that shares a bucket or key is verified on the sets themselves unless links already
 connect it, so what is passed on is a spanning forest of true links. Keys with the same members are one bucket; buckets
 of over ``hot`` members are dealt out as pairs of chunks, so that none is cut and none meets in one task.
 
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import blocks, materialize, mix64, utf8_of
 from .components import connected_components
 from .minhash import _A, _B, SIMILARITY, WORDS, shingles
+from .simhash import fingerprints_of, near_components
 
 BANDS = 20
 ROWS = 5
@@ -102,8 +105,9 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
             for a, b in blocks(data, offsets):
                 x, begin, fp = distinct_shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 keys = band_keys(x, begin).view(np.int64)
+                print_ = fingerprints_of(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, BANDS, dtype=np.int32)), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), lists], names=["doc_id", "fp", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(fp.view(np.int64)), pa.array(print_), lists], names=["doc_id", "fp", "print", "keys"])
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,16 +136,17 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
             yield found()
 
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    keyed = materialize(slim.mapInArrow(signed, "doc_id long, fp long, keys array<long>"), "signatures")
-    distinct = materialize(keyed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("keys").alias("keys")), "sets")
-    entries = distinct.select("fp", F.explode("keys").alias("key"))
+    keyed = materialize(slim.mapInArrow(signed, "doc_id long, fp long, print long, keys array<long>"), "signatures")
+    distinct = materialize(keyed.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("print").alias("print"), F.first("keys").alias("keys")), "sets")
+    linked = near_components(distinct.select(F.col("print").alias("fp")).distinct()).select(F.col("node").alias("print"), "root")
+    near = distinct.join(linked, "print", "left").select("fp", F.xxhash64(F.coalesce("root", "print")).alias("key"))
+    entries = distinct.select("fp", F.explode("keys").alias("key")).union(near)
     crowds = entries.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x")).where("n > 1")
     buckets = crowds.select("key", "n", F.xxhash64("n", "x").alias("g"))
     members = materialize(entries.join(buckets, "key").select("g", "n", "fp").distinct(), "members")
     wanted = members.select("fp").distinct().join(distinct.select("fp", "least"), "fp")
     # the texts of the wanted sets, by id; then the sets themselves
-    near = F.coalesce("doc_id", F.lit(0)) == F.coalesce("least", F.lit(0))
-    same = near & (F.col("doc_id").isNull() == F.col("least").isNull())
+    same = (F.coalesce("doc_id", F.lit(0)) == F.coalesce("least", F.lit(0))) & (F.col("doc_id").isNull() == F.col("least").isNull())
     texts = slim.join(wanted.select("least").distinct(), same, "left_semi").select("text")
     shipped = materialize(texts.mapInArrow(sets, "fp long, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
     m = F.ceil(F.col("n") / hot).cast("int")

@@ -9,10 +9,13 @@ Rows never gather by conversation, whose length has no bound. Places are running
 chunks of ``CHUNK`` turns, and over the chunks' totals. The join that multiplies turns by participants can be
 split where a conversation is hot. Only DataFrame functions are used.
 
-Defined cases: a null role is the speaker ``unknown``; a null text is empty; turns are ordered by number (null
+Names are percent-encoded, so that no two speakers become one. A mark within a text gets a backslash after its ``<``,
+and one more where it has some already: taking one off each gives the text back.
+
+Defined cases: a null role is a speaker without a name (and a null perspective), apart from all named ones; a null text
+is empty; turns are ordered by number (null
 first), then role and text; repeated rows are turns of their own; a null conversation id is a conversation; a
-conversation of system turns alone has no view; marks in a text are broken up (``<|`` becomes ``< |``); other
-columns are not read.
+conversation of system turns alone has no view; other columns are not read.
 """
 
 from __future__ import annotations
@@ -23,18 +26,20 @@ from pyspark.sql import functions as F
 from .common import read_table
 
 CHUNK = 64
-UNKNOWN = "unknown"
 SYSTEM = "system"
 
 
 def segments(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, segment, head (characters before the content), size."""
     turns = conversations.select(
-        "conv_id", "turn", F.coalesce("role", F.lit(UNKNOWN)).alias("speaker"), F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("< |")).alias("content")
+        "conv_id", "turn", F.col("role").alias("speaker"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<$1\\\\|").alias("content"),
     )
-    views = turns.where(F.col("speaker") != SYSTEM).select(F.col("conv_id").alias("conv_"), F.col("speaker").alias("perspective")).distinct()
-    role = F.when(F.col("speaker") == SYSTEM, SYSTEM).when(F.col("speaker") == F.col("perspective"), "assistant").otherwise("user")
-    name = F.when(F.col("role") == "user", F.concat(F.lit(" name="), F.regexp_replace("speaker", "[^A-Za-z0-9_-]", "_"))).otherwise("")
+    system = F.coalesce(F.col("speaker") == SYSTEM, F.lit(False))
+    views = turns.where(~system).select(F.col("conv_id").alias("conv_"), F.col("speaker").alias("perspective")).distinct()
+    role = F.when(system, SYSTEM).when(F.col("speaker").eqNullSafe(F.col("perspective")), "assistant").otherwise("user")
+    encoded = F.replace(F.replace(F.replace(F.url_encode("speaker"), F.lit("+"), F.lit("%20")), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
+    name = F.when((F.col("role") == "user") & F.col("speaker").isNotNull(), F.concat(F.lit(" name="), encoded)).otherwise("")
     head = F.concat(F.lit("<|"), "role", name, F.lit("|>\n"))
     return (
         turns.join(views, turns.conv_id.eqNullSafe(views.conv_))
@@ -63,7 +68,7 @@ def rotate(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     placed = rows.select(
         "*", F.coalesce(F.sum(F.length("segment")).over(within), F.lit(0)).alias("chars_within"), F.count(F.lit(1)).over(within).alias("n_within")
     )
-    joined = placed.join(bases, placed.conv_id.eqNullSafe(bases.c_) & (placed.perspective == bases.p_) & (placed.chunk == bases.k_))
+    joined = placed.join(bases, placed.conv_id.eqNullSafe(bases.c_) & placed.perspective.eqNullSafe(bases.p_) & (placed.chunk == bases.k_))
     start = F.col("chars_before") + F.col("chars_within") + F.col("head")
     return joined.select(
         "conv_id", "perspective", (F.col("n_before") + F.col("n_within")).alias("position"), "turn", "speaker", "role", "segment",
@@ -71,6 +76,21 @@ def rotate(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     )
 
 
+def dialogues(rotated: DataFrame, turns: int = CHUNK) -> DataFrame:
+    """conv_id, perspective, part, text, starts, ends: the rendered dialogues, in parts of at most ``turns`` turns (a
+    dialogue has no bound), with the spans of each part that are trained on, counted from its begin."""
+    part = F.floor(F.col("position") / turns).alias("part")
+    row = F.struct("position", "segment", "content_start", "content_end", "loss")
+    parts = rotated.groupBy("conv_id", "perspective", part).agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    first = F.col("rows")[0]
+    begin = first["content_start"] - F.locate("\n", first["segment"])  # a head ends with the first line break
+    trained = F.filter("rows", lambda x: x.loss == 1)
+    return parts.select(
+        "conv_id", "perspective", "part", F.array_join(F.transform("rows", lambda x: x.segment), "").alias("text"),
+        F.transform(trained, lambda x: x.content_start - begin).alias("starts"), F.transform(trained, lambda x: x.content_end - begin).alias("ends"),
+    )
+
+
 def op7_perspectives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rotate(read_table(spark, sf_dir, "conversations"))
 
@@ -80,20 +100,20 @@ QUERIES = {"op7_perspectives": op7_perspectives}
 ORACLE_SQL = {
     "op7_perspectives": r"""
 WITH turns AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS speaker, replace(coalesce(text, ''), '<|', '< |') AS content FROM conversations
-), views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker <> 'system'),
+  SELECT conv_id, turn, role AS speaker, regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g') AS content FROM conversations
+), views AS (SELECT DISTINCT conv_id, speaker AS perspective FROM turns WHERE speaker IS DISTINCT FROM 'system'),
 roles AS (
   SELECT t.*, v.perspective,
-         CASE WHEN speaker = 'system' THEN 'system' WHEN speaker = perspective THEN 'assistant' ELSE 'user' END AS role
+         CASE WHEN speaker IS NOT DISTINCT FROM 'system' THEN 'system' WHEN speaker IS NOT DISTINCT FROM perspective THEN 'assistant' ELSE 'user' END AS role
   FROM turns t JOIN views v ON t.conv_id IS NOT DISTINCT FROM v.conv_id
 ), heads AS (
-  SELECT *, '<|' || role || CASE WHEN role = 'user' THEN ' name=' || regexp_replace(speaker, '[^A-Za-z0-9_-]', '_', 'g') ELSE '' END || '|>' || chr(10) AS opening
+  SELECT *, '<|' || role || CASE WHEN role = 'user' AND speaker IS NOT NULL THEN ' name=' || url_encode(speaker) ELSE '' END || '|>' || chr(10) AS opening
   FROM roles
 ), segs AS (SELECT *, opening || content || chr(10) || '<|end|>' || chr(10) AS segment FROM heads),
 placed AS (
   SELECT *, row_number() OVER w - 1 AS position,
          coalesce(sum(length(segment)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS chars
-  FROM segs WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker, segment)
+  FROM segs WINDOW w AS (PARTITION BY conv_id, perspective ORDER BY turn NULLS FIRST, speaker NULLS FIRST, segment)
 )
 SELECT conv_id, perspective, CAST(position AS BIGINT) AS position, turn, speaker, role, segment,
        CAST(chars + length(opening) AS BIGINT) AS content_start,

@@ -31,13 +31,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, SPACE, blocks, materialize, read_table, utf8_of, words_of
 from .components import connected_components
-from .near_copies import drop_near_copies  # noqa: F401  the pipeline's stage, under its first name
 
 WORDS = 4
 BITS = 4
 SEED = 42
 FAN = 16
-SMALL = 32
 HOT = 2048
 
 
@@ -106,43 +104,55 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """Levels of nodes over codes in Gray order; level 0 are the codes. ``masks`` hold only the shared bits
-    that no node above has, ``patterns`` their values."""
-
-    def __init__(self, codes: np.ndarray, fan: int = FAN):
-        self.fan, self.codes = fan, codes
-        ones, zeros = [codes], [codes]
-        while len(ones[-1]) > fan:
-            cuts = np.arange(0, len(ones[-1]), fan)
-            ones.append(np.bitwise_or.reduceat(ones[-1], cuts))
-            zeros.append(np.bitwise_and.reduceat(zeros[-1], cuts))
-        shared = [~(a ^ b) for a, b in zip(ones, zeros)]
-        self.patterns = zeros
-        self.masks = [
-            own & ~np.repeat(above, fan)[: len(own)] if above is not None else own
-            for own, above in zip(shared, [*shared[1:], None])
-        ]
+    """Levels of nodes over the codes of many buckets, each bucket's codes in Gray order; level 0 are the codes, and the
+    last level has one node for each bucket. ``masks`` hold only the shared bits that no node above has, ``patterns``
+    their values. ``visited`` counts the nodes that searches looked at."""
+
+    def __init__(self, codes: np.ndarray, group: np.ndarray | None = None, fan: int = FAN):
+        group = np.zeros(len(codes), np.int64) if group is None else group
+        first = np.flatnonzero(np.append(True, group[1:] != group[:-1]))[: len(codes)]
+        size = np.diff(np.append(first, len(codes)))
+        self.codes, self.owner, self.width, self.visited = codes, np.repeat(np.arange(len(first)), size), size, 0
+        ones, zeros, self.ends, self.children = [codes], [codes], [np.arange(len(codes)) + 1], [None]
+        while len(self.children) == 1 or (size > 1).any():
+            nodes = -(-size // fan)
+            owner = np.repeat(np.arange(len(size)), nodes)
+            place = fan * (np.arange(len(owner)) - np.repeat(np.cumsum(nodes) - nodes, nodes))
+            begin, count = first[owner] + place, np.minimum(fan, size[owner] - place)
+            ones.append(np.bitwise_or.reduceat(ones[-1], begin) if len(begin) else codes[:0])
+            zeros.append(np.bitwise_and.reduceat(zeros[-1], begin) if len(begin) else codes[:0])
+            self.ends.append(self.ends[-1][begin + count - 1])
+            self.children.append((begin, count))
+            first, size = np.cumsum(nodes) - nodes, nodes
+        shared = [~(x ^ y) for x, y in zip(ones, zeros)]
+        self.patterns, self.masks = zeros, shared[-1:]
+        for own, above, (_, count) in zip(shared[-2::-1], shared[:0:-1], self.children[:0:-1]):
+            self.masks.insert(0, own & ~np.repeat(above, count))
 
     def later_links(self, first: int, last: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs (i, j), first <= i < last, i < j, of codes within ``bits`` differences."""
-        level = len(self.masks) - 1
-        width = len(self.masks[level])
-        query = np.repeat(np.arange(first, last), width)
-        node = np.tile(np.arange(width), last - first)
-        sums = np.zeros(len(query), np.int64)
+        """Pairs (i, j), first <= i < last, i < j, of one bucket's codes within ``bits`` differences."""
+        query = np.arange(first, last)
+        node, sums, level = self.owner[query], np.zeros(len(query), np.int64), len(self.masks) - 1
         while True:
-            reach = (node + 1) * self.fan**level > query + 1
+            reach = self.ends[level][node] > query + 1
             query, node, sums = query[reach], node[reach], sums[reach]
+            self.visited += len(node)
             sums = sums + np.bitwise_count((self.codes[query] ^ self.patterns[level][node]) & self.masks[level][node])
             near = sums <= bits
             query, node, sums = query[near], node[near], sums[near]
             if not level:
                 return query, node
-            level -= 1
-            query, sums = np.repeat(query, self.fan), np.repeat(sums, self.fan)
-            node = (node[:, None] * self.fan + np.arange(self.fan)).ravel()
-            there = node < len(self.masks[level])
-            query, node, sums = query[there], node[there], sums[there]
+            begin, count = (x[node] for x in self.children[level])
+            node = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            query, sums, level = np.repeat(query, count), np.repeat(sums, count), level - 1
+
+    def batches(self, limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
+        """Ranges of queries whose buckets have about ``limit`` codes in all."""
+        work, a = np.cumsum(self.width[self.owner]), 0
+        while a < len(work):
+            b = max(a + 1, int(np.searchsorted(work, (work[a - 1] if a else 0) + limit, "right")))
+            yield a, b
+            a = b
 
 
 def merge_links(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
@@ -165,19 +175,9 @@ def forest(group: np.ndarray, codes: np.ndarray, bits: int) -> tuple[np.ndarray,
     """Star edges (positions) that connect what the links within each group connect. ``group`` is sorted, and
     within a group codes stand in Gray order."""
     label = np.arange(len(codes))
-    edges = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
-    sizes = np.diff(np.append(edges, len(group)))
-    small = np.repeat(sizes <= SMALL, sizes)
-    most = int(sizes[sizes <= SMALL].max(initial=0))
-    for shift in range(1, most):
-        i = np.flatnonzero(small[:-shift] & (group[shift:] == group[:-shift]))
-        i = i[np.bitwise_count(codes[i] ^ codes[i + shift]) <= bits]
-        merge_links(label, i, i + shift)
-    for start, size in zip(edges[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist()):
-        index = GrayIndex(codes[start : start + size])
-        for first in range(0, size, 256):
-            i, j = index.later_links(first, min(size, first + 256), bits)
-            merge_links(label, start + i, start + j)
+    index = GrayIndex(codes, group)
+    for first, last in index.batches():
+        merge_links(label, *index.later_links(first, last, bits))
     child = np.flatnonzero(label != np.arange(len(label)))
     return child, label[child]
 
@@ -213,6 +213,9 @@ def near_components(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> Da
         rest: tuple[np.ndarray, np.ndarray] = (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
         def found(group: np.ndarray, codes: np.ndarray) -> pa.RecordBatch:
+            own = np.append(False, group[1:] == group[:-1])
+            own |= np.append(own[1:], False)  # one fingerprint alone has no link
+            group, codes = group[own], codes[own]
             order = np.lexsort((gray_rank(codes), group))
             group, codes = group[order], codes[order]
             child, root = forest(group, codes, bits)

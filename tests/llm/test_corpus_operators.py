@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reminis.llm import perspectives, quality, simhash, toxicity, url_rules
+from reminis.llm import near_copies, perspectives, quality, simhash, toxicity, url_rules
 from reminis.llm.components import connected_components
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -70,16 +70,16 @@ def test_fingerprints_and_components(spark):
             assert x.fp & (1 << 64) - 1 == prints[x.doc_id] and x.component_id == expected[x.doc_id]
         else:
             assert x.component_id == 4
-    kept = simhash.drop_near_copies(docs)
+    kept = near_copies.drop_near_copies(docs)
     assert kept.columns == docs.columns
     assert {x.doc_id for x in kept.collect() if x.doc_id is not None} <= set(expected.values())
     assert simhash.components(spark.createDataFrame([], SCHEMA)).count() == 0
-    assert simhash.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
+    assert near_copies.drop_near_copies(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_one_document_of_each_group_stays(spark):
     rows = [(5, "same text here now", "a"), (3, "same text here now", "b"), (3, "same text here now", "b"), (8, "another one altogether", "c"), (None, "lonely words", None)]
-    kept = simhash.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
+    kept = near_copies.drop_near_copies(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted((str(x.doc_id), x.text) for x in kept) == [("3", "same text here now"), ("8", "another one altogether"), ("None", "lonely words")]
 
 
@@ -107,6 +107,42 @@ def test_index_equals_brute_force(spark, hot):
     assert {frozenset((int(arranged[order][a]), int(arranged[order][b]))) for a, b in zip(i, j)} == {frozenset(p) for p in links}
 
 
+def test_one_index_over_many_buckets():
+    """Links within buckets alone, each of any size; whole groups are pruned."""
+    r = np.random.default_rng(9)
+    centres = r.integers(0, 1 << 63, 40, dtype=np.uint64)
+    group = np.sort(np.concatenate([np.arange(500), np.repeat(np.arange(500, 520), r.integers(2, 300, 20))]))
+    codes = centres[r.integers(0, 40, len(group))]
+    for _ in range(4):
+        codes = codes ^ (np.uint64(1) << r.integers(0, 64, len(codes)).astype(np.uint64))
+    order = np.lexsort((simhash.gray_rank(codes), group))
+    group, codes = group[order], codes[order]
+    index = simhash.GrayIndex(codes, group)
+    found = {(int(a), int(b)) for first, last in index.batches(3000) for a, b in zip(*index.later_links(first, last, 4))}
+    pairs = [(a, b) for x in range(520) for own in [np.flatnonzero(group == x)] for k, a in enumerate(own.tolist()) for b in own[k + 1 :].tolist()]
+    assert found == {(a, b) for a, b in pairs if (int(codes[a]) ^ int(codes[b])).bit_count() <= 4}
+    every = simhash.GrayIndex(codes, group)
+    for first, last in every.batches():
+        every.later_links(first, last, 64)
+    assert found and 0 < index.visited < every.visited
+
+
+def test_the_index_finds_the_links_of_a_table(spark, monkeypatch):
+    """On a whole table all links come from the index, which looks at its nodes there."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    codes = np.unique(np.array([x.fp for x in simhash.fingerprints(docs).collect()], np.int64).view(np.uint64))
+    keys = simhash.gray_rank(codes)
+    index = simhash.GrayIndex(codes[np.argsort(keys)])
+    links = {(int(a), int(b)) for first, last in index.batches() for a, b in zip(*index.later_links(first, last, 4))}
+    arranged = codes[np.argsort(keys)]
+    expected = {(i, int(j)) for i in range(len(arranged)) for j in i + 1 + np.flatnonzero(np.bitwise_count(arranged[i] ^ arranged[i + 1 :]) <= 4)}
+    assert links == expected and links and 0 < index.visited < len(codes) ** 2 // 2
+    roots = {x.node & (1 << 64) - 1: x.root & (1 << 64) - 1 for x in simhash.near_components(spark.createDataFrame([(int(c),) for c in codes.view(np.int64)], "fp long")).collect()}
+    by_place = roots_of(range(len(arranged)), links)
+    groups = Counter(by_place.values())
+    assert sorted(n for n in groups.values() if n > 1) == sorted(n + 1 for n in Counter(roots.values()).values())
+
+
 def test_components_of_long_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)] + [(7, 7), (1, 0), (1, 0)]
     found = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
@@ -206,7 +242,7 @@ def test_mined_verdicts_equal_brute_force(spark):
 
 
 def test_perspectives_equal_sql(spark):
-    rows = [(1, 0, "user", "hi <|x|>"), (1, 1, "assistant", None), (1, 2, None, "who?"), (1, 2, None, "who?"), (1, 3, "system", "s"), (2, 0, "system", "alone"), (None, 5, "a b", "x"), (None, None, "user", ""), (3, 70, "user", "é" * 9), (3, 500, "bot", "y")]
+    rows = [(1, 0, "user", "hi <|x|>"), (1, 1, "assistant", None), (1, 2, None, "who?"), (1, 2, None, "who?"), (1, 3, "system", "s"), (2, 0, "system", "alone"), (None, 5, "a b", "x"), (None, None, "user", ""), (3, 70, "user", "é" * 9), (3, 500, "bot", "y"), (4, 1, "a b", "1"), (4, 2, "a_b", "<\\|2 <\\\\| <x|"), (4, 3, "unknown", "3"), (4, 4, None, "4"), (4, 5, "é*~+%", "5"), (4, 6, "", "6")]
     rows += [(9, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(300)]
     schema = "conv_id long, turn long, role string, text string"
     found = perspectives.rotate(spark.createDataFrame(rows, schema))
@@ -225,4 +261,16 @@ def test_perspectives_equal_sql(spark):
         text = whole[x.conv_id, x.perspective]
         assert text[x.content_start : x.content_end] + "\n<|end|>\n" == x.segment[x.segment.index("\n") + 1 :]
         assert x.loss == (x.speaker == x.perspective)
+    four = [x for x in found.collect() if x.conv_id == 4]
+    assert len(four) == 36 and len({x.segment.split("|>")[0] for x in four if x.role == "user"}) == 6  # no two are one
+    source = Counter((r[0], re.sub(r"<(\\*)\|", r"<\1\\|", r[3] or "")) for r in rows)
+    assert {(x.conv_id, x.segment[x.segment.index("\n") + 1 : -9]) for x in found.collect()} <= set(source)
+    assert all(re.sub(r"<(\\*)\\\|", r"<\1|", k) in {r[3] or "" for r in rows} for _, k in source)
+    parts = perspectives.dialogues(found, 64).collect()
+    rendered: dict = {}
+    for x in sorted(parts, key=lambda x: x.part):
+        rendered[x.conv_id, x.perspective] = rendered.get((x.conv_id, x.perspective), "") + x.text
+        for a, b in zip(x.starts, x.ends):
+            assert x.text[b:].startswith("\n<|end|>\n") and x.text[:a].endswith("<|assistant|>\n")
+    assert rendered == whole
     assert perspectives.rotate(spark.createDataFrame([], schema)).count() == 0

@@ -253,3 +253,41 @@ def test_archives(spark, tmp_path):
     empty = f"file://{tmp_path}/empty"
     media.store(spark.createDataFrame([], SCHEMA), empty)
     assert media.load(spark, empty).count() == 0
+
+
+def test_query_columns_equal_plain_python(spark, tmp_path):
+    texts = {1: "abc", 2: None, 3: "é" * 50000, 4: "abc", 5: "x" * 128, None: "no id"}
+    path = f"file://{tmp_path}/archive"
+    docs = spark.createDataFrame([(i, t, "en", "f", "p") for i, t in texts.items()], SCHEMA + ", feature string, payload string")
+    media.store(docs.repartition(2), path, archiveBytes=300)
+    rows = media.digests(media.load(spark, path, rangeBytes=100)).collect()
+    assert len(rows) == len(texts) and len(list((tmp_path / "archive").glob("*.zip"))) > 2
+    for x in rows:
+        raw = (texts[x.doc_id] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        image = media.encode_image(raw)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest())
+        assert (x.tail_crc32, x.media_bytes, x.media_sha256) == (zlib.crc32(payload[-64:]), len(image), hashlib.sha256(image).hexdigest())
+        assert x.feature == media.feature_of(payload)
+    media.store(docs.where("doc_id = 1"), path, mode="overwrite")
+    assert [x.doc_id for x in media.load(spark, path).collect()] == [1]
+    found = list((tmp_path / "archive").glob("*.zip"))
+    assert len(found) == 1 and len(list((tmp_path / "archive").glob("manifest-*"))) == 1
+    raw = bytearray(found[0].read_bytes())
+    raw[60] ^= 0xFF
+    found[0].write_bytes(raw)
+    with pytest.raises(Exception, match="cannot be read"):
+        media.digests(media.load(spark, path, retries=1)).collect()
+
+
+def test_joins_within_a_piece_cost_windows(encoders):
+    path, library = encoders["byte_bpe_multi_50k.tiktoken"]
+    r = random.Random(4)
+    free = ["".join(r.choice("aetrnsiolcd") for _ in range(60000)), "".join(r.choice("日本語éа") for _ in range(20000))]
+    for text in ("x" * 60000, "ab" * 20000 + "z" * 9000, " " * 30000 + "end", *free):
+        tree, merged = bpe_tree.TreeEncoder(path, 1024), []
+        merge = tree.merge
+        tree.merge = lambda raw: merged.append(len(raw)) or merge(raw)
+        assert tree.encode_block(text, np.array([0, len(text)]))[0].tolist() == library.encode_ordinary(text)
+        if text in free:  # a repeated character's ids move along, so its windows grow
+            assert max(merged) < 500 and sum(merged) < len(text.encode())
