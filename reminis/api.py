@@ -11,15 +11,19 @@ from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from reminis.functions import formats as fm
 from reminis.functions.embed import Embedder, HashingEmbedder, embed_facts, embed_query
 from reminis.operators import context as cx
 from reminis.operators import retrieval as rt
 from reminis.operators import store as st
-from reminis.sources.tables import FACTS, VECTORS, evolve
+from reminis.sources.tables import FACTS, STATUS, VECTORS, evolve
+from reminis.streaming import pipelines as pl
 
 DEFAULT_LIMIT, TOOL_LIMIT, MOST = 10, 20, 100
+# Fixed value: the seconds that a prompt waits for its context.
+HOOK_SECONDS = 0.8
 
 
 class BadRequest(ValueError):
@@ -64,16 +68,19 @@ class MemoryStore:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
         there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}") if there else self.spark.createDataFrame([], schema)
+        if not there:
+            return self.spark.createDataFrame([], schema)
+        # the files' own columns: older ones lack some; batches of the stream lie in folders of their own
+        return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
 
     def facts(self) -> DataFrame:
         rows = evolve(self._read("facts", FACTS))
         rows = st.soft_delete(rows, self._read("deletions", "user_id string, fact_id long, at timestamp_ntz"))
-        status = self._read("status", "fact_id long, vec_id long, error string")
-        return st.commit_embeddings(rows, status.dropDuplicates(["fact_id"]), self.embedder.name if self.embedder else "none")
+        return st.with_status(rows, evolve(self._read("status", STATUS), STATUS))
 
     def vectors(self) -> DataFrame:
-        return self._read("vectors", VECTORS)
+        """One row for each vector, also where a batch was embedded twice."""
+        return evolve(self._read("vectors", VECTORS), VECTORS).dropDuplicates(["vec_id"])
 
     def remember(self, content: str, session: str = "unknown", level: str = "high", decay: str = "slow", tags: list[str] | None = None) -> str:
         """Store a fact; the answer says what was kept."""
@@ -86,13 +93,20 @@ class MemoryStore:
         return f'Remembered: "{content[:80]}{"..." if len(content) > 80 else ""}"'
 
     def embed_pending(self) -> None:
-        """Embed all pending facts in one batch; the streaming pipeline does so continuously."""
+        """Embed all pending facts in one batch; the streaming pipeline does so continuously, into the same folders.
+        Vectors are written before the status that names them, and one written twice counts once, so a run that
+        stopped between the two may be repeated."""
         pending = self.facts().where("embed_status = 'pending'")
         path = f"{self.path}/staging-{time.time_ns()}"
         embed_facts(pending, self.embedder).write.parquet(path)
         done = self.spark.read.parquet(path)
         done.where("error is null").select(F.col("fact_id").alias("vec_id"), "embedding").write.mode("append").parquet(f"{self.path}/vectors")
-        done.select("fact_id", F.when(F.col("error").isNull(), F.col("fact_id")).alias("vec_id"), "error").write.mode("append").parquet(f"{self.path}/status")
+        st.status_of(done, self.embedder.name).write.mode("append").parquet(f"{self.path}/status")
+
+    def embed_stream(self, once: bool = False) -> StreamingQuery:
+        """The streaming pipeline over this store."""
+        facts = pl.pending_facts(self.spark, f"{self.path}/facts")
+        return pl.start_embedding(facts, self.embedder, self.path, f"{self.path}/embedding-checkpoint", once)
 
     def forget(self, fact_id: int) -> None:
         """Mark a fact as deleted; an unknown one changes nothing."""
@@ -134,6 +148,13 @@ def memory_search(store: MemoryStore, query: str, limit: int = TOOL_LIMIT) -> li
     return [r.asDict() for r in rows.select("content", F.col("final_score").alias("score"), "age_in_days", cx.label().alias("session_label"), "tags").collect()]
 
 
+def memory_status(store: StatusStore) -> dict:
+    """The status tool: how many facts, when the last one came, and the bytes they take."""
+    found = store.status()
+    last = found["last_ingestion"]
+    return {"fact_count": found["fact_count"], "last_ingestion": last.isoformat() + "Z" if last else None, "storage_bytes": found["storage_bytes"]}
+
+
 def memory_report(store: MemoryStore, query: str, limit: int = 5) -> str:
     return cx.reports(store.queries(query), store.search(query, limit)).first().report
 
@@ -142,23 +163,53 @@ def answer(store: MemoryStore, body: str) -> tuple[int, dict]:
     """A query request as JSON: status code and answer, with the time that the search took."""
     try:
         request = json.loads(body)
-        query, limit = request.get("query"), request.get("topK", DEFAULT_LIMIT)
+        query, limit = request.get("query"), request.get("topK")
+        limit = DEFAULT_LIMIT if limit is None else limit
         if not isinstance(query, str) or not query.strip():
             raise BadRequest("query must be a non-empty string")
+        if not isinstance(limit, int) or isinstance(limit, bool) or limit < 1:
+            raise BadRequest("topK must be a positive integer")
     except (ValueError, AttributeError) as e:
         return 400, {"error": str(e)}
     began = time.perf_counter()
     try:
-        results = [r.asDict() for r in store.search(query, limit).collect()]
+        found = store.search(query, limit)
+        results = [json.loads(x) for x in found.withColumn("created_at", fm.iso(F.col("created_at"))).toJSON().collect()]
     except Exception as e:  # noqa: BLE001  the caller gets whatever failed
         return 500, {"error": str(e)}
     return 200, {"results": results, "latencyMs": round((time.perf_counter() - began) * 1000)}
 
 
+class PromptHook:
+    """What is put before a prompt: the query behind it is resolved, searched for within ``seconds``, and the context
+    wrapped; a session's first prompt gets the orientation text as well. Without context in time nothing else is put."""
+
+    def __init__(self, store: MemoryStore, orientation: str | None = None, seconds: float = HOOK_SECONDS, sessions: int = 1000):
+        self.store, self.orientation, self.seconds = store, orientation, seconds
+        self.sessions, self.oriented = pl.SessionQueries(sessions), False
+
+    def __call__(self, session: str, prompt: str, messages: list[tuple[str, str]] = ()) -> str:
+        """``messages``: (role, text) of the conversation so far."""
+        spark = self.store.spark
+        prompts = spark.createDataFrame([(0, prompt)], "conv_id long, prompt string")
+        turns = spark.createDataFrame([(0, i, *m) for i, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
+        query = cx.resolved_queries(prompts, turns).first().query
+        self.sessions.put(session, query)
+        block = ""
+        if query.strip():
+            found = self.store.search(query, 2 * cx.CONTEXT_FACTS).where(F.col("rank") <= cx.CONTEXT_FACTS)
+            rows = pl.within(cx.blocks(self.store.queries(query), found, now()), self.seconds, [])
+            block = rows[0].block if rows else ""
+        first, self.oriented = self.orientation if not self.oriented else None, True
+        if not block and not first:
+            return ""
+        return cx.injections(spark.createDataFrame([(0, block)], "query_id long, block string"), orientation=first).first().block
+
+
 def option(name: str, given: str | None, default: str, environment: dict | None = None) -> str:
     """A setting: the given value, the environment's, or the default; ``~`` is the home folder."""
     environment = os.environ if environment is None else environment
     return os.path.expanduser(given or environment.get(name) or default)
 
 
-__all__ = ["BadRequest", "MemoryStore", "SearchStore", "StatusStore", "answer", "log_error", "memory_report", "memory_search", "option"]
+__all__ = ["BadRequest", "MemoryStore", "PromptHook", "SearchStore", "StatusStore", "answer", "log_error", "memory_report", "memory_search", "memory_status", "option"]

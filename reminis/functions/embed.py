@@ -50,18 +50,32 @@ def embed_query(embedder: Embedder | None, text: str, size: int = 64) -> list[fl
     return embedder.embed([QUERY_PREFIX + text])[0]
 
 
+def warm_up(embedder: Embedder) -> bool:
+    """Load the model before the first text comes; whether it could. A failure shows with the texts."""
+    try:
+        embedder.embed([QUERY_PREFIX + "warm-up"])
+    except Exception:  # noqa: BLE001  whatever the plugged-in model raises
+        return False
+    return True
+
+
 def embed_facts(facts: DataFrame, embedder: Embedder) -> DataFrame:
     """fact_id, embedding, error of fact_id, content: a text that cannot be embedded fails alone."""
 
+    def one(text: str | None) -> tuple[list[float] | None, str | None]:
+        try:
+            return embedder.embed([text])[0], None
+        except Exception as e:  # noqa: BLE001
+            return None, str(e)[:200]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
-            for fact_id, content in zip(batch["fact_id"], batch["content"]):
-                try:
-                    rows.append((fact_id, embedder.embed([content])[0], None))
-                except Exception as e:  # noqa: BLE001  whatever the plugged-in model raises
-                    rows.append((fact_id, None, str(e)[:200]))
-            yield pd.DataFrame(rows, columns=["fact_id", "embedding", "error"])
+            texts = batch["content"].tolist()
+            try:
+                found = [(v, None) for v in embedder.embed(texts)] if texts else []
+            except Exception:  # noqa: BLE001  whatever the plugged-in model raises: now each text by itself
+                found = [one(text) for text in texts]
+            yield pd.DataFrame({"fact_id": batch["fact_id"], "embedding": [v for v, _ in found], "error": [e for _, e in found]})
 
     return facts.select("fact_id", "content").mapInPandas(run, RESULT)
 

@@ -35,6 +35,7 @@ def in_order(found: DataFrame, value: str, by: str = "rank") -> DataFrame:
 
 def blocks(queries: DataFrame, found: DataFrame, as_of: datetime, tag: str = tx.TAG) -> DataFrame:
     """query_id, block: the context of each query; without results the hints alone."""
+    # The headings and hints of the block.
     hints = "## Memory tools available\n- `{}` — {}\n- `{}` — store a new fact for future sessions"
     more = hints.format(SEARCH_TOOL, "search for specific subtopics not covered above", STORE_TOOL)
     none = hints.format(SEARCH_TOOL, "look up relevant context from memory", STORE_TOOL)

@@ -65,6 +65,24 @@ def commit_embeddings(facts: DataFrame, results: DataFrame, model: str) -> DataF
     return both.withColumns(changed).select(*facts.columns)
 
 
+def status_of(results: DataFrame, model: str) -> DataFrame:
+    """Rows of the status table from rows (fact_id, error); a fact's vector has its id."""
+    ok = F.col("error").isNull()
+    return results.select(
+        "fact_id", F.when(ok, "done").otherwise("failed").alias("embed_status"), F.col("error").alias("embed_error"),
+        F.when(ok, F.lit(model)).alias("embed_model"), F.when(ok, F.col("fact_id")).alias("vec_rowid"),
+    )
+
+
+def with_status(facts: DataFrame, status: DataFrame) -> DataFrame:
+    """Facts with what embedding wrote about them; of several rows of one fact one that succeeded counts."""
+    names = ("embed_status", "embed_error", "embed_model", "vec_rowid")
+    best = F.min_by(F.struct(*names), F.struct(F.col("embed_status") != "done", "embed_model", "vec_rowid", "embed_error")).alias("__new")
+    both = facts.join(status.groupBy("fact_id").agg(best), "fact_id", "left")
+    hit = F.col("__new").isNotNull()
+    return both.withColumns({n: F.when(hit, F.col(f"__new.{n}")).otherwise(F.col(n)) for n in names}).select(*facts.columns)
+
+
 def latest(events: DataFrame, key: str, order: list[str], values: list[str]) -> DataFrame:
     """The values of each key's last event; an aggregate, so a hot key is combined where it lies."""
     last = F.max_by(F.struct(*values), F.struct(*order)).alias("__last")

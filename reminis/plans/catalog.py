@@ -43,10 +43,15 @@ def of_user(df: DataFrame, user: str = tb.USER) -> DataFrame:
 
 
 def asked_facts(spark, sf):
-    """The live facts of the default user; the predicate reaches the scan's projection."""
+    """The facts of the user who asks; the predicate reaches the scan's projection."""
     return of_user(tb.facts(spark, sf))
 
 
+def all_facts(spark, sf):
+    """The facts of all users."""
+    return tb.facts(spark, sf)
+
+
 def long(column: str):
     return F.col(column).cast("long").alias(column)
 
@@ -56,13 +61,13 @@ def long(column: str):
 
 @registered
 def live_facts(spark, sf):
-    rows = rt.live(asked_facts(spark, sf))
+    rows = rt.live(all_facts(spark, sf))
     return rows.select("fact_id", "source_session_id", "source_session_label", "created_at", "decay_rate", "vec_rowid")
 
 
 @registered
 def embedded_vectors(spark, sf):
-    owners = rt.live(asked_facts(spark, sf)).select("vec_rowid")
+    owners = rt.live(all_facts(spark, sf)).select("vec_rowid")
     vectors = tb.vectors(spark, sf)
     found = vectors.join(owners, vectors.vec_id == owners.vec_rowid, "left_semi")
     return found.select("vec_id", F.size("embedding").cast("long").alias("dim"))
@@ -70,7 +75,7 @@ def embedded_vectors(spark, sf):
 
 @registered
 def pending_batch(spark, sf):
-    return st.pending_batch(asked_facts(spark, sf)).select("fact_id", F.length("content").cast("long").alias("content_chars"))
+    return st.pending_batch(all_facts(spark, sf)).select("fact_id", F.length("content").cast("long").alias("content_chars"))
 
 
 @registered
@@ -94,7 +99,7 @@ def soft_delete(spark, sf):
 
 @registered
 def embed_commit(spark, sf):
-    facts = asked_facts(spark, sf)
+    facts = all_facts(spark, sf)
     bad = F.col("fact_id") % 4 == 0
     results = facts.where("embed_status = 'pending'").select(
         "fact_id", F.when(~bad, F.col("fact_id") + 1_000_000).alias("vec_id"), F.when(bad, "no model").alias("error")
@@ -110,7 +115,7 @@ def schema_evolve(spark, sf):
 
 @registered
 def export_facts(spark, sf):
-    return st.export(asked_facts(spark, sf))
+    return st.export(all_facts(spark, sf))
 
 
 @registered
@@ -137,12 +142,12 @@ def api_key_lookup(spark, sf):
 
 @registered
 def tokenize(spark, sf):
-    rows = rt.live(asked_facts(spark, sf)).select("fact_id", tx.tokenize(F.col("content")).alias("t"))
+    rows = rt.live(all_facts(spark, sf)).select("fact_id", tx.tokenize(F.col("content")).alias("t"))
     return rows.select("fact_id", F.size("t").cast("long").alias("n_tokens"), F.try_element_at("t", F.lit(1)).alias("first_token"))
 
 
 def _docs(spark, sf):
-    return rt.tokens_of(asked_facts(spark, sf))
+    return rt.tokens_of(all_facts(spark, sf))
 
 
 @registered
@@ -234,7 +239,7 @@ def decay_lambda(spark, sf):
 @registered
 def decay_curve(spark, sf):
     age = fm.age_in_days(F.col("created_at"), tb.timestamp(tb.AS_OF))
-    rows = rt.live(asked_facts(spark, sf)).select("fact_id", "decay_rate", age.alias("age_days"))
+    rows = rt.live(all_facts(spark, sf)).select("fact_id", "decay_rate", age.alias("age_days"))
     return rows.select("fact_id", r6("age_days", "age_days"), r6(fm.decay(fm.decay_lambda(F.col("decay_rate")), F.col("age_days")), "decay"))
 
 
@@ -336,7 +341,7 @@ def tier_counts(spark, sf):
 @registered
 def format_age(spark, sf):
     age = fm.age_in_days(F.col("created_at"), tb.timestamp(tb.AS_OF))
-    return asked_facts(spark, sf).select("fact_id", fm.age_label(age).alias("age_label"))
+    return all_facts(spark, sf).select("fact_id", fm.age_label(age).alias("age_label"))
 
 
 @registered
@@ -360,14 +365,14 @@ def confidence_map(spark, sf):
 @registered
 def tags_parse(spark, sf):
     parsed = F.from_json(F.to_json("tags"), "array<string>")
-    return asked_facts(spark, sf).select(
+    return all_facts(spark, sf).select(
         "fact_id", F.when(parsed.isNotNull(), F.size(parsed)).cast("long").alias("n_tags"), F.try_element_at(parsed, F.lit(1)).alias("first_tag")
     )
 
 
 @registered
 def excerpts(spark, sf):
-    return asked_facts(spark, sf).select(
+    return all_facts(spark, sf).select(
         "fact_id", tx.excerpt(F.col("content"), 80, "...").alias("excerpt80"), F.length(tx.excerpt(F.col("content"), 200)).cast("long").alias("excerpt200_chars")
     )
 
@@ -417,12 +422,12 @@ def _exchanges(spark, sf):
 
 @registered
 def exchange_scan(spark, sf):
-    return _exchanges(spark, sf).orderBy(F.desc("timestamp")).select("session_id", "turn", "timestamp")
+    return tb.exchanges(spark, sf).orderBy(F.desc("timestamp")).select("session_id", "turn", "timestamp")
 
 
 @registered
 def format_exchange(spark, sf):
-    return _exchanges(spark, sf).select("session_id", "turn", "content_hash")
+    return tb.exchanges(spark, sf).select("session_id", "turn", "content_hash")
 
 
 @registered

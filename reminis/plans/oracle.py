@@ -71,6 +71,7 @@ SELECT d.doc_id AS fact_id, 'u' || (d.doc_id % 3) AS user_id, d.text AS content,
   CASE WHEN d.doc_id % 17 <> 0 THEN e.vec_id END AS vec_rowid
 FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "mine": "SELECT * FROM facts WHERE user_id = 'u0'",
+    "alive": "SELECT * FROM facts WHERE deleted_at IS NULL",
     "live": "SELECT * FROM mine WHERE deleted_at IS NULL",
     "queries": f"""
 SELECT item_id AS query_id, 'u0' AS user_id, array_to_string({_raw('text')}[1:5], ' ') || '@SUFFIX@' AS text, e.embedding
@@ -188,9 +189,9 @@ _SECONDS = "greatest(date_diff('microsecond', ts, TIMESTAMP '2024-01-30 12:00:00
 _PAGE = "'## A' || chr(10) || text || chr(10) || '### sub' || chr(10)"
 
 ORACLE_SQL: dict[str, str] = {
-    "live_facts": sql("SELECT fact_id, source_session_id, source_session_label, created_at, decay_rate, vec_rowid FROM live"),
-    "embedded_vectors": sql("SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id IN (SELECT vec_rowid FROM live)"),
-    "pending_batch": sql("SELECT fact_id, length(content)::BIGINT AS content_chars FROM mine WHERE embed_status = 'pending' ORDER BY fact_id LIMIT 8"),
+    "live_facts": sql("SELECT fact_id, source_session_id, source_session_label, created_at, decay_rate, vec_rowid FROM alive"),
+    "embedded_vectors": sql("SELECT vec_id, len(embedding)::BIGINT AS dim FROM embeddings WHERE vec_id IN (SELECT vec_rowid FROM alive)"),
+    "pending_batch": sql("SELECT fact_id, length(content)::BIGINT AS content_chars FROM facts WHERE embed_status = 'pending' ORDER BY fact_id LIMIT 8"),
     "ingest_defaults": """
 SELECT length(text)::BIGINT AS content_chars, CASE WHEN doc_id % 2 = 0 THEN 0.5::DOUBLE ELSE 0.95::DOUBLE END AS confidence,
   CASE WHEN doc_id % 3 = 0 THEN 'fast' ELSE 'slow' END AS decay_rate, 'pending' AS embed_status, count(*) AS n FROM documents GROUP BY ALL""",
@@ -202,15 +203,18 @@ USING (user_id, fact_id)"""),
 SELECT fact_id, CASE WHEN embed_status <> 'pending' THEN embed_status WHEN fact_id % 4 = 0 THEN 'failed' ELSE 'done' END AS embed_status,
   CASE WHEN embed_status = 'pending' THEN CASE WHEN fact_id % 4 = 0 THEN 'no model' END ELSE embed_error END AS embed_error,
   CASE WHEN embed_status = 'pending' AND fact_id % 4 <> 0 THEN 'hashing-64' ELSE embed_model END AS embed_model,
-  CASE WHEN embed_status = 'pending' AND fact_id % 4 <> 0 THEN fact_id + 1000000 ELSE vec_rowid END AS vec_rowid FROM mine"""),
+  CASE WHEN embed_status = 'pending' AND fact_id % 4 <> 0 THEN fact_id + 1000000 ELSE vec_rowid END AS vec_rowid FROM facts"""),
     "schema_evolve": """
 SELECT doc_id AS fact_id, 0.9::DOUBLE AS confidence, 'slow' AS decay_rate, NULL::VARCHAR AS source_session_label, NULL::TIMESTAMP AS deleted_at FROM documents""",
     "export_facts": sql(f"""
 SELECT fact_id, user_id, content, source_session_id, source_session_label, confidence, decay_rate, CAST(to_json(tags) AS VARCHAR) AS tags_json,
-  {_ISO.format('created_at')} AS created_at, NULL::VARCHAR AS deleted_at FROM live"""),
+  {_ISO.format('created_at')} AS created_at, NULL::VARCHAR AS deleted_at FROM alive"""),
+    "api_key_lookup": """
+SELECT CAST(c_custkey AS VARCHAR) AS id, 'u' || (c_custkey % 3) AS user_id FROM customer
+WHERE sha256('key_' || c_custkey) IN (sha256('key_7'), sha256('key_8')) AND c_custkey % 2 <> 0""",
     "nudge_fired": """
 SELECT event_type AS trigger_type, bool_or(value > 0) AS fired FROM events GROUP BY 1 UNION ALL SELECT 'first_activation', false""",
-    "tokenize": sql(f"SELECT fact_id, len({_tokens('content')})::BIGINT AS n_tokens, {_tokens('content')}[1] AS first_token FROM live"),
+    "tokenize": sql(f"SELECT fact_id, len({_tokens('content')})::BIGINT AS n_tokens, {_tokens('content')}[1] AS first_token FROM alive"),
     "term_freq": sql("SELECT fact_id, term, tf FROM hits"),
     "doc_freq": sql("SELECT term, df FROM idfs"),
     "idf": sql("SELECT term, round(idf, 6) AS idf FROM idfs"),
@@ -227,7 +231,7 @@ FROM (SELECT user_id, len({_tokens('content')}) AS dl FROM facts WHERE deleted_a
 SELECT query_id, {_intent('text')} AS intent FROM (SELECT item_id AS query_id, text || CASE item_id % 5 WHEN 1 THEN ' latest news'
   WHEN 2 THEN ' we Used  to know' WHEN 3 THEN ' currently' WHEN 4 THEN ' now, historically and ever' ELSE '' END AS text FROM benchmark)""",
     "decay_lambda": sql(f"SELECT decay_rate, {_LAMBDA} AS per_day, count(*) AS n FROM facts GROUP BY ALL"),
-    "decay_curve": sql(f"SELECT fact_id, round({_age('created_at')}, 6) AS age_days, round(exp(-({_LAMBDA}) * {_age('created_at')}), 6) AS decay FROM live"),
+    "decay_curve": sql(f"SELECT fact_id, round({_age('created_at')}, 6) AS age_days, round(exp(-({_LAMBDA}) * {_age('created_at')}), 6) AS decay FROM alive"),
     "fused_rank": sql("SELECT fact_id, round(score, 6) AS score, before AS rank FROM fused"),
     "overlap_score": sql(f"""
 SELECT f.fact_id, round(len(list_filter(u.w, lambda x: contains(lower(f.content), x)))::DOUBLE / nullif(len(u.w), 0), 6) AS overlap
@@ -251,7 +255,7 @@ SELECT 'Search results from memory:' || chr(10) || chr(10) || string_agg('- [' |
   THEN ' [' || array_to_string(tags, ', ') || ']' ELSE '' END || ' ' || {_ISO.format('created_at')} || ':' || chr(10) || '  "' || substring(content, 1, 200)
   || '"' || chr(10), chr(10) ORDER BY rank) AS report FROM found""", limit=5),
     "tier_counts": sql(f"SELECT trim({_TIER.format('score')}) AS tier, count(*) AS n FROM fused GROUP BY 1"),
-    "format_age": sql(f"SELECT fact_id, {_age_label(_age('created_at'))} AS age_label FROM mine"),
+    "format_age": sql(f"SELECT fact_id, {_age_label(_age('created_at'))} AS age_label FROM facts"),
     "format_age_cli": f"""
 SELECT event_id, CASE WHEN s >= 86400 THEN (s // 86400) || CASE WHEN s // 86400 > 1 THEN ' days ago' ELSE ' day ago' END
   WHEN s >= 3600 THEN (s // 3600) || CASE WHEN s // 3600 > 1 THEN ' hours ago' ELSE ' hour ago' END
@@ -265,10 +269,10 @@ FROM (SELECT doc_id, {_BYTES} AS b FROM documents)""",
     "confidence_map": """
 SELECT level, CASE level WHEN 'high' THEN 0.95::DOUBLE WHEN 'medium' THEN 0.75::DOUBLE WHEN 'low' THEN 0.5::DOUBLE ELSE 0.95::DOUBLE END AS confidence, count(*) AS n
 FROM (SELECT CASE WHEN quality = 1 THEN 'high' WHEN toxic = 1 THEN 'low' ELSE 'none' END AS level FROM labels) GROUP BY level""",
-    "tags_parse": sql("SELECT fact_id, len(tags)::BIGINT AS n_tags, tags[1] AS first_tag FROM mine"),
+    "tags_parse": sql("SELECT fact_id, len(tags)::BIGINT AS n_tags, tags[1] AS first_tag FROM facts"),
     "excerpts": sql("""
 SELECT fact_id, CASE WHEN length(content) > 80 THEN substring(content, 1, 80) || '...' ELSE content END AS excerpt80,
-  least(length(content), 200)::BIGINT AS excerpt200_chars FROM mine"""),
+  least(length(content), 200)::BIGINT AS excerpt200_chars FROM facts"""),
     "status": sql("SELECT user_id, count(*) FILTER (deleted_at IS NULL) AS fact_count, max(created_at) AS last_ingestion FROM facts GROUP BY user_id"),
     "health_status_counts": sql("""
 SELECT user_id, count(*) FILTER (embed_status = 'done') AS done, count(*) FILTER (embed_status = 'pending') AS pending,
@@ -287,8 +291,8 @@ SELECT doc_id, section_no, section_chars FROM (
     UNION ALL SELECT doc_id, 1::BIGINT, '## B' || chr(10) || '  short ' || chr(10) FROM documents WHERE doc_id % 4 <> 0
     UNION ALL SELECT doc_id, 2::BIGINT, '## C' || chr(10) || 'end of ' || source || ' ................' || chr(10) FROM documents WHERE doc_id % 4 <> 0))
 WHERE section_chars >= 20""",
-    "exchange_scan": sql("SELECT session_id, turn, timestamp FROM exchanges"),
-    "format_exchange": sql("SELECT session_id, turn, content_hash FROM exchanges"),
+    "exchange_scan": sql("SELECT session_id, turn, timestamp FROM exchanges_all"),
+    "format_exchange": sql("SELECT session_id, turn, content_hash FROM exchanges_all"),
     "ingest_dedup": sql("""
 SELECT session_id, turn, content_hash, row_number() OVER (PARTITION BY user_id, content_hash ORDER BY session_id, turn) > 1
   OR EXISTS (SELECT 1 FROM exchanges_all k WHERE k.session_id % 5 = 1 AND k.user_id = x.user_id AND k.content_hash = x.content_hash) AS skipped

@@ -26,9 +26,9 @@ def sections_of(pages: DataFrame) -> DataFrame:
 
 
 def read_notes(spark: SparkSession, directory: str) -> DataFrame:
-    """name, text of the daily notes of a directory."""
+    """name, text of the daily notes of a directory, by name: the oldest day comes first."""
     files = spark.read.text(f"{directory}/*.md", wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("text"))
-    return files.where(F.col("name").rlike(DAILY))
+    return files.where(F.col("name").rlike(DAILY)).orderBy("name")
 
 
 def seed(spark: SparkSession, directories: list[str], memory_files: list[str], user: str, as_of: datetime, facts: DataFrame) -> DataFrame:

@@ -27,6 +27,11 @@ FACTS = T.StructType([
     T.StructField("embed_error", T.StringType()), T.StructField("embed_model", T.StringType()), T.StructField("vec_rowid", T.LongType()),
 ])
 VECTORS = T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))])
+#: What embedding has found out about a fact; the store and the stream both write and read it.
+STATUS = T.StructType([
+    T.StructField("fact_id", T.LongType()), T.StructField("embed_status", T.StringType()), T.StructField("embed_error", T.StringType()),
+    T.StructField("embed_model", T.StringType()), T.StructField("vec_rowid", T.LongType()),
+])
 NUDGES = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("trigger_type", T.StringType()), T.StructField("fired_at", T.TimestampNTZType()),
 ])
@@ -44,11 +49,15 @@ def timestamp(value: datetime) -> Column:
 
 
 def evolve(old: DataFrame, schema: T.StructType = FACTS, defaults: dict = DEFAULTS) -> DataFrame:
-    """``old`` in the form of ``schema``: missing columns are added, with their defaults."""
+    """``old`` in the form of ``schema``: missing columns are added, with their defaults; rows of older files among
+    newer ones, which have nulls there, get the defaults as well."""
     have = set(old.columns)
-    return old.select([
-        (F.col(f.name) if f.name in have else F.lit(defaults.get(f.name))).cast(f.dataType).alias(f.name) for f in schema
-    ])
+
+    def column(name: str) -> Column:
+        default = F.lit(defaults.get(name))
+        return default if name not in have else F.coalesce(F.col(name), default) if name in defaults else F.col(name)
+
+    return old.select([column(f.name).cast(f.dataType).alias(f.name) for f in schema])
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

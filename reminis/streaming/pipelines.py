@@ -5,13 +5,14 @@ from __future__ import annotations
 import time
 from collections import OrderedDict
 from collections.abc import Callable
-from threading import Timer
+from threading import Event, Thread
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from reminis.functions.embed import Embedder, embed_facts
+from reminis.functions.embed import Embedder, embed_facts, warm_up
+from reminis.operators.store import status_of, with_status  # noqa: F401  part of the stream's interface
 from reminis.sources.tables import FACTS
 
 
@@ -32,13 +33,11 @@ def start_embedding(
         try:
             ok = found.where("error is null")
             ok.select(F.col("fact_id").alias("vec_id"), "embedding").write.mode("overwrite").parquet(f"{out}/vectors/batch={number}")
-            found.select(
-                "fact_id", F.when(F.col("error").isNull(), "done").otherwise("failed").alias("embed_status"), F.col("error").alias("embed_error"),
-                F.when(F.col("error").isNull(), embedder.name).alias("embed_model"), F.when(F.col("error").isNull(), F.col("fact_id")).alias("vec_rowid"),
-            ).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+            status_of(found, embedder.name).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
         finally:
             found.unpersist()
 
+    warm_up(embedder)
     writer = facts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     writer = writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{int(idle_seconds * 1000)} milliseconds")
     return writer.start()
@@ -82,15 +81,6 @@ class EmbeddingLoop:
         return True
 
 
-def with_status(facts: DataFrame, status: DataFrame) -> DataFrame:
-    """Facts with what the embedding stream wrote about them."""
-    names = ("embed_status", "embed_error", "embed_model", "vec_rowid")
-    new = status.select("fact_id", *[F.col(n).alias(f"__{n}") for n in names])
-    both = facts.join(new, "fact_id", "left")
-    hit = F.col("__embed_status").isNotNull()
-    return both.withColumns({n: F.when(hit, F.col(f"__{n}")).otherwise(F.col(n)) for n in names}).select(*facts.columns)
-
-
 def first_triggers(nudges: DataFrame) -> DataFrame:
     """The first row of each trigger type, once in the life of the stream."""
     return nudges.dropDuplicates(["trigger_type"])
@@ -126,21 +116,24 @@ def within(df: DataFrame, seconds: float, default: list | None = None) -> list:
     """The rows of ``df``, or ``default`` if they take longer; the job is cancelled."""
     context = df.sparkSession.sparkContext
     tag = f"deadline-{id(df)}"
-    late: list[bool] = []
+    done, late = Event(), Event()
 
-    def cancel() -> None:
-        late.append(True)
-        context.cancelJobsWithTag(tag)
+    def watch() -> None:
+        """Cancels what runs after the deadline, also a job that starts only then."""
+        if done.wait(seconds):
+            return
+        late.set()
+        while not done.wait(0.02):
+            context.cancelJobsWithTag(tag)
 
-    timer = Timer(seconds, cancel)
     context.addJobTag(tag)
-    timer.start()
+    Thread(target=watch, daemon=True).start()
     try:
         return df.collect()
     except Exception:
-        if late:
+        if late.is_set():
             return default or []
         raise
     finally:
-        timer.cancel()
+        done.set()
         context.removeJobTag(tag)

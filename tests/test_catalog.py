@@ -7,7 +7,7 @@ import pytest
 
 from reminis.plans import catalog
 
-ROWS_ONLY = {"ann_lsh", "api_key_lookup"}
+ROWS_ONLY = {"ann_lsh"}
 
 
 @pytest.fixture(scope="module")

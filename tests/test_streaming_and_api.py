@@ -133,3 +133,72 @@ def test_keys_and_seeds(spark, tmp_path):
     api.log_error(str(log), "search", "failed", query="q")
     api.log_error(str(tmp_path / "missing" / "x"), "search", "failed")
     assert json.loads(log.read_text())["query"] == "q"
+
+
+def test_store_and_stream_share_their_tables(spark, tmp_path):
+    store = api.MemoryStore(spark, str(tmp_path / "store"), "me")
+    store.remember("User prefers dark mode", "s1")
+    store.embed_pending()
+    store.remember("Coffee is taken black", "s2")
+    store.embed_stream(once=True).awaitTermination()
+    rows = {r.content: r for r in store.facts().collect()}
+    assert all(r.embed_status == "done" and r.vec_rowid == r.fact_id and r.embed_model == "hashing-64" for r in rows.values())
+    assert rt_ids(store) == {r.fact_id for r in rows.values()}
+    assert {r.content for r in store.search("coffee").collect()} == set(rows)
+    store.embed_pending()  # nothing is left
+    assert store.vectors().count() == 2 and store.health().first().healthy
+    found = spark.read.option("recursiveFileLookup", True).parquet(f"{store.path}/vectors").limit(1)
+    found.write.mode("append").parquet(f"{store.path}/vectors")  # a batch that was written twice
+    assert store.vectors().count() == 2
+    assert api.memory_status(store)["fact_count"] == 2 and api.memory_status(store)["last_ingestion"].endswith("Z")
+    code, reply = api.answer(store, json.dumps({"query": "dark", "topK": None}))
+    assert code == 200 and json.loads(json.dumps(reply))["results"][0]["content"] == "User prefers dark mode"
+    assert api.answer(store, json.dumps({"query": "dark", "topK": "x"}))[0] == 400
+
+
+def rt_ids(store):
+    return {r.vec_id for r in store.vectors().collect()}
+
+
+def test_an_old_store_opens_with_defaults(spark, tmp_path):
+    path = str(tmp_path / "old")
+    spark.createDataFrame([(1, "me", "dark mode", "s")], "fact_id long, user_id string, content string, source_session_id string").write.parquet(f"{path}/facts")
+    store = api.MemoryStore(spark, path, "me")
+    row = store.facts().first()
+    assert (row.confidence, row.decay_rate, row.embed_status, row.deleted_at) == (0.9, "slow", "pending", None)
+    store.remember("newer columns", "s2", level="low")
+    rows = {r.content: r for r in store.facts().collect()}
+    assert rows["dark mode"].confidence == 0.9 and rows["dark mode"].decay_rate == "slow" and rows["newer columns"].confidence == 0.5
+    store.embed_pending()
+    assert {r.embed_status for r in store.facts().collect()} == {"done"}
+
+
+def test_prompt_hook(spark, tmp_path):
+    store = api.MemoryStore(spark, str(tmp_path / "store"), "me")
+    store.remember("User prefers dark mode", "s1")
+    hook = api.PromptHook(store, "Welcome.", seconds=120)
+    first = hook("a", "ignored", [("user", "dark mode?"), ("assistant", "hm")])
+    assert first.startswith("Welcome.") and "User prefers dark mode" in first and hook.sessions.get("a") == "dark mode?"
+    assert not hook("a", "dark mode").startswith("Welcome.")
+    late = api.PromptHook(store, None, seconds=0.0)
+    assert late("a", "dark mode") == ""
+
+
+def test_batches_are_embedded_at_once(spark):
+    from reminis.functions.embed import embed_facts, warm_up
+
+    class Batched:
+        """Embeds whole batches."""
+
+        name, size = "batched", 2
+
+        def embed(self, texts):
+            if None in texts:
+                raise ValueError("nothing to embed")
+            return [[float(len(texts)), 0.0] for _ in texts]
+
+    rows = spark.createDataFrame([(i, "x") for i in range(10)], "fact_id long, content string").coalesce(1)
+    assert {r.embedding[0] for r in embed_facts(rows, Batched()).collect()} == {10.0}
+    mixed = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "fact_id long, content string").coalesce(1)
+    assert {(r.fact_id, r.error is None) for r in embed_facts(mixed, Batched()).collect()} == {(1, True), (2, False), (3, True)}
+    assert warm_up(Batched())
