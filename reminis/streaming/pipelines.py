@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reminis.functions.embed import Embedder, embed_facts, warm_up
-from reminis.operators.store import status_of, with_status  # noqa: F401  part of the stream's interface
+from reminis.operators.store import status_of, with_status  # noqa: F401  part of this module for callers
 from reminis.sources.tables import FACTS
 
 
