@@ -25,7 +25,9 @@ K1, B = 1.5, 0.75
 RRF_K, BOOST = 30, 2.0
 POOL, SCORE_SHARE, OVERLAP_SHARE = 100, 0.7, 0.3
 #: Queries that are sent to every task; more of them are joined by a shuffle.
-SMALL_QUERIES = 10_000
+SMALL_QUERIES = 1_000
+#: Rows of candidates (ids and numbers) that are sent to every task.
+SMALL_POOL = 1_000_000
 
 
 def live(facts: DataFrame) -> DataFrame:
@@ -36,6 +38,11 @@ def small(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
 
+def few(queries: DataFrame) -> bool:
+    """Whether the queries are counted to be so few that every task may have them."""
+    return queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+
+
 def tokens_of(facts: DataFrame) -> DataFrame:
     """user_id, fact_id, created_at, tokens, dl of live facts."""
     rows = live(facts).select("user_id", "fact_id", "created_at", tx.tokenize(F.col("content")).alias("tokens"))
@@ -79,21 +86,28 @@ def matched(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFr
     """query_id, fact_id, created_at, dl, hits (term, qtf, tf) of every live fact for each query of its user.
     Terms are counted where the facts are read; nothing is shuffled."""
     both = docs.join(small(terms_of(queries), bounded), "user_id")
+    # Absent terms, most of them, are found out first; neither look at the tokens runs a lambda for each.
     found = F.transform(
-        "terms", lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), F.size(F.filter("tokens", lambda w: w == t.term)).alias("tf"))
+        F.filter("terms", lambda t: F.array_contains("tokens", t.term)),
+        lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), (F.col("dl") - F.size(F.array_remove("tokens", t.term))).alias("tf")),
     )
-    return both.select("query_id", "user_id", "fact_id", "created_at", "dl", F.filter(found, lambda h: h.tf > 0).alias("hits"))
+    return both.select("query_id", "fact_id", "created_at", "dl", found.alias("hits"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
     """query_id, fact_id, created_at, bm25 of every live fact; zero without a queried term."""
     rows = matched(docs, queries, bounded)
-    df = rows.select("query_id", "user_id", F.explode("hits.term").alias("term")).groupBy("query_id", "user_id", "term").agg(F.count(F.lit(1)).alias("df"))
-    n = F.col("n_docs").cast("double")
-    weight = F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf")
-    known = df.join(corpus_stats(docs), "user_id").groupBy("query_id").agg(  # a row for each query, of its few terms
-        F.map_from_entries(F.collect_list(F.struct("term", weight))).alias("idfs"), F.first("avgdl").alias("avgdl")
+    # One read counts facts, lengths (under the null term) and the facts of each term.
+    terms = F.explode(F.array_append("hits.term", F.lit(None).cast("string"))).alias("term")
+    counts = rows.select("query_id", "dl", terms).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("dl").cast("long")).alias("len"))
+    whole = F.col("term").isNull()
+    known = counts.groupBy("query_id").agg(  # a row for each query, of its few terms
+        F.collect_list(F.when(~whole, F.struct("term", "n"))).alias("dfs"),
+        F.max(F.when(whole, F.col("n"))).cast("double").alias("n_docs"),
+        F.max(F.when(whole, F.col("len") / F.col("n"))).alias("avgdl"),
     )
+    idf = F.transform("dfs", lambda t: F.struct(t.term, F.log((F.col("n_docs") - t.n + 0.5) / (t.n + 0.5) + 1)))
+    known = known.select("query_id", F.map_from_entries(idf).alias("idfs"), "avgdl")
 
     def part(sum_, hit):
         tf = hit.tf.cast("double")
@@ -178,7 +192,7 @@ def hybrid_search(
     pool = fused_rank(facts, vectors, queries, limit, as_of, bounded, keep=POOL + limit)
     contents = live(facts).select("fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags")
     asked = queries.select("query_id", tx.rerank_tokens(F.col("text")).alias("__words"))
-    rows = contents.join(small(pool, bounded), "fact_id").join(small(asked, bounded), "query_id")
+    rows = contents.join(small(pool, bounded and SMALL_QUERIES * (POOL + limit) <= SMALL_POOL), "fact_id").join(small(asked, bounded), "query_id")
     share = tx.overlap(F.col("content"), F.col("__words"))
     blended = F.when((F.col("rank") <= POOL) & share.isNotNull(), F.round(SCORE_SHARE * F.col("score") + OVERLAP_SHARE * share, 9)).otherwise(F.col("score"))
     rows = rows.withColumn("final_score", blended).withColumn("__pool", (F.col("rank") <= POOL).cast("int")).withColumnRenamed("rank", "__before")
@@ -199,14 +213,14 @@ def bm25_only_search(facts: DataFrame, queries: DataFrame, limit: int, as_of: da
     contents = live(facts).select("fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags", "decay_rate")
     age = fm.age_in_days(F.col("created_at"), timestamp(as_of))
     score = F.round(F.col("bm25") * BOOST * fm.decay(fm.decay_lambda(F.col("decay_rate")), age), 9)
-    return contents.join(small(first, bounded), "fact_id").select(
+    return contents.join(small(first, bounded and SMALL_QUERIES * limit <= SMALL_POOL), "fact_id").select(
         "query_id", "rank", "fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags", score.alias("final_score")
     )
 
 
 def search(facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime) -> DataFrame:
     """Hybrid for users that have a fact with a vector, keywords alone for the others."""
-    bounded = queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+    bounded = few(queries)
     having = live(facts).where(F.col("vec_rowid").isNotNull()).select("user_id").distinct()
     with_vectors = queries.join(having, "user_id", "left_semi")
     without = queries.join(having, "user_id", "left_anti")

@@ -288,7 +288,10 @@ def bm25_only_search(spark, sf):
 
 @registered
 def multi_query_search(spark, sf):
-    return found_for(spark, sf, items=20).select("query_id", "rank", "fact_id", r6("final_score", "final_score"))
+    """Every item of the benchmark asks."""
+    asked = tb.queries(spark, sf, items=None)
+    found = rt.hybrid_search(asked_facts(spark, sf), tb.vectors(spark, sf), asked, LIMIT, tb.AS_OF, rt.few(asked))
+    return found.select("query_id", "rank", "fact_id", r6("final_score", "final_score"))
 
 
 # --- presentation ----------------------------------------------------------------------------------------

@@ -141,7 +141,7 @@ SELECT conv_id, turn, role, CASE WHEN turn % 2 = 0 THEN '[MEMORY]' || chr(10) ||
 }
 
 
-def sql(body: str, limit: int = 10, suffix: str = "", items: int = 1) -> str:
+def sql(body: str, limit: int = 10, suffix: str = "", items: int | None = 1) -> str:
     """``body`` with the parts it needs before it."""
     needed: set[str] = set()
 
@@ -154,7 +154,7 @@ def sql(body: str, limit: int = 10, suffix: str = "", items: int = 1) -> str:
     need(body)
     whole = ",\n".join(f"{name} AS ({PARTS[name]})" for name in PARTS if name in needed)
     whole = f"WITH {whole}\n{body}" if whole else body
-    values = {"@LIMIT@": str(limit), "@REACH@": str(max(3 * limit, 50)), "@SUFFIX@": suffix, "@ITEMS@": str(items)}
+    values = {"@LIMIT@": str(limit), "@REACH@": str(max(3 * limit, 50)), "@SUFFIX@": suffix, "@ITEMS@": str(2**63 - 1 if items is None else items)}
     for mark, value in values.items():
         whole = whole.replace(mark, value)
     return whole
@@ -243,7 +243,7 @@ FROM live f, (SELECT list_distinct({_tokens('text', _RERANK_STOP)}) AS w FROM qu
 SELECT rank, fact_id, source_session_id, source_session_label, f.created_at, CAST(to_json(tags) AS VARCHAR) AS tags_json,
   round(round(bm25 * 2 * exp(-({_LAMBDA}) * {_age('f.created_at')}), 9), 6) AS final_score
 FROM words w JOIN live f USING (fact_id) WHERE rank <= 10"""),
-    "multi_query_search": sql("SELECT query_id, rank, fact_id, round(final_score, 6) AS final_score FROM found", items=20),
+    "multi_query_search": sql("SELECT query_id, rank, fact_id, round(final_score, 6) AS final_score FROM found", items=None),
     "memory_context": sql(f"SELECT rank, fact_id, {_LABEL} AS session_label, created_at, round(final_score, 6) AS score FROM found WHERE rank <= 8", limit=16),
     "tool_search": sql(f"""
 SELECT rank, fact_id, round(final_score, 6) AS score, floor({_age('created_at')} * 10 + 0.5::DOUBLE) / 10 AS age_in_days, {_LABEL} AS session_label FROM found""", limit=20),

@@ -121,11 +121,12 @@ def _in_order():
     return Window.partitionBy("conv_id").orderBy("turn")
 
 
-def queries(spark: SparkSession, sf_dir: str, items: int = 1, words: int = 5, suffix: str = "", user: str = USER) -> DataFrame:
-    """(query_id, user_id, text, embedding): the first words of benchmark items 0 to ``items`` - 1, each with the
-    vector of its number."""
-    rows = read(spark, sf_dir, "benchmark").where(F.col("item_id") < items)
+def queries(spark: SparkSession, sf_dir: str, items: int | None = 1, words: int = 5, suffix: str = "", user: str = USER) -> DataFrame:
+    """(query_id, user_id, text, embedding): the first words of benchmark items 0 to ``items`` - 1, or of all with None,
+    each with the vector of its number."""
+    rows, own = read(spark, sf_dir, "benchmark"), vectors(spark, sf_dir)
+    if items is not None:
+        rows, own = rows.where(F.col("item_id") < items), own.where(F.col("vec_id") < items)
     first = F.array_join(F.slice(tx.raw_tokens(F.col("text")), 1, words), " ")
     asked = rows.select(F.col("item_id").alias("query_id"), F.lit(user).alias("user_id"), F.concat(first, F.lit(suffix)).alias("text"))
-    own = vectors(spark, sf_dir).where(F.col("vec_id") < items).dropDuplicates(["vec_id"])
-    return asked.join(own, asked.query_id == F.col("vec_id"), "left").drop("vec_id")
+    return asked.join(own.dropDuplicates(["vec_id"]), asked.query_id == F.col("vec_id"), "left").drop("vec_id")
