@@ -3,7 +3,8 @@
 A URL becomes a set of tokens: its top-level and registered domain, the labels below and their parts, path segments
 that are not numbers, file extension, names of query parameters, fragment. Spark's FP-growth mines the sets of
 labelled URLs together with their label; what remains are rules "tokens -> label" with enough support and
-confidence, more often right than the label alone, and without a shorter rule that is as sure. Rules are matched
+confidence, more often right than the label alone, and without a shorter rule that is as sure. Tokens that always come
+together are mined as one, and fit where any of them is. Rules are matched
 by an inverted index: each stands under its rarest token, so only URLs with that token look at it.
 
 Matching works on distinct token sets (URLs that differ in numbers alone share one), and verdicts come back to
@@ -19,6 +20,7 @@ rules; null labels count as clean; repeated rows are judged alike; an empty tabl
 
 from __future__ import annotations
 
+import math
 import string
 
 from pyspark.ml.fpm import FPGrowth
@@ -87,31 +89,72 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
 
 
 _RULE = "items array<string>, label string, confidence double, support double, anchor string"
+_ITEM = "token string, item string, freq long, blocked long"
 
 
-def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (items, label, confidence, support, anchor) from rows tokens (array), label (allow or block)."""
+def items_of(labelled: DataFrame, least: int) -> DataFrame:
+    """(token, item, freq, blocked) of the tokens that ``least`` labelled URLs or more have. Tokens that the same URLs
+    have are one item, named by the first of them: no rule can tell them apart, and mining them apart would count every
+    subset of them. The URLs of a token are known by two 64-bit hashes summed over its distinct token sets."""
+    n, blocked = F.count(F.lit(1)).alias("n"), F.sum((F.col("label") == "block").cast("long")).alias("blocked")
+    sets = labelled.groupBy("tokens").agg(n, blocked)
+    words = sets.select(F.explode("tokens").alias("token"), "n", "blocked", F.xxhash64("tokens", F.lit(1)).alias("a"), F.xxhash64("tokens", F.lit(2)).alias("b"))
+    found = words.groupBy("token").agg(F.sum("n").alias("freq"), F.sum("blocked").alias("blocked"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b"))
+    found = materialize(found.where(F.col("freq") >= least), "tokens")
+    same = found.groupBy("freq", "a", "b").agg(F.min("token").alias("item"))
+    return materialize(found.join(same, ["freq", "a", "b"]).select("token", "item", "freq", "blocked"), "items")
+
+
+def mine(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame]:
+    """Rules (items, label, confidence, support, anchor) from rows tokens (array), label (allow or block), and the
+    items of tokens (``items_of``).
+
+    An item whose URLs all have one label is a rule by itself; no longer rule can be as short and surer, nor can it be
+    in one of the other label, so FP-growth gets the items that remain. What it costs grows with the number of sets
+    of those that enough URLs share."""
     spark = labelled.sparkSession
-    baskets = materialize(labelled.select(F.array_append("tokens", F.concat(F.lit("="), "label")).alias("items")), "baskets")
-    n = baskets.count()
-    if not n:
-        return spark.createDataFrame([], _RULE)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, MIN_COUNT / n)), minConfidence=min_confidence).fit(baskets)
+    labelled = materialize(labelled.select("tokens", "label"), "labelled")
+    n, blocks = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum((F.col("label") == "block").cast("long")), F.lit(0))).first()
+    if blocks in (0, n):  # no rule is more often right than the label alone
+        return spark.createDataFrame([], _RULE), spark.createDataFrame([], _ITEM)
+    least = max(math.ceil(min_support * n), MIN_COUNT)
+    items = items_of(labelled, least)
+    pure = (F.col("blocked") == 0) | (F.col("blocked") == F.col("freq"))
+    single = items.where(F.col("token") == F.col("item"))
+    alone = single.where(pure).select(
+        F.array("item").alias("items"), F.when(F.col("blocked") == 0, "allow").otherwise("block").alias("label"),
+        F.lit(1.0).alias("confidence"), (F.col("freq") / F.lit(float(n))).alias("support"), F.col("item").alias("anchor"),
+    )
+    sets = labelled.select("tokens").distinct()
+    words = sets.select("tokens", F.explode("tokens").alias("token")).join(single.where(~pure), "token")
+    mixed = words.groupBy("tokens").agg(F.collect_list("item").alias("mixed"))  # as many as the URL has tokens
+    baskets = labelled.join(mixed, "tokens", "left").select(
+        F.array_append(F.coalesce("mixed", F.array().cast("array<string>")), F.concat(F.lit("="), "label")).alias("items")
+    )
+    baskets = materialize(baskets, "baskets")
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / n), minConfidence=min_confidence).fit(baskets)
     found = model.associationRules.where((F.size("consequent") == 1) & F.col("consequent")[0].startswith("=") & (F.col("lift") > 1))
     found = found.where(~F.exists("antecedent", lambda x: x.startswith("=")))
     found = found.select(
         F.array_sort("antecedent").alias("items"), F.substring(F.col("consequent")[0], 2, 100).alias("label"), "confidence", "support"
     )
     found = materialize(found, "rules")
-    # A rule goes where dropping one of its tokens leaves a rule that is as sure.
+    # A rule goes where dropping one of its items leaves a rule that is as sure.
     shorter = found.select("label", F.col("items").alias("less"), F.col("confidence").alias("sure"))
     drops = found.withColumn("gone", F.explode("items")).withColumn("less", F.array_remove("items", F.col("gone")))
     needless = drops.join(shorter, ["label", "less"]).where(F.col("sure") >= F.col("confidence")).select("label", "items").distinct()
     found = found.join(needless, ["label", "items"], "left_anti")
-    single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    rarest = Window.partitionBy("label", "items").orderBy("freq", "token")
-    placed = found.withColumn("token", F.explode("items")).join(single, "token").withColumn("nth", F.row_number().over(rarest))
-    return materialize(placed.where("nth = 1").select("items", "label", "confidence", "support", F.col("token").alias("anchor")), "rules")
+    rarest = Window.partitionBy("label", "items").orderBy("freq", "item")
+    placed = found.withColumn("item", F.explode("items")).join(single.select("item", "freq"), "item").withColumn("nth", F.row_number().over(rarest))
+    placed = placed.where("nth = 1").select("items", "label", "confidence", "support", F.col("item").alias("anchor"))
+    return materialize(placed.unionByName(alone), "rules"), items
+
+
+def in_items(sets: DataFrame, items: DataFrame) -> DataFrame:
+    """The distinct token sets (signature, tokens) with the items of their tokens in place of these; sets without any
+    item, which no rule fits, go."""
+    words = sets.select("signature", F.explode("tokens").alias("token")).join(items.select("token", "item"), "token")
+    return words.groupBy("signature").agg(F.collect_set("item").alias("tokens"))
 
 
 def mined_verdicts(sets: DataFrame, rules: DataFrame) -> DataFrame:
@@ -131,9 +174,9 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     parsed = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
     parsed = parsed.withColumn("tokens", url_tokens(F.col("url"), F.col("host"), F.col("path")))
     named = labels.select(F.col("page_id").alias("id_"), F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow").alias("label"))
-    mined = mine(parsed.join(named, F.col("page_id") == F.col("id_")).select("tokens", "label"))
+    mined, items = mine(parsed.join(named, F.col("page_id") == F.col("id_")).select("tokens", "label"))
     parsed = parsed.withColumn("signature", F.array_join("tokens", " ")).withColumn("rule", fixed_rule(F.col("host"), F.col("path"), rules))
-    verdicts = mined_verdicts(parsed.select("signature", "tokens").distinct(), mined)
+    verdicts = mined_verdicts(in_items(parsed.select("signature", "tokens").distinct(), items), mined)
     own = verdict_of(F.col("rule"), rules)
     return parsed.join(verdicts, "signature", "left").select(
         "page_id", "host", "path", "rule",

@@ -1,5 +1,6 @@
 """Operators over whole tables against brute force and held-out labels."""
 
+import itertools
 import re
 import zlib
 from collections import Counter
@@ -229,6 +230,60 @@ def test_mined_rules(spark):
     assert all(x.verdict == ("block" if x.page_id % 3 == 0 else "allow") and x.source == "mined" for x in rows)
 
 
+def rules_by_counting(rows, least, sure):
+    """All rules of up to every token, by counting each set of tokens; those without a shorter one that is as sure."""
+    n, counts = len(rows), {}
+    for tokens, label in rows:
+        for k in range(1, len(tokens) + 1):
+            for items in itertools.combinations(sorted(tokens), k):
+                counts.setdefault(items, Counter())[label] += 1
+    share = Counter(label for _, label in rows)
+    rules = {
+        (items, label): (c / sum(by.values()), c / n) for items, by in counts.items() for label, c in by.items()
+        if c >= least and c / sum(by.values()) >= sure and c / sum(by.values()) > share[label] / n
+    }
+    return {
+        (items, label): v for (items, label), v in rules.items()
+        if not any(rules.get((items[:i] + items[i + 1:], label), (0,))[0] >= v[0] for i in range(len(items)))
+    }
+
+
+def test_mining_equals_counting(spark):
+    r = np.random.default_rng(3)
+    rows = []
+    for _ in range(600):
+        tokens = {f"t{x}" for x in r.integers(0, 7, 4)}
+        tokens |= {"u0", "u1"} if "t0" in tokens else set()  # always with t0
+        tokens |= {"w"} if r.random() < 0.2 else set()
+        bad = "w" in tokens or r.random() < (0.9 if {"t1", "t2"} <= tokens else 0.5 if "t3" in tokens else 0.2)
+        rows.append((sorted(tokens), "block" if bad else "allow"))
+    frame = spark.createDataFrame(rows + [([], "allow")], "tokens array<string>, label string")
+    rules, items = url_rules.mine(frame, 0.01, 0.6)
+    together = {}
+    for x in items.collect():
+        together.setdefault(x.item, []).append(x.token)
+    assert sorted(together["t0"]) == ["t0", "u0", "u1"]
+    found = {}
+    for x in rules.collect():
+        assert x.anchor in x["items"]
+        for tokens in itertools.product(*(together[i] for i in x["items"])):
+            found[tuple(sorted(tokens)), x.label] = (x.confidence, x.support)
+    told = rules_by_counting(rows + [([], "allow")], url_rules.MIN_COUNT, 0.6)
+    assert (("w",), "block") in told and any(len(items) > 1 for items, _ in told)
+    assert set(found) == set(told)
+    for key, values in told.items():
+        assert found[key] == pytest.approx(values)
+
+
+def test_mining_of_many_shared_parameters(spark):
+    query = "&".join(f"p{k}=1" for k in range(30))
+    pages = [(i, f"http://shop{i % 2}.org/{'a' if i % 3 else 'b'}?{query}") for i in range(120)] + [(200, "http://c.org/?p7=2")]
+    labels = spark.createDataFrame([(i, i % 3 == 0 and i % 10 > 0) for i in range(120)], "page_id long, bad boolean")
+    rows = url_rules.judge(spark.createDataFrame(pages, "page_id long, url string"), labels).collect()
+    assert {x.page_id: x.verdict for x in rows if x.page_id < 120} == {i: "allow" if i % 3 else "block" for i in range(120)}
+    assert len(rows) == 121 and all(x.source == "mined" for x in rows if x.page_id < 120)
+
+
 def test_mined_verdicts_equal_brute_force(spark):
     r = np.random.default_rng(1)
     sets = [sorted({f"t{x}" for x in r.integers(0, 12, 6)}) for _ in range(80)]
