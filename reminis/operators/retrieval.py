@@ -82,14 +82,22 @@ def terms_of(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", "user_id", term.alias("terms"))
 
 
+def asked_tokens(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """``docs`` of the users who ask, with the tokens alone that one of the user's (few) queries has; ``dl`` stays."""
+    asked = queries.groupBy("user_id").agg(F.array_distinct(F.flatten(F.collect_list(tx.tokenize(F.col("text"))))).alias("__asked"))
+    rows = docs.join(F.broadcast(asked), "user_id").withColumn("__asked", F.array_intersect("tokens", "__asked"))
+    kept = F.filter("tokens", lambda w: F.array_contains("__asked", w))
+    return rows.withColumn("tokens", F.when(F.size("__asked") > 0, kept).otherwise(F.slice("tokens", 1, 0))).drop("__asked")
+
+
 def matched(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
     """query_id, fact_id, created_at, dl, hits (term, qtf, tf) of every live fact for each query of its user.
     Terms are counted where the facts are read; nothing is shuffled."""
-    both = docs.join(small(terms_of(queries), bounded), "user_id")
+    both = (asked_tokens(docs, queries) if bounded else docs).join(small(terms_of(queries), bounded), "user_id")
     # Absent terms, most of them, are found out first; neither look at the tokens runs a lambda for each.
     found = F.transform(
         F.filter("terms", lambda t: F.array_contains("tokens", t.term)),
-        lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), (F.col("dl") - F.size(F.array_remove("tokens", t.term))).alias("tf")),
+        lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), (F.size("tokens") - F.size(F.array_remove("tokens", t.term))).alias("tf")),
     )
     return both.select("query_id", "fact_id", "created_at", "dl", found.alias("hits"))
 
