@@ -44,7 +44,9 @@ def raw_tokens(text: Column) -> Column:
 
 
 def _without(tokens: Column, words: tuple[str, ...]) -> Column:
-    return F.filter(tokens, lambda t: ~t.isin(*words))
+    # Parsed as one expression: a column for each word costs more to build than small stores take to search.
+    listed = ", ".join(f"'{w}'" for w in words)
+    return F.call_function("filter", tokens, F.expr(f"w -> w not in ({listed})"))
 
 
 def tokenize(text: Column) -> Column:

@@ -38,15 +38,24 @@ def small(df: DataFrame, bounded: bool) -> DataFrame:
     return F.broadcast(df) if bounded else df
 
 
-def few(queries: DataFrame) -> bool:
-    """Whether the queries are counted to be so few that every task may have them."""
-    return queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES
+def at_hand(queries: DataFrame) -> tuple[DataFrame, bool]:
+    """The queries as a local table, and True, where they are counted to be so few; else as they are. The plan reads
+    queries in many places: a local table is neither scanned nor joined again in each."""
+    rows = queries.limit(SMALL_QUERIES + 1).toArrow()
+    if rows.num_rows > SMALL_QUERIES:
+        return queries, False
+    return queries.sparkSession.createDataFrame(rows, queries.schema), True
+
+
+def tokens_of(facts: DataFrame, *also: str) -> DataFrame:
+    """user_id, fact_id, created_at, tokens, dl of live facts, and the columns ``also``."""
+    rows = live(facts).select("user_id", "fact_id", "created_at", *also, tx.tokenize(F.col("content")).alias("tokens"))
+    return rows.withColumn("dl", F.size("tokens"))
 
 
-def tokens_of(facts: DataFrame) -> DataFrame:
-    """user_id, fact_id, created_at, tokens, dl of live facts."""
-    rows = live(facts).select("user_id", "fact_id", "created_at", tx.tokenize(F.col("content")).alias("tokens"))
-    return rows.withColumn("dl", F.size("tokens"))
+def carried(docs: DataFrame) -> list[str]:
+    """Columns that go along with a fact's scores."""
+    return [c for c in docs.columns if c not in ("user_id", "fact_id", "created_at", "tokens", "dl")]
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:
@@ -99,7 +108,7 @@ def matched(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFr
         F.filter("terms", lambda t: F.array_contains("tokens", t.term)),
         lambda t: F.struct(t.term.alias("term"), t.qtf.alias("qtf"), (F.size("tokens") - F.size(F.array_remove("tokens", t.term))).alias("tf")),
     )
-    return both.select("query_id", "fact_id", "created_at", "dl", found.alias("hits"))
+    return both.select("query_id", "fact_id", "created_at", *carried(docs), "dl", found.alias("hits"))
 
 
 def bm25_scores(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
@@ -123,7 +132,7 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> Da
 
     scored = rows.join(small(known, bounded), "query_id", "left")
     bm25 = F.when(F.size("hits") > 0, F.aggregate("hits", F.lit(0.0), part)).otherwise(F.lit(0.0))
-    return scored.select("query_id", "fact_id", "created_at", F.round(bm25, 9).alias("bm25"))
+    return scored.select("query_id", "fact_id", "created_at", *carried(docs), F.round(bm25, 9).alias("bm25"))
 
 
 def bm25_rank(docs: DataFrame, queries: DataFrame, bounded: bool = True) -> DataFrame:
@@ -159,15 +168,16 @@ def vector_rank(facts: DataFrame, vectors: DataFrame, queries: DataFrame, k: int
     return top(scored, ["query_id"], [F.asc("distance"), F.asc("vec_id"), F.asc("fact_id")], k, "rank").drop("vec_id")
 
 
-def fused(by_words: DataFrame, by_vectors: DataFrame, k: int = RRF_K) -> DataFrame:
-    """query_id, fact_id, bm25_rank, vec_rank, rrf: the sum of reciprocal ranks; a missing one adds nothing."""
-    words = by_words.select("query_id", "fact_id", F.col("rank").alias("bm25_rank"))
-    near = by_vectors.select("query_id", "fact_id", F.col("rank").alias("vec_rank"))
+def fused(by_words: DataFrame, by_vectors: DataFrame, k: int = RRF_K, also: tuple[str, ...] = (), how: str = "full_outer", bounded: bool = False) -> DataFrame:
+    """query_id, fact_id, bm25_rank, vec_rank, rrf: the sum of reciprocal ranks; a missing one adds nothing. Columns
+    ``also`` of the first go along. Where keywords rank every fact, a left join of (few) near ones shuffles nothing."""
+    words = by_words.select("query_id", "fact_id", *also, F.col("rank").alias("bm25_rank"))
+    near = small(by_vectors.select("query_id", "fact_id", F.col("rank").alias("vec_rank")), bounded)
 
     def part(rank: str) -> Column:
         return F.coalesce(1.0 / (F.lit(float(k)) + F.col(rank)), F.lit(0.0))
 
-    return words.join(near, ["query_id", "fact_id"], "full_outer").withColumn("rrf", part("bm25_rank") + part("vec_rank"))
+    return words.join(near, ["query_id", "fact_id"], how).withColumn("rrf", part("bm25_rank") + part("vec_rank"))
 
 
 def reach(limit: int) -> int:
@@ -176,15 +186,20 @@ def reach(limit: int) -> int:
 
 
 def fused_rank(
-    facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool = True, keep: int | None = None
+    facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool | None = None, keep: int | None = None
 ) -> DataFrame:
-    """query_id, fact_id, score, rank after boost and decay; ``keep`` bounds the ranks that are returned."""
-    docs = tokens_of(facts)
-    rrf = fused(bm25_rank(docs, queries, bounded), vector_rank(facts, vectors, queries, reach(limit), bounded))
+    """query_id, fact_id, score, rank after boost and decay; ``keep`` bounds the ranks that are returned. Without
+    ``bounded`` the queries are counted."""
+    if bounded is None:
+        queries, bounded = at_hand(queries)
+    docs = tokens_of(facts, "decay_rate")
+    near = vector_rank(facts, vectors, queries, reach(limit), bounded)
+    few_near = bounded and SMALL_QUERIES * reach(limit) <= SMALL_POOL
+    rrf = fused(bm25_rank(docs, queries, bounded), near, also=("created_at", "decay_rate"), how="left", bounded=few_near)
     asked = queries.select("query_id", tx.intent(F.col("text")).alias("intent"))
     age = fm.age_in_days(F.col("created_at"), timestamp(as_of))
     factor = BOOST * fm.decay(fm.adaptive_lambda(F.col("intent"), F.col("decay_rate")), age)
-    rows = rrf.join(live(facts).select("fact_id", "created_at", "decay_rate"), "fact_id").join(small(asked, bounded), "query_id")
+    rows = rrf.join(small(asked, bounded), "query_id")
     scored = rows.select("query_id", "fact_id", "bm25_rank", "vec_rank", F.round(F.col("rrf") * factor, 9).alias("score"))
     order = [F.desc("score"), F.asc_nulls_last("vec_rank"), F.asc_nulls_last("bm25_rank"), F.asc("fact_id")]
     if keep is not None:
@@ -194,9 +209,12 @@ def fused_rank(
 
 
 def hybrid_search(
-    facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool = True
+    facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool | None = None
 ) -> DataFrame:
-    """query_id, rank, fact columns and final_score of each query's best facts."""
+    """query_id, rank, fact columns and final_score of each query's best facts. Without ``bounded`` the queries are
+    counted."""
+    if bounded is None:
+        queries, bounded = at_hand(queries)
     pool = fused_rank(facts, vectors, queries, limit, as_of, bounded, keep=POOL + limit)
     contents = live(facts).select("fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags")
     asked = queries.select("query_id", tx.rerank_tokens(F.col("text")).alias("__words"))
@@ -211,9 +229,11 @@ def hybrid_search(
     )
 
 
-def bm25_only_search(facts: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool = True) -> DataFrame:
+def bm25_only_search(facts: DataFrame, queries: DataFrame, limit: int, as_of: datetime, bounded: bool | None = None) -> DataFrame:
     """Without any vector: keyword order is kept, the limit is applied before decay, and neither the query's
-    intent nor overlap counts."""
+    intent nor overlap counts. Without ``bounded`` the queries are counted."""
+    if bounded is None:
+        queries, bounded = at_hand(queries)
     docs = tokens_of(facts)
     first = top(
         bm25_scores(docs, queries, bounded), ["query_id"], [F.desc("bm25"), F.desc("created_at"), F.asc("fact_id")], limit, "rank"
@@ -228,7 +248,7 @@ def bm25_only_search(facts: DataFrame, queries: DataFrame, limit: int, as_of: da
 
 def search(facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime) -> DataFrame:
     """Hybrid for users that have a fact with a vector, keywords alone for the others."""
-    bounded = few(queries)
+    queries, bounded = at_hand(queries)
     having = live(facts).where(F.col("vec_rowid").isNotNull()).select("user_id").distinct()
     with_vectors = queries.join(having, "user_id", "left_semi")
     without = queries.join(having, "user_id", "left_anti")

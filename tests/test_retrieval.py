@@ -91,3 +91,32 @@ def test_ann_finds_near_vectors(spark, sf):
     exact = rt.top(rt.distances(tb.vectors(spark, sf), queries), ["query_id"], [F.asc("distance"), F.asc("vec_id")], 10, "rank")
     hits = near.join(exact, ["query_id", "vec_id"], "left_semi").count()
     assert hits >= 0.9 * exact.count()
+
+
+def test_registered_ann_asks_every_fiftieth_vector(spark, sf):
+    from reminis.plans import catalog
+    from reminis.sources import tables as tb
+
+    vectors = tb.vectors(spark, sf)
+    near = catalog.ann_lsh(spark, sf).select("query_id", "vec_id").collect()
+    asked = vectors.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.lit("u").alias("user_id"), "embedding")
+    exact = rt.top(rt.distances(vectors, asked), ["query_id"], [F.asc("distance"), F.asc("vec_id")], 10, "rank").collect()
+    assert {r.query_id for r in near} == {r.query_id for r in asked.collect()}
+    assert len({tuple(r) for r in near} & {(r.query_id, r.vec_id) for r in exact}) >= 0.9 * len(exact)
+
+
+def test_few_queries_are_a_local_table_and_many_are_not(spark, monkeypatch):
+    asked = query(spark, "dark mode").union(query(spark, None))
+    local, bounded = rt.at_hand(asked)
+    assert bounded and local.schema == asked.schema and sorted(map(repr, local.collect())) == sorted(map(repr, asked.collect()))
+    assert rt.at_hand(asked.limit(0))[0].count() == 0
+    monkeypatch.setattr(rt, "SMALL_QUERIES", 1)
+    same, bounded = rt.at_hand(asked)
+    assert same is asked and not bounded
+
+
+def test_many_queries_find_what_few_find(spark, facts, vectors, monkeypatch):
+    few = rt.hybrid_search(facts, vectors, query(spark, "dark mode"), 10, NOW).orderBy("rank").collect()
+    monkeypatch.setattr(rt, "SMALL_QUERIES", 0)
+    many = rt.hybrid_search(facts, vectors, query(spark, "dark mode"), 10, NOW).orderBy("rank").collect()
+    assert few and few == many
