@@ -33,7 +33,7 @@ def segments(conversations: DataFrame) -> DataFrame:
     """conv_id, perspective, turn, speaker, role, segment, head (characters before the content), size."""
     turns = conversations.select(
         "conv_id", "turn", F.col("role").alias("speaker"),
-        F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<$1\\\\|").alias("content"),
+        F.regexp_replace(F.coalesce("text", F.lit("")), r"<(\\*)\|", r"<$1\\|").alias("content"),
     )
     system = F.coalesce(F.col("speaker") == SYSTEM, F.lit(False))
     views = turns.where(~system).select(F.col("conv_id").alias("conv_"), F.col("speaker").alias("perspective")).distinct()
