@@ -153,6 +153,21 @@ def words_of(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = SPACE)
     return starts, stops, np.searchsorted(offsets, starts, "right") - 1
 
 
+def joined_words(data: np.ndarray, starts: np.ndarray, stops: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words from ``starts`` to ``stops``, each row's joined by one space: bytes of all rows, offsets between them.
+    ``row`` ascends."""
+    lengths, many = stops - starts, np.bincount(row, minlength=rows)
+    sizes = np.bincount(row, lengths, minlength=rows).astype(np.int64) + np.maximum(many - 1, 0)
+    offsets = np.append(0, np.cumsum(sizes)).astype(np.int64)
+    out = np.full(int(offsets[-1]), 0x20, np.uint8)
+    before = np.cumsum(lengths) - lengths
+    new = np.append(True, row[1:] != row[:-1])[: len(row)]
+    at = before + np.arange(len(row)) - (np.cumsum(new) - 1)  # a space before each word but a row's first
+    place = np.arange(int(lengths.sum()))
+    out[np.repeat(at - before, lengths) + place] = data[np.repeat(starts - before, lengths) + place]
+    return out, offsets
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit values."""
     x = x ^ (x >> np.uint64(32))
