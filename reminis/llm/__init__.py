@@ -6,7 +6,7 @@ from importlib import import_module
 
 #: Modules that register a query; each has QUERIES and may have ORACLE_SQL.
 MODULES = (
-    "url_rules", "quality", "ngram_bloom", "minhash", "bpe_tree", "simhash", "perspectives", "toxicity", "media", "packing",
+    "url_rules", "quality", "ngram_bloom", "minhash", "bpe_tree", "simhash", "perspectives", "toxicity", "media", "packing", "merkle",
     "substrings", "periodic",
 )
 
