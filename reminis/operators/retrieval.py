@@ -216,6 +216,11 @@ def hybrid_search(
     if bounded is None:
         queries, bounded = at_hand(queries)
     pool = fused_rank(facts, vectors, queries, limit, as_of, bounded, keep=POOL + limit)
+    return reranked(facts, pool, queries, limit, bounded)
+
+
+def reranked(facts: DataFrame, pool: DataFrame, queries: DataFrame, limit: int, bounded: bool) -> DataFrame:
+    """The best of a pool (query_id, fact_id, score, rank) by keyword overlap, with the facts' columns."""
     contents = live(facts).select("fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags")
     asked = queries.select("query_id", tx.rerank_tokens(F.col("text")).alias("__words"))
     rows = contents.join(small(pool, bounded and SMALL_QUERIES * (POOL + limit) <= SMALL_POOL), "fact_id").join(small(asked, bounded), "query_id")
@@ -238,6 +243,11 @@ def bm25_only_search(facts: DataFrame, queries: DataFrame, limit: int, as_of: da
     first = top(
         bm25_scores(docs, queries, bounded), ["query_id"], [F.desc("bm25"), F.desc("created_at"), F.asc("fact_id")], limit, "rank"
     ).select("query_id", "rank", "fact_id", "bm25")
+    return keyword_results(facts, first, limit, as_of, bounded)
+
+
+def keyword_results(facts: DataFrame, first: DataFrame, limit: int, as_of: datetime, bounded: bool) -> DataFrame:
+    """Results of keywords alone (query_id, rank, fact_id, bm25), decayed in the order that they have."""
     contents = live(facts).select("fact_id", "content", "source_session_id", "source_session_label", "created_at", "tags", "decay_rate")
     age = fm.age_in_days(F.col("created_at"), timestamp(as_of))
     score = F.round(F.col("bm25") * BOOST * fm.decay(fm.decay_lambda(F.col("decay_rate")), age), 9)

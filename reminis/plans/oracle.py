@@ -160,6 +160,30 @@ def sql(body: str, limit: int = 10, suffix: str = "", items: int | None = 1) ->
     return whole
 
 
+def sql_of_users(body: str, limit: int = 10) -> str:
+    """``body`` for all items, of which item i asks as user i % 3: the parts of one user, with the user beside each fact,
+    term and count."""
+    changes = {
+        "FROM facts WHERE user_id = 'u0'": "FROM facts",
+        "'u0' AS user_id": "'u' || (item_id % 3) AS user_id",
+        "SELECT count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM docs": "SELECT user_id, count(*) AS n, sum(dl)::DOUBLE / count(*) AS avgdl FROM docs GROUP BY user_id",
+        "SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id,": "SELECT query_id, user_id, term, count(*) AS qtf FROM (SELECT query_id, user_id,",
+        "SELECT fact_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT fact_id, dl,": "SELECT user_id, fact_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT user_id, fact_id, dl,",
+        "GROUP BY fact_id, term": "GROUP BY user_id, fact_id, term",
+        "SELECT term, count(*) AS df, ln(": "SELECT user_id, term, count(*) AS df, ln(",
+        "FROM hits, stats GROUP BY term, n": "FROM hits JOIN stats USING (user_id) GROUP BY user_id, term, n",
+        "FROM docs d CROSS JOIN queries q LEFT JOIN": "FROM docs d JOIN queries q ON d.user_id = q.user_id LEFT JOIN",
+        "FROM hits JOIN terms USING (term) JOIN idfs USING (term), stats GROUP BY ALL": "FROM hits JOIN terms USING (user_id, term) JOIN idfs USING (user_id, term) JOIN stats USING (user_id) GROUP BY ALL",
+        "ON f.vec_rowid = v.vec_id CROSS JOIN queries q": "ON f.vec_rowid = v.vec_id JOIN queries q ON f.user_id = q.user_id",
+    }
+    whole = sql(body, limit, items=None)
+    for one, many in changes.items():
+        if one not in whole:
+            raise ValueError(f"no such part: {one}")
+        whole = whole.replace(one, many)
+    return whole
+
+
 _RESULT = (
     "SELECT rank, fact_id, source_session_id, source_session_label, created_at, CAST(to_json(tags) AS VARCHAR) AS tags_json, "
     "round(final_score, 6) AS final_score FROM found"
@@ -243,7 +267,7 @@ FROM live f, (SELECT list_distinct({_tokens('text', _RERANK_STOP)}) AS w FROM qu
 SELECT rank, fact_id, source_session_id, source_session_label, f.created_at, CAST(to_json(tags) AS VARCHAR) AS tags_json,
   round(round(bm25 * 2 * exp(-({_LAMBDA}) * {_age('f.created_at')}), 9), 6) AS final_score
 FROM words w JOIN live f USING (fact_id) WHERE rank <= 10"""),
-    "multi_query_search": sql("SELECT query_id, rank, fact_id, round(final_score, 6) AS final_score FROM found", items=None),
+    "multi_query_search": sql_of_users("SELECT query_id, rank, fact_id, round(final_score, 6) AS final_score FROM found"),
     "memory_context": sql(f"SELECT rank, fact_id, {_LABEL} AS session_label, created_at, round(final_score, 6) AS score FROM found WHERE rank <= 8", limit=16),
     "tool_search": sql(f"""
 SELECT rank, fact_id, round(final_score, 6) AS score, floor({_age('created_at')} * 10 + 0.5::DOUBLE) / 10 AS age_in_days, {_LABEL} AS session_label FROM found""", limit=20),
