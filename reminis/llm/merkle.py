@@ -30,6 +30,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from .common import materialize, read_table
 
@@ -170,7 +171,7 @@ def numbered(rows: DataFrame, order: list[str], tag: str) -> DataFrame:
     kept = materialize(rows.withColumn("read", F.monotonically_increasing_id()), f"{tag}-rows")
     many = kept.count()
     keys = ["tree", *[F.asc_nulls_first(c) for c in order], "read"]
-    schema = kept.schema.add("part", "integer").add("nth", "long")
+    schema = StructType([*kept.schema, StructField("part", IntegerType()), StructField("nth", LongType())])
     at = kept.columns.index("tree")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,9 +1,10 @@
 """SimHash fingerprints and the components of those within a few differing bits.
 
 A fingerprint bit is set where more than half of the shingles' XXH64 values set it. Links are found without
-comparing all pairs: of ``BLOCKS`` blocks of bits, two fingerprints that differ in at most ``bits`` places
-agree on at least ``BLOCKS - bits`` whole blocks, so every choice of that many blocks is a table and linked
-fingerprints share a bucket of some table. Within a bucket a Gray-order index does the search: fingerprints
+comparing all pairs: of ``bits`` + w blocks of bits, two fingerprints that differ in at most ``bits`` places
+agree on at least w whole blocks, so every choice of w blocks is a table and linked fingerprints share a bucket of some
+table. w is the smallest number (1, so five tables, up to some eight million fingerprints) whose buckets have about
+``hot`` / 2 evenly spread members at most. Within a bucket a Gray-order index does the search: fingerprints
 sorted by Gray rank stand in groups whose members share most bits; the shared bits move up into the group's
 node as a mask and a pattern, a child keeps only what its parent lacks, and differences accumulate on the way
 down, so that a whole group is pruned once the sum exceeds the limit.
@@ -35,7 +36,7 @@ from .components import connected_components
 WORDS = 4
 BITS = 4
 SEED = 42
-FAN = 16
+FAN = 4
 HOT = 2048
 
 
@@ -195,7 +196,10 @@ def block_keys(column: str, blocks: int, whole: int):
 
 def near_components(distinct: DataFrame, bits: int = BITS, hot: int = HOT) -> DataFrame:
     """(node, root) for the fingerprints of ``distinct`` (a column fp, without repeats)."""
-    tables = distinct.select("fp", F.explode(block_keys("fp", bits + 2, 2)).alias("key")).select("fp", "key.t", "key.k")
+    many, whole = distinct.count(), 1
+    while many > hot / 2 * 2 ** (64 * whole / (bits + whole)):
+        whole += 1
+    tables = distinct.select("fp", F.explode(block_keys("fp", bits + whole, whole)).alias("key")).select("fp", "key.t", "key.k")
     crowded = tables.groupBy("t", "k").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
     chunks = F.ceil(F.col("n") / hot).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("m")).cast("int")
