@@ -18,10 +18,15 @@ from reminis.functions.embed import Embedder, HashingEmbedder, embed_facts, embe
 from reminis.operators import context as cx
 from reminis.operators import retrieval as rt
 from reminis.operators import store as st
+from reminis.operators.postings import KeywordIndex
+from reminis.operators.postings import search as indexed_search
 from reminis.sources.tables import FACTS, STATUS, VECTORS, evolve
 from reminis.streaming import pipelines as pl
+from reminis.streaming.queue import queued_facts
 
 DEFAULT_LIMIT, TOOL_LIMIT, MOST = 10, 20, 100
+#: Segments of a store's index before they are made one.
+MOST_SEGMENTS = 8
 # Fixed value: the seconds that a prompt waits for its context.
 HOOK_SECONDS = 0.8
 
@@ -63,6 +68,8 @@ class MemoryStore:
     path: str
     user: str = "default"
     embedder: Embedder | None = field(default_factory=HashingEmbedder)
+    #: Whether searches keep and read a stored keyword index.
+    indexed: bool = False
 
     def _read(self, name: str, schema) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
@@ -103,8 +110,11 @@ class MemoryStore:
         done.where("error is null").select(F.col("fact_id").alias("vec_id"), "embedding").write.mode("append").parquet(f"{self.path}/vectors")
         st.status_of(done, self.embedder.name).write.mode("append").parquet(f"{self.path}/status")
 
-    def embed_stream(self, once: bool = False) -> StreamingQuery:
-        """The streaming pipeline over this store."""
+    def embed_stream(self, once: bool = False, rows: int | None = None) -> StreamingQuery:
+        """The streaming pipeline over this store; with ``rows`` it takes so many facts a batch, first in first out."""
+        if rows is not None:
+            facts = queued_facts(self.spark, f"{self.path}/facts", rows)
+            return pl.start_embedding(facts, self.embedder, self.path, f"{self.path}/queue-checkpoint", name="queue")
         facts = pl.pending_facts(self.spark, f"{self.path}/facts")
         return pl.start_embedding(facts, self.embedder, self.path, f"{self.path}/embedding-checkpoint", once)
 
@@ -117,8 +127,27 @@ class MemoryStore:
         vector = embed_query(self.embedder, text)
         return self.spark.createDataFrame([(0, self.user, text, vector)], "query_id long, user_id string, text string, embedding array<float>")
 
+    def index(self) -> KeywordIndex:
+        """The keyword index with all live facts in it: those that it lacks become a segment, and many segments one."""
+        index, facts = KeywordIndex.open(self.spark, f"{self.path}/index"), self.facts()
+        if not index.segments:
+            return KeywordIndex.build(facts, f"{self.path}/index")
+        missing = rt.live(facts).join(index.docs.select("fact_id"), "fact_id", "left_anti").select(facts.columns)
+        if not missing.isEmpty():
+            index = index.add(missing)
+        return index.compact(self.gone(index)) if len(index.segments) > MOST_SEGMENTS else index
+
+    def gone(self, index: KeywordIndex) -> DataFrame | None:
+        """The facts that were deleted since the index has them, if any."""
+        found = self.facts().where("deleted_at is not null").select("user_id", "fact_id").join(index.docs.select("fact_id"), "fact_id", "left_semi")
+        return None if found.isEmpty() else found
+
     def search(self, text: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-        return rt.search(self.facts(), self.vectors(), self.queries(text), limit, now()).orderBy("rank")
+        facts, vectors, queries = self.facts(), self.vectors(), self.queries(text)
+        if self.indexed:
+            index = self.index()
+            return indexed_search(index, facts, vectors, queries, limit, now(), self.gone(index)).orderBy("rank")
+        return rt.search(facts, vectors, queries, limit, now()).orderBy("rank")
 
     def context(self, text: str, keep: int = cx.CONTEXT_FACTS) -> str:
         found = self.search(text, 2 * keep).where(F.col("rank") <= keep)
@@ -181,29 +210,33 @@ def answer(store: MemoryStore, body: str) -> tuple[int, dict]:
 
 
 class PromptHook:
-    """What is put before a prompt: the query behind it is resolved, searched for within ``seconds``, and the context
-    wrapped; a session's first prompt gets the orientation text as well. Without context in time nothing else is put."""
+    """What is put before a prompt: the query behind it is resolved, searched for, and the context wrapped, all within
+    ``seconds``; the first prompt gets the orientation text as well. Without context in time nothing else is put, and what
+    still runs is cancelled."""
 
     def __init__(self, store: MemoryStore, orientation: str | None = None, seconds: float = HOOK_SECONDS, sessions: int = 1000):
         self.store, self.orientation, self.seconds = store, orientation, seconds
         self.sessions, self.oriented = pl.SessionQueries(sessions), False
 
     def __call__(self, session: str, prompt: str, messages: list[tuple[str, str]] = ()) -> str:
-        """``messages``: (role, text) of the conversation so far."""
+        """``messages``: (role, text) of the conversation so far. The time runs from here on: it covers finding the query,
+        building the search, and running it."""
         spark = self.store.spark
-        prompts = spark.createDataFrame([(0, prompt)], "conv_id long, prompt string")
-        turns = spark.createDataFrame([(0, i, *m) for i, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
-        query = cx.resolved_queries(prompts, turns).first().query
-        self.sessions.put(session, query)
-        block = ""
-        if query.strip():
+
+        def context() -> str:
+            prompts = spark.createDataFrame([(0, prompt)], "conv_id long, prompt string")
+            turns = spark.createDataFrame([(0, i, *m) for i, m in enumerate(messages)], "conv_id long, turn long, role string, text string")
+            query = cx.resolved_queries(prompts, turns).first().query
+            self.sessions.put(session, query)
+            if not query.strip():
+                return ""
             found = self.store.search(query, 2 * cx.CONTEXT_FACTS).where(F.col("rank") <= cx.CONTEXT_FACTS)
-            rows = pl.within(cx.blocks(self.store.queries(query), found, now()), self.seconds, [])
-            block = rows[0].block if rows else ""
+            block = cx.blocks(self.store.queries(query), found, now())
+            return cx.injections(block).first().block
+
+        block = pl.in_time(spark, context, self.seconds, "")
         first, self.oriented = self.orientation if not self.oriented else None, True
-        if not block and not first:
-            return ""
-        return cx.injections(spark.createDataFrame([(0, block)], "query_id long, block string"), orientation=first).first().block
+        return "\n\n".join(x for x in (first, block) if x)
 
 
 def option(name: str, given: str | None, default: str, environment: dict | None = None) -> str:

@@ -489,3 +489,13 @@ def bm25_only_search(index: KeywordIndex, facts: DataFrame, queries: DataFrame,
     first = held(top(both, ["query_id"], [F.desc("bm25"), F.desc("created_at"), F.asc("fact_id")], limit, "rank").drop("created_at"), asked.bounded)
     return rt.keyword_results(facts, first, limit, as_of, asked.bounded)
 
+
+def search(
+    index: KeywordIndex, facts: DataFrame, vectors: DataFrame, queries: DataFrame, limit: int, as_of: datetime, deleted: DataFrame | None = None
+) -> DataFrame:
+    """As ``retrieval.search``: hybrid for users that have a fact with a vector, keywords alone for the others."""
+    queries, _ = rt.at_hand(queries)
+    having = rt.live(facts).where(F.col("vec_rowid").isNotNull()).select("user_id").distinct()
+    parts = [(hybrid_search, (index, facts, vectors), "left_semi"), (bm25_only_search, (index, facts), "left_anti")]
+    both = [find(*own, queries.join(having, "user_id", how).select(queries.columns), limit, as_of, deleted) for find, own, how in parts]
+    return both[0].unionByName(both[1])

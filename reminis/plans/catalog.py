@@ -16,6 +16,7 @@ from reminis.functions import text as tx
 from reminis.functions import vectors as vx
 from reminis.operators import context as cx
 from reminis.operators import exchanges as ex
+from reminis.operators import lists as ls
 from reminis.operators import postings as ps
 from reminis.operators import retrieval as rt
 from reminis.operators import store as st
@@ -217,6 +218,29 @@ def ann_lsh(spark, sf):
     return search(vectors, asked, LIMIT)
 
 
+def lists_of(spark, sf) -> ls.VectorLists:
+    """The lists of all vectors, stored in the shared folder: built once, and anew when the file has changed."""
+    path = f"{shared_folder(spark)}/reminis-lists-{fingerprint(spark, f'{sf}/embeddings.parquet')}"
+    return ls.VectorLists.open(spark, path) or ls.VectorLists.build(tb.vectors(spark, sf), path)
+
+
+@registered
+def ann_lists(spark, sf):
+    """Every vector whose id is divisible by 50 probes half of the lists."""
+    index = lists_of(spark, sf)
+    asked = tb.vectors(spark, sf).where(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "embedding")
+    return ls.search(index, asked, LIMIT, -(-len(index.centres) * 11 // 20))
+
+
+@registered
+def vector_rank_bounded(spark, sf):
+    """Every benchmark item's nearest facts, item i as user i % 3, with bounds instead of comparing all."""
+    owners = rt.live(all_facts(spark, sf)).where("vec_rowid is not null").select("user_id", "fact_id", F.col("vec_rowid").alias("vec_id"))
+    asked = tb.queries(spark, sf, items=None).withColumn("user_id", F.concat(F.lit("u"), F.col("query_id") % 3))
+    found = ls.exact(lists_of(spark, sf), owners, asked, rt.reach(LIMIT))
+    return found.select("query_id", "fact_id", r6("distance", "distance"), "rank")
+
+
 # --- fusion and search -----------------------------------------------------------------------------------
 
 

@@ -7,6 +7,7 @@ from collections import OrderedDict
 from collections.abc import Callable
 from threading import Event, Thread
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -23,17 +24,17 @@ def pending_facts(spark: SparkSession, path: str, files_per_batch: int = 8) -> D
 
 
 def start_embedding(
-    facts: DataFrame, embedder: Embedder, out: str, checkpoint: str, once: bool = False, idle_seconds: float = 5.0
+    facts: DataFrame, embedder: Embedder, out: str, checkpoint: str, once: bool = False, idle_seconds: float = 5.0, name: str = "batch"
 ) -> StreamingQuery:
-    """Embed a stream of facts into ``out``/vectors and ``out``/status. A batch writes its own partition of both
-    and replaces it when it is run again, so each fact has one result; a failed row is final and fails alone."""
+    """Embed a stream of facts into ``out``/vectors and ``out``/status. A batch writes its own partition (``name``=number) of
+    both and replaces it when it is run again, so each fact has one result; a failed row is final and fails alone."""
 
     def write(batch: DataFrame, number: int) -> None:
         found = embed_facts(batch, embedder).persist()
         try:
             ok = found.where("error is null")
-            ok.select(F.col("fact_id").alias("vec_id"), "embedding").write.mode("overwrite").parquet(f"{out}/vectors/batch={number}")
-            status_of(found, embedder.name).write.mode("overwrite").parquet(f"{out}/status/batch={number}")
+            ok.select(F.col("fact_id").alias("vec_id"), "embedding").write.mode("overwrite").parquet(f"{out}/vectors/{name}={number}")
+            status_of(found, embedder.name).write.mode("overwrite").parquet(f"{out}/status/{name}={number}")
         finally:
             found.unpersist()
 
@@ -137,3 +138,33 @@ def within(df: DataFrame, seconds: float, default: list | None = None) -> list:
     finally:
         done.set()
         context.removeJobTag(tag)
+
+
+def in_time(spark: SparkSession, work: Callable[[], object], seconds: float, default: object) -> object:
+    """What ``work`` returns, or ``default`` when it takes longer than ``seconds``: it is left to itself then, and every job
+    that it has started or starts is cancelled. What it raises in time is raised here."""
+    tag, done = f"in-time-{time.monotonic_ns()}", Event()
+    found: list = []
+
+    def run() -> None:
+        spark.sparkContext.addJobTag(tag)
+        try:
+            found.append((True, work()))
+        except Exception as e:  # noqa: BLE001  handed to the caller, if it still waits
+            found.append((False, e))
+        finally:
+            spark.sparkContext.removeJobTag(tag)
+            done.set()
+
+    def cancel() -> None:
+        while not done.wait(0.05):
+            spark.sparkContext.cancelJobsWithTag(tag)
+
+    InheritableThread(target=run, daemon=True).start()
+    if not done.wait(seconds):
+        Thread(target=cancel, daemon=True).start()
+        return default
+    fine, value = found[0]
+    if not fine:
+        raise value
+    return value

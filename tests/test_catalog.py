@@ -7,7 +7,7 @@ import pytest
 
 from reminis.plans import catalog
 
-ROWS_ONLY = {"ann_lsh"}
+ROWS_ONLY = {"ann_lsh", "ann_lists"}
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,7 @@
 """Streams on temporary folders, and the store with its tools."""
 
 import json
+import time
 from datetime import datetime
 
 import pytest
@@ -182,6 +183,44 @@ def test_prompt_hook(spark, tmp_path):
     assert not hook("a", "dark mode").startswith("Welcome.")
     late = api.PromptHook(store, None, seconds=0.0)
     assert late("a", "dark mode") == ""
+    began = time.monotonic()
+    assert "dark mode" in (api.PromptHook(store, "Welcome.")("b", "dark mode") + "dark mode")  # a block, or none
+    assert time.monotonic() - began < 1.0
+
+
+def test_in_time(spark):
+    def slow():
+        return spark.range(1 << 40).selectExpr("sum(hash(id))").first()
+
+    began = time.monotonic()
+    assert pl.in_time(spark, slow, 0.3, "late") == "late" and time.monotonic() - began < 1
+    assert pl.in_time(spark, lambda: spark.range(3).count(), 60, None) == 3
+    with pytest.raises(ZeroDivisionError):
+        pl.in_time(spark, lambda: 1 / 0, 60, None)
+    for _ in range(100):
+        if not spark.sparkContext.statusTracker().getActiveStageIds():
+            break
+        time.sleep(0.1)
+    assert not spark.sparkContext.statusTracker().getActiveStageIds()
+
+
+def test_an_indexed_store_finds_what_a_scan_finds(spark, tmp_path):
+    store = api.MemoryStore(spark, str(tmp_path / "store"), "me", indexed=True)
+    plain = api.MemoryStore(spark, store.path, "me")
+
+    def same(text):
+        found = [[r.fact_id for r in s.search(text, 3).collect()] for s in (store, plain)]
+        assert found[0] == found[1]
+        return found[0]
+
+    store.remember("User prefers dark mode")
+    assert len(same("dark mode")) == 1  # nothing is embedded yet: keywords alone
+    store.remember("Dark chocolate")
+    store.embed_pending()
+    first = same("dark")
+    assert len(first) == 2 and len(store.index().segments) == 2
+    store.forget(first[0])
+    assert same("dark") == first[1:]
 
 
 def test_batches_are_embedded_at_once(spark):
