@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from reminis.functions.embed import Embedder, embed_facts, warm_up
+from reminis.operators.logs import SeenKeys
 from reminis.operators.store import status_of, with_status  # noqa: F401  part of this module for callers
 from reminis.sources.tables import FACTS
 
@@ -94,6 +95,17 @@ def new_exchanges(exchanges: DataFrame, delay: str = "1 day") -> DataFrame:
     return stream.withColumn("__key", key).dropDuplicatesWithinWatermark(["user_id", "__key"]).drop("__key", "at")
 
 
+def start_deduplicating(exchanges: DataFrame, seen: str, out: str, checkpoint: str) -> StreamingQuery:
+    """Write the exchanges of a stream whose content their user has never sent, however long ago; the keys are kept under
+    ``seen`` and a batch reads the folders that its own fall in. Takes what is there and ends."""
+    keys = SeenKeys(exchanges.sparkSession, seen)
+
+    def write(batch: DataFrame, number: int) -> None:
+        keys.admit(batch, number).write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    return exchanges.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 class SessionQueries:
     """The last query of each session, at most ``capacity``. A full map drops its oldest session for every
     new query, known or not; a session that asks again keeps its place."""
