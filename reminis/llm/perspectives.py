@@ -5,8 +5,8 @@ system turns stay system turns in every view and are no participant. A rendered
 of its turns' segments, so the result has a row for each turn of each view, with the segment, its place in the
 dialogue and the span of its content: ``loss`` is 1 where the view's speaker talks, which is what is trained on.
 
-Rows never gather by conversation, whose length has no bound. Places are running sums in two steps: within
-chunks of ``CHUNK`` turns, and over the chunks' totals. The join that multiplies turns by participants can be
+Rows do not gather by conversation, whose length has no bound, but by ``CHUNK`` turn numbers: places are running sums
+within these, and over their totals. (Turns of one number, and those without a number, are one group.) The join that multiplies turns by participants can be
 split where a conversation is hot. Only DataFrame functions are used.
 
 Names are percent-encoded, so that no two speakers become one. A mark within a text gets a backslash after its ``<``,
