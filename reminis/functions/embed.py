@@ -1,15 +1,17 @@
 """Embedding and reranking plug points.
 
-An embedder is any picklable object with ``embed(texts) -> list of vectors`` and a ``name``; it is loaded once in
-each Python worker. The default adds up a random direction for each token, seeded by the token's hash, which
+An embedder is any picklable object with ``embed(texts) -> list of vectors`` and a ``name``. It travels with each task; one
+whose model takes long to load travels as ``Loaded``: only how to load it is sent, and a Python worker loads it once. The
+default adds up a random direction for each token, seeded by the token's hash, which
 needs no model file and gives the same vector everywhere.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -43,6 +45,26 @@ class HashingEmbedder:
         return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)).tolist()
 
 
+#: The models that this Python process has loaded.
+_MODELS: dict[tuple, Embedder] = {}
+
+
+class Loaded:
+    """The embedder that ``load`` (picklable, such as a function of a module) returns for ``arguments``, loaded at the first
+    text in each Python process and kept there for all later tasks."""
+
+    def __init__(self, load: Callable[..., Embedder], *arguments: object, name: str, size: int):
+        self.load, self.arguments, self.name, self.size = load, arguments, name, size
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        # Looked up through the module: what a task brings along has no part in it.
+        models = sys.modules[__name__]._MODELS
+        key = (self.load.__module__, self.load.__qualname__, self.arguments)
+        if key not in models:
+            models[key] = self.load(*self.arguments)
+        return models[key].embed(texts)
+
+
 def embed_query(embedder: Embedder | None, text: str, size: int = 64) -> list[float]:
     """The vector of a query; all zeros without a model."""
     if embedder is None:

@@ -241,3 +241,27 @@ def test_batches_are_embedded_at_once(spark):
     mixed = spark.createDataFrame([(1, "x"), (2, None), (3, "y")], "fact_id long, content string").coalesce(1)
     assert {(r.fact_id, r.error is None) for r in embed_facts(mixed, Batched()).collect()} == {(1, True), (2, False), (3, True)}
     assert warm_up(Batched())
+
+
+def test_a_model_is_loaded_once_in_each_worker(spark, tmp_path):
+    """Tasks of several jobs share what their worker has loaded."""
+    import os
+
+    from reminis.functions.embed import Loaded, embed_facts
+
+    folder = str(tmp_path)
+
+    def load(path):
+        import tempfile
+
+        tempfile.mkstemp(prefix=f"{os.getpid()}-", dir=path)
+        return HashingEmbedder(4)
+
+    model = Loaded(load, folder, name="slow", size=4)
+    rows = spark.createDataFrame([(i, f"text {i}") for i in range(64)], "fact_id long, content string").repartition(16)
+    for _ in range(3):
+        found = embed_facts(rows, model).collect()
+        assert len(found) == 64 and all(r.error is None and len(r.embedding) == 4 for r in found)
+    workers = [name.split("-")[0] for name in os.listdir(folder)]
+    assert workers and len(workers) == len(set(workers)) and len(workers) < 3 * 16
+    assert model.embed(["x"]) == HashingEmbedder(4).embed(["x"])
