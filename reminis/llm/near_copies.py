@@ -6,8 +6,13 @@ set). Candidates come from two searches. One is operator 6: texts whose SimHash
 links, directly or by others, are one bucket. 64 bits cannot show all: texts of similarity 0.8 differ in ten of them,
 further than an index reaches. So MinHash adds ``BANDS`` keys of ``ROWS`` minima each; a pair of similarity 0.8
 shares none with a chance of 4 in 10,000. Every pair that shares a bucket or key is verified on the sets themselves unless links already
-connect it, so what is passed on is a spanning forest of true links. Keys with the same members are one bucket; buckets
-of over ``hot`` members are dealt out as pairs of chunks, so that none is cut and none meets in one task.
+connect it, so what is passed on is a spanning forest of true links. Keys with the same members are one bucket.
+
+A crowd, a bucket of over ``hot`` members, never meets in one task and is not compared chunk by chunk either: it is dealt
+into chunks of ``hot`` members, and the member with the smallest hash is in each of them, so each set is shipped once. After
+the components of those links, only members outside the crowd's largest component go on, and meet all others: with f of
+them and c in the largest component, f * ceil(c / hot) + c * ceil(f / hot) sets are shipped for that, about 2 c where few
+are left and none where all are linked. So no pair of unlinked members is left out, whatever its chunks.
 
 The survivor of a group is the row with the smallest id (null ids come last), then the smallest set hash, then the
 smallest text. It is found by id and set together, so rows that share an id are told apart.
@@ -22,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import blocks, materialize, mix64, utf8_of
@@ -58,13 +63,14 @@ def band_keys(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def forest(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+def forest(sets: list[np.ndarray], similarity: float, label: np.ndarray | None = None) -> np.ndarray:
     """For each set the first member of its component under links of at least that similarity. Every pair is
-    compared unless links found before connect it."""
+    compared unless links found before connect it; ``label`` has the first members that are known so far."""
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
     kinds, codes = np.unique(np.concatenate(sets), return_inverse=True)
-    mark, label = np.zeros(len(kinds), np.int64), np.arange(len(sets))
+    mark = np.zeros(len(kinds), np.int64)
+    label = np.arange(len(sets)) if label is None else label.copy()
     for i in range(len(sets) - 1):
         fits = np.minimum(sizes[i + 1 :], sizes[i]) >= similarity * np.maximum(sizes[i + 1 :], sizes[i]) - 1e-9
         others = i + 1 + np.flatnonzero((label[i + 1 :] != label[i]) & fits)
@@ -95,6 +101,38 @@ def with_set(docs: DataFrame, words: int, column: str) -> DataFrame:
     return docs.mapInArrow(compute, docs.select("*").schema.add(column, "long"))
 
 
+def _chunk(chunks: Column) -> Column:
+    return F.pmod(F.xxhash64("fp"), chunks).cast("int")
+
+
+def dealt_once(members: DataFrame, hot: int) -> DataFrame:
+    """(bucket, fp, comp) from ``members`` (g, n, fp): each once in its bucket or, of a crowd, in one of its chunks, and a
+    crowd's first member in all of them. Nothing is known of components: ``comp`` is ``fp``."""
+    chunks = F.ceil(F.col("n") / hot).cast("int")
+    lead = members.where(F.col("n") > hot).groupBy("g", "n").agg(F.min("fp").alias("fp"))
+    lead = lead.withColumns({"own": _chunk(chunks), "at": F.explode(F.sequence(F.lit(0), chunks - 1))}).where("at != own")
+    rows = members.withColumn("at", _chunk(chunks)).select("g", "at", "fp").union(lead.select("g", "at", "fp"))
+    return rows.select(F.xxhash64("g", "at").alias("bucket"), "fp", F.col("fp").alias("comp"))
+
+
+def dealt_rest(members: DataFrame, roots: DataFrame, hot: int) -> DataFrame:
+    """(bucket, fp, comp) of the crowds whose members are not all of one component: those outside the largest one meet each
+    other and all of the largest."""
+    crowds = members.where(F.col("n") > hot).join(roots.withColumnRenamed("node", "fp"), "fp", "left")
+    crowds = crowds.select("g", "n", "fp", F.coalesce("root", "fp").alias("comp"))
+    sizes = crowds.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("g").agg(F.max(F.struct("size", "comp")).alias("l")).select("g", F.col("l.comp").alias("main"), "l.size")
+    both = crowds.join(largest, "g").where("size < n").withColumn("lone", F.col("comp") != F.col("main"))
+    few, many = F.ceil((F.col("n") - F.col("size")) / hot).cast("int"), F.ceil(F.col("size") / hot).cast("int")
+    lone = both.where("lone").withColumn("own", _chunk(few))
+    among = lone.withColumn("other", F.explode(F.sequence(F.lit(0), few - 1)))
+    among = among.select(F.xxhash64("g", F.lit("rest"), F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp", "comp")
+    out = lone.withColumn("other", F.explode(F.sequence(F.lit(0), many - 1))).select("g", "own", "other", "fp", "comp")
+    of_main = both.where("not lone").withColumns({"own": F.explode(F.sequence(F.lit(0), few - 1)), "other": _chunk(many)})
+    met = out.union(of_main.select("g", "own", "other", "fp", "comp"))
+    return among.union(met.select(F.xxhash64("g", F.lit("main"), "own", "other").alias("bucket"), "fp", "comp"))
+
+
 def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(fp, least) of every distinct set with the smallest id that has it, and (node, root) of those sets that
     are not the smallest of their component."""
@@ -122,16 +160,18 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
 
         def found() -> pa.RecordBatch:
             fps = np.array([x[1] for x in held], np.int64)
-            label = forest([np.frombuffer(x[2], np.uint64) for x in held], similarity)
-            child = np.flatnonzero(label != np.arange(len(label)))
+            _, first, which = np.unique(np.array([x[2] for x in held], np.int64), return_index=True, return_inverse=True)
+            known = first[which]
+            label = forest([np.frombuffer(x[3], np.uint64) for x in held], similarity, known)
+            child = np.flatnonzero(label != known)
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(fps[child]), pa.array(fps[label[child]])], names=["a", "b"])
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            for *row, raw in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
                 if held and held[-1][0] != row[0]:
                     yield found()
-                held.append((row[0], row[1], row[2].as_py()))
+                held.append((*row, raw.as_py()))
         if held:
             yield found()
 
@@ -149,15 +189,18 @@ def components(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARI
     same = (F.coalesce("doc_id", F.lit(0)) == F.coalesce("least", F.lit(0))) & (F.col("doc_id").isNull() == F.col("least").isNull())
     texts = slim.join(wanted.select("least").distinct(), same, "left_semi").select("text")
     shipped = materialize(texts.mapInArrow(sets, "fp long, shingles binary").join(wanted.select("fp"), "fp", "left_semi").dropDuplicates(["fp"]), "shingles")
-    m = F.ceil(F.col("n") / hot).cast("int")
-    dealt = (
-        members.withColumn("own", F.pmod(F.xxhash64("fp"), m).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), m - 1)))
-        .select(F.xxhash64("g", F.least("own", "other"), F.greatest("own", "other")).alias("bucket"), "fp")
-    )
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    edges = dealt.join(shipped, "fp").select("bucket", "fp", "shingles").repartition(parts, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(links, "a long, b long")
-    return distinct.select("fp", "least"), connected_components(edges)
+
+    def compared(dealt: DataFrame) -> DataFrame:
+        rows = dealt.join(shipped, "fp").select("bucket", "fp", "comp", "shingles")
+        return rows.repartition(parts, "bucket").sortWithinPartitions("bucket", "fp").mapInArrow(links, "a long, b long")
+
+    roots = connected_components(compared(dealt_once(members, hot)))
+    if not members.where(F.col("n") > hot).isEmpty():
+        edges = materialize(compared(dealt_rest(members, roots, hot)), "crowds")
+        if not edges.isEmpty():
+            roots = connected_components(edges.union(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
+    return distinct.select("fp", "least"), roots
 
 
 def drop_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
