@@ -22,6 +22,7 @@ from reminis.operators.postings import KeywordIndex
 from reminis.operators.postings import search as indexed_search
 from reminis.sources.tables import FACTS, STATUS, VECTORS, evolve
 from reminis.streaming import pipelines as pl
+from reminis.streaming.counts import KeptCounts, stored_events
 from reminis.streaming.queue import queued_facts
 
 DEFAULT_LIMIT, TOOL_LIMIT, MOST = 10, 20, 100
@@ -70,12 +71,14 @@ class MemoryStore:
     embedder: Embedder | None = field(default_factory=HashingEmbedder)
     #: Whether searches keep and read a stored keyword index.
     indexed: bool = False
+    #: Whether status and health read the counts that ``count_stream`` keeps up.
+    counted: bool = False
 
     def _read(self, name: str, schema) -> DataFrame:
         jvm = self.spark.sparkContext._jvm
         target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-        if not there:
+        files = target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        if not files.exists(target) or not len(files.listStatus(target)):
             return self.spark.createDataFrame([], schema)
         # the files' own columns: older ones lack some; batches of the stream lie in folders of their own
         return self.spark.read.option("mergeSchema", True).option("recursiveFileLookup", True).parquet(f"{self.path}/{name}")
@@ -118,6 +121,13 @@ class MemoryStore:
         facts = pl.pending_facts(self.spark, f"{self.path}/facts")
         return pl.start_embedding(facts, self.embedder, self.path, f"{self.path}/embedding-checkpoint", once)
 
+    def counts(self) -> KeptCounts:
+        return KeptCounts(self.spark, f"{self.path}/counts")
+
+    def count_stream(self, once: bool = False) -> StreamingQuery:
+        """Keep up the counts of this store."""
+        return self.counts().start(stored_events(self.spark, self.path), f"{self.path}/counts-checkpoint", once)
+
     def forget(self, fact_id: int) -> None:
         """Mark a fact as deleted; an unknown one changes nothing."""
         row = [(self.user, fact_id, now())]
@@ -154,12 +164,13 @@ class MemoryStore:
         return cx.blocks(self.queries(text), found, now()).first().block
 
     def status(self) -> dict:
-        row = st.status(self.facts()).where(F.col("user_id") == self.user).first()
+        found = self.counts().status() if self.counted else st.status(self.facts())
+        row = found.where(F.col("user_id") == self.user).first()
         size = st.storage_bytes(self.spark, self.path) if row else 0
         return {"fact_count": row.fact_count if row else 0, "last_ingestion": row.last_ingestion if row else None, "storage_bytes": size}
 
     def health(self) -> DataFrame:
-        return st.health(self.facts(), self.vectors())
+        return self.counts().health() if self.counted else st.health(self.facts(), self.vectors())
 
     def export(self) -> str:
         """Live facts as a JSON array, newest first."""

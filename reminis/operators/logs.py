@@ -14,7 +14,7 @@ so a batch that is run again gets the same answer.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,11 +33,12 @@ class EventLog:
         self._at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
         self._files = self._at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
-    def append(self, events: DataFrame) -> None:
-        """One folder for each append; it counts once it is written as a whole."""
-        events.select(self.schema.fieldNames()).write.parquet(f"{self.path}/events/{uuid.uuid4().hex}")
+    def append(self, events: DataFrame, name: str | None = None) -> None:
+        """One folder for each append; it counts once it is written as a whole. What has a name replaces what had it before."""
+        mode = "overwrite" if name else "error"
+        events.select(self.schema.fieldNames()).write.mode(mode).parquet(f"{self.path}/events/{name or uuid.uuid4().hex}")
 
-    def _appended(self) -> list[str]:
+    def appended(self) -> list[str]:
         """The names of all finished appends."""
         root = self._at(f"{self.path}/events")
         if not self._files.exists(root):
@@ -45,9 +46,9 @@ class EventLog:
         names = [x.getPath().getName() for x in self._files.listStatus(root)]
         return sorted(n for n in names if self._files.exists(self._at(f"{self.path}/events/{n}/_SUCCESS")))
 
-    def _read(self, content: dict) -> tuple[DataFrame, list[str]]:
-        covered = set(content.get("covered", ()))
-        names = [n for n in self._appended() if n not in covered]
+    def _read(self, content: dict, spare: Collection[str] = ()) -> tuple[DataFrame, list[str]]:
+        covered = {*content.get("covered", ()), *spare}
+        names = [n for n in self.appended() if n not in covered]
         paths = [f"{self.path}/events/{n}" for n in names]
         if content.get("snapshot"):
             paths.append(f"{self.path}/{content['snapshot']}")
@@ -58,15 +59,15 @@ class EventLog:
         """One event for each key."""
         return self._read(self.versions.current()[1])[0]
 
-    def compact(self) -> bool:
-        """Whether a snapshot was published; not where another writer came first."""
+    def compact(self, spare: Collection[str] = ()) -> bool:
+        """Whether a snapshot was published; not where another writer came first. Appends named in ``spare`` stay events."""
         number, content = self.versions.current()
-        rows, names = self._read(content)
+        rows, names = self._read(content, spare)
         if not names:
             return False
         folder = f"snapshots/{number + 1}-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{folder}")
-        return self.versions.publish(number + 1, {"snapshot": folder, "covered": sorted({*content.get("covered", ()), *names} & set(self._appended()))})
+        return self.versions.publish(number + 1, {"snapshot": folder, "covered": sorted({*content.get("covered", ()), *names} & set(self.appended()))})
 
     def vacuum(self) -> int:
         """Delete the event folders and snapshots that the current version covers; how many. Readers of older versions have to
