@@ -1,25 +1,29 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
 Two models, of toxic and of ordinary labelled texts, give each expression (a word, or two neighbouring characters
-of a script without word breaks) its likelihood. A class's own discounted counts come first (n_c is the number of its
-texts that hold an expression: a line that one text repeats is no more evidence); what the discount sets free, at least ``BACKOFF`` of all, is shared: both classes fall back to the same Kneser-Ney estimate, the number of
-different expressions that precede one in either class, plus ``RARE``. So an expression that neither class knows says
-nothing, and one that is rare in a class says little:
+of a script without word breaks) its likelihood. n_c is the number of the class's texts that hold an expression: a line
+that one text repeats is no more evidence. Of a class's own count only what the shared counts don't explain stays: the
+discount is what both classes' count lets expect of it (m_c), ``Z`` standard deviations of that, and ``DISCOUNT``. All that
+the discount sets free goes to the backoff that both classes share, the Kneser-Ney estimate by the number of different
+expressions that precede one in either class, plus ``RARE``. So an expression that neither class knows, that is rare, or that
+one class has more of by chance (as when more of its texts are of some language) is left to the shared counts and says nothing:
 
     P(w) = (N1+(. w) + RARE) / (N1+(. .) + RARE (V + 1))
-    P_c(w) = (1 - g) max(n_c(w) - D, 0) / sum of these + g P(w)
+    m_c(w) = q_c (n_0(w) + n_1(w)),  q_c: the share of the class in all counts
+    own_c(w) = max(n_c(w) - m_c(w) - Z sqrt(m_c(w) (1 - q_c)) - DISCOUNT, 0) / sum of n_c
+    P_c(w) = own_c(w) + g_c P(w),  g_c = 1 - sum of own_c
 
-An expression's evidence is log P_toxic - log P_ordinary. The mean evidence of a text's expressions, the plain
-length-normalised difference, cannot tell the classes apart where a toxic text has one toxic word in a hundred: it
-follows the share of languages in the two samples (the README has figures). So a text is compared over its ``TELLING``
-expressions that speak most for toxic, and its length enters the curve: chance alone gives a long text stronger
-expressions. A logistic curve over (sum of evidence, log of length), fitted on each of ``FOLDS`` parts of the texts by
-the counts of the others, makes it a probability under the labels' class shares. Nothing is taken off and no evidence is cut.
+An expression's evidence is log P_toxic - log P_ordinary, less log g_toxic - log g_ordinary, which every expression that is
+left to the shared counts has. A text's evidence is the length-normalised difference of its two log-likelihoods: the mean over
+all its expressions, for and against, and ``NEUTRAL`` more that say nothing, so that a weak expression in a text of a few is not
+taken for a toxic text. A logistic curve over it, fitted on each of ``FOLDS`` parts of the texts by the counts of the others,
+makes it a probability under the labels' class shares.
 
 The fit takes at most ``max_rows`` labelled documents of each class (those with the smallest hashes of ids and texts),
 gathered in one task. Scoring covers all rows and whole texts, without a shuffle, by one look-up for each expression.
 
-Defined cases: a text without expressions (null, empty) scores by the curve at zero; without labelled documents
+Defined cases: a text without expressions (null, empty) scores by the curve at zero; where the curve would fall with the
+evidence (labels that no expression goes with) every score is the class share; without labelled documents
 every score is 0.5, with one class that class's end (0 or 1); null labels are ignored; repeated rows are scored
 alike; other columns are not read.
 """
@@ -35,10 +39,10 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, HashTable, blocks, bounded_sample, byte_hashes, fit_in_task, held_out, read_table, utf8_of, words_of
 
-DISCOUNT = 0.75
-BACKOFF = 0.05
-RARE = 20.0
-TELLING = 3
+DISCOUNT = 0.5
+Z = 3.0
+RARE = 5.0
+NEUTRAL = 100
 FOLDS = 5
 MAX_ROWS = 2000
 
@@ -79,65 +83,65 @@ def hashed_expressions(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
 class KneserNey:
     """The two models, from expressions (hashes, in order), their texts' rows and the texts' labels."""
 
-    def __init__(self, keys: np.ndarray, row: np.ndarray, labels: np.ndarray, discount: float = DISCOUNT, backoff: float = BACKOFF, rare: float = RARE):
+    def __init__(self, keys: np.ndarray, row: np.ndarray, labels: np.ndarray, discount: float = DISCOUNT, z: float = Z, rare: float = RARE):
         self.known, at = np.unique(keys, return_inverse=True)
         before = np.where(np.append(-1, row[:-1]) == row, np.append(-1, at[:-1]), -1) + 1
         different = np.unique(before * len(self.known) + at) % max(1, len(self.known))
         self.preceding = np.bincount(different, minlength=len(self.known)).astype(np.float64)
         text, once = np.divmod(np.unique(row * np.int64(len(self.known)) + at), max(1, len(self.known)))
         self.counts = np.stack([np.bincount(once, labels[text] == c, minlength=len(self.known)) for c in (0, 1)])
-        own = np.maximum(self.counts - discount, 0)
-        sums = own.sum(1)
-        self.backoff = max(backoff, *(1 - sums / np.maximum(self.counts.sum(1), 1)).tolist())
-        types = len(self.known)
-        self.shared = (self.preceding + rare) / (self.preceding.sum() + rare * (types + 1))
-        self.likelihood = (1 - self.backoff) * own / np.maximum(sums, 1e-300)[:, None] + self.backoff * self.shared
+        totals = np.maximum(self.counts.sum(1), 1)
+        q = (totals / totals.sum())[:, None]
+        expected = self.counts.sum(0) * q
+        own = np.maximum(self.counts - expected - z * np.sqrt(expected * (1 - q)) - discount, 0) / totals[:, None]
+        self.backoff = 1 - own.sum(1)
+        self.shared = (self.preceding + rare) / (self.preceding.sum() + rare * (len(self.known) + 1))
+        self.likelihood = own + self.backoff[:, None] * self.shared
 
     def evidence(self) -> np.ndarray:
-        return np.log(self.likelihood[1]) - np.log(self.likelihood[0])
+        """Of each known expression; zero where no class has a count of its own."""
+        found = np.log(self.likelihood / self.backoff[:, None])
+        return np.where((self.likelihood > self.backoff[:, None] * self.shared).any(0), found[1] - found[0], 0.0)
 
 
 class Evidence:
-    """What scoring needs: the expressions that speak for toxic, and how much. All others count as zero, as the
-    ``TELLING`` strongest do where they speak against it."""
+    """What scoring needs: the expressions that say something, and what. All others count as zero."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.keys, self.values, self.table = keys[values > 0], values[values > 0].astype(np.float32), None
+        self.keys, self.values, self.table = keys[values != 0], values[values != 0].astype(np.float32), None
 
     def of(self, keys: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
-        """For each text the sum of its ``TELLING`` strongest evidences, and the log of its length: rows x 2."""
+        """The length-normalised evidence of each text."""
         if self.table is None:  # once for a worker
             self.table = HashTable()
             self.table.insert(self.keys)
         at = self.table.find(keys)
         there = np.flatnonzero(at >= 0)
-        value, own = self.values[at[there]].astype(np.float64), row[there]
-        order = np.lexsort((-value, own))
-        value, own = value[order], own[order]
-        n = np.bincount(own, minlength=rows)
-        nth = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
-        strong = nth < TELLING
-        sums = np.bincount(own[strong], value[strong], minlength=rows)
-        return np.stack([sums, np.log1p(np.bincount(row, minlength=rows))], axis=1)
+        sums = np.bincount(row[there], self.values[at[there]].astype(np.float64), minlength=rows)
+        return sums / (np.bincount(row, minlength=rows) + NEUTRAL)
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"table": None}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, float]:
-    """Slopes and offset of a weighted logistic curve, by Newton's method with a small ridge."""
-    scale = np.where(x.std(0) > 0, x.std(0), 1.0)
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tuple[float, float]:
+    """Slope and offset of a weighted logistic curve, by Newton's method with a small ridge. A curve that would fall
+    with ``x`` is level."""
+    scale = x.std() if x.std() > 0 else 1.0
     design = np.column_stack([x / scale, np.ones(len(x))])
-    beta = np.zeros(design.shape[1])
+    beta = np.zeros(2)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
         gradient = design.T @ (weight * (y - p)) - 1e-3 * beta
-        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(len(beta))
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         beta = beta + np.clip(step, -5, 5)
         if np.abs(step).max() < 1e-9:
             break
-    return beta[:-1] / scale, float(beta[-1])
+    if beta[0] < 0:
+        share = (weight * y).sum() / weight.sum()
+        return 0.0, float(np.log(share / (1 - share)))
+    return float(beta[0] / scale), float(beta[1])
 
 
 class ToxicityModel:
@@ -145,7 +149,7 @@ class ToxicityModel:
 
     def __init__(self) -> None:
         self.model: Evidence | None = None
-        self.slopes, self.offset = np.zeros(2), 0.0
+        self.slope, self.offset = 0.0, 0.0
 
     def fit(self, texts: list[str], labels: np.ndarray, share: float) -> ToxicityModel:
         """``share``: that of toxic documents among all labelled ones."""
@@ -159,21 +163,21 @@ class ToxicityModel:
         fold = np.zeros(len(labels), np.int64)
         for c in (0, 1):  # every fold gets its part of either class
             fold[labels == c] = np.arange(int((labels == c).sum())) % FOLDS
-        x = np.zeros((len(labels), 2))
+        x = np.zeros(len(labels))
         for part in range(FOLDS):
             counted = fold[row] != part
             own = KneserNey(keys[counted], row[counted], labels)
-            x = np.where((fold == part)[:, None], Evidence(own.known, own.evidence()).of(keys, row, len(labels)), x)
+            x = np.where(fold == part, Evidence(own.known, own.evidence()).of(keys, row, len(labels)), x)
         weight = np.where(labels == 1, share / (labels == 1).sum(), (1 - share) / (labels == 0).sum()) * len(labels)
-        self.slopes, self.offset = logistic(x, labels, weight)
+        self.slope, self.offset = logistic(x, labels, weight)
         whole = KneserNey(keys, row, labels)
         self.model = Evidence(whole.known, whole.evidence())
         return self
 
     def logits(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         rows = len(offsets) - 1
-        x = self.model.of(*hashed_expressions(data, offsets), rows) if self.model else np.zeros((rows, 2))
-        return x @ self.slopes + self.offset
+        x = self.model.of(*hashed_expressions(data, offsets), rows) if self.model else np.zeros(rows)
+        return x * self.slope + self.offset
 
 
 def fit_on(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, found: bool = False) -> ToxicityModel:

@@ -31,14 +31,25 @@ def brute_force(texts, labels):
         counts[label].update(set(own))
         for v, w in zip(["<s>", *own], own):
             before[w].add(v)
-    own = [{w: max(n - tx.DISCOUNT, 0) for w, n in c.items()} for c in counts]
-    sums = [sum(x.values()) for x in own]
-    g = max(tx.BACKOFF, *(1 - s / c.total() for s, c in zip(sums, counts)))
+    sums = [c.total() for c in counts]
+    own = [{}, {}]
+    for c in (0, 1):
+        q = sums[c] / sum(sums)
+        for w in before:
+            m = q * (counts[0][w] + counts[1][w])
+            own[c][w] = max(counts[c][w] - m - tx.Z * (m * (1 - q)) ** 0.5 - tx.DISCOUNT, 0) / sums[c]
+    g = [1 - sum(x.values()) for x in own]
     total = sum(map(len, before.values())) + tx.RARE * (len(before) + 1)
-    p = [{w: (1 - g) * own[c].get(w, 0) / sums[c] + g * (len(before[w]) + tx.RARE) / total for w in before} for c in (0, 1)]
+    p = [{w: own[c][w] + g[c] * (len(before[w]) + tx.RARE) / total for w in before} for c in (0, 1)]
     for c in (0, 1):  # a distribution, with the share of one more, unknown expression
-        assert sum(p[c].values()) + g * tx.RARE / total == pytest.approx(1)
-    return {w: log(p[1][w]) - log(p[0][w]) for w in before}
+        assert sum(p[c].values()) + g[c] * tx.RARE / total == pytest.approx(1)
+    return {w: log(p[1][w]) - log(p[0][w]) - (log(g[1]) - log(g[0])) for w in before}
+
+
+def normalised(evidence, text):
+    """The mean difference of the log-likelihoods, with the neutral expressions."""
+    own = expressions(text)
+    return sum(evidence.get(w, 0) for w in own) / (len(own) + tx.NEUTRAL)
 
 
 def made(n=600, seed=1):
@@ -78,10 +89,37 @@ def test_likelihoods_equal_brute_force():
     at = np.searchsorted(model.known, own)
     assert (model.known[at] == own).all() and len(words) == len(model.known)
     assert np.allclose(model.evidence()[at], [expected[w] for w in words])
-    evidence = tx.Evidence(model.known, model.evidence()).of(keys, row, len(texts))
-    for x, text in zip(evidence, texts):
-        strongest = sorted((max(expected[w], 0) for w in expressions(text)), reverse=True)[: tx.TELLING]
-        assert x[0] == pytest.approx(sum(strongest), rel=1e-5) and x[1] == pytest.approx(np.log1p(len(expressions(text))))
+    found = tx.Evidence(model.known, model.evidence()).of(keys, row, len(texts))
+    assert found == pytest.approx([normalised(expected, text) for text in texts], rel=1e-5, abs=1e-9)
+    assert max(expected.values()) > 1 and len([w for w in words if abs(expected[w]) > 1e-9]) < 30  # chance says nothing
+
+
+def test_scores_equal_brute_force():
+    """The whole way from labelled texts to probabilities: counts of four fifths give a fifth its evidence."""
+    texts, labels = made(200, seed=3)
+    model = tx.ToxicityModel().fit(texts, labels, 0.2)
+    fold = [i // 2 % tx.FOLDS for i in range(len(texts))]  # labels alternate
+    x = np.zeros(len(texts))
+    for part in range(tx.FOLDS):
+        counted = [i for i in range(len(texts)) if fold[i] != part]
+        evidence = brute_force([texts[i] for i in counted], [labels[i] for i in counted])
+        for i in range(len(texts)):
+            if fold[i] == part:
+                x[i] = normalised(evidence, texts[i])
+    weight = np.where(labels == 1, 0.4, 1.6)
+
+    def loss(slope, offset):
+        z = (2 * labels - 1) * (slope * x + offset)
+        return (weight * np.logaddexp(0, -z)).sum() + 0.0005 * ((slope * x.std()) ** 2 + offset**2)
+
+    best = loss(model.slope, model.offset)
+    for a in (-0.02, 0, 0.02):
+        for b in (-0.05, 0, 0.05):
+            assert loss(model.slope * (1 + a), model.offset + b) >= best - 1e-6
+    whole = brute_force(texts, labels)
+    for text in [*texts[:40], "", "trash", "never seen", "scum " * 50]:
+        expected = 1 / (1 + np.exp(-(model.slope * normalised(whole, text) + model.offset)))
+        assert probability(model, text) == pytest.approx(expected, rel=1e-4)
 
 
 @pytest.fixture(scope="module")
@@ -96,17 +134,29 @@ def probability(model, text):
 
 def test_short_long_and_uniform_texts(model):
     clean = " ".join(ORDINARY[int(x)] for x in np.random.default_rng(5).zipf(1.3, 5000) % 3000)
-    for text in ("trash", "Trash!", "scum " * 20, "trash scum", "垃圾话", "中文垃圾话很好", "some trash among six or seven words", "trash scum " + clean, clean + " scum trash trash scum trash"):
+    for text in ("trash", "Trash!", "scum " * 20, "trash scum", "垃圾话", "some trash among six or seven words", clean + " scum trash" * 25):
         assert probability(model, text) > 0.5, text
     for text in ("", "w1", "w2 w2 w2", "never seen words", clean, "中文文本很好", "你好", "12 34"):
         assert probability(model, text) < 0.5, text
-    # one toxic word in five thousand: less than the labels' toxic texts have, but more than none
-    assert probability(model, "trash " + clean) > probability(model, clean)
+    # 中文 and 很好 are in ordinary texts alone here, which speaks against
+    assert probability(model, "中文文本很好") < probability(model, "中文垃圾话很好") < probability(model, "垃圾话")
+    # one toxic word in a hundred is what the labels' toxic texts have; a few in five thousand are less than that, but
+    # each is more than none
+    scores = [probability(model, "trash " * n + clean) for n in (0, 1, 3, 10, 25, 50, 100)]
+    assert all(b > a for a, b in zip(scores, scores[1:]))
+    assert [probability(model, "trash scum " * n + clean) for n in (5, 500)] < [probability(model, "trash scum " * n) for n in (5, 500)]
 
 
 def test_evidence_never_falls_when_a_toxic_word_is_added(model):
     text, scores = "w5 w9 w100", []
-    for _ in range(6):
+    for k in range(60):
         scores.append(probability(model, text))
-        text += " trash"
-    assert scores[1] > scores[0] + 0.3 and all(b > a - 0.02 for a, b in zip(scores, scores[1:]))
+        text += (" trash", " scum", " 垃圾话")[k % 3]
+    assert scores[1] > scores[0] + 0.3 and all(b > a - 1e-6 for a, b in zip(scores, scores[1:]))
+
+
+def test_labels_that_go_with_nothing_give_the_share():
+    texts, labels = made(200, seed=7)
+    mixed = np.random.default_rng(1).permutation(labels)
+    model = tx.ToxicityModel().fit(texts, mixed, 0.25)
+    assert model.slope >= 0 and abs(probability(model, "") - 0.25) < 0.1
