@@ -8,7 +8,8 @@ together are mined as one, and fit where any of them is. Rules are matched
 by an inverted index: each stands under its rarest token, so only URLs with that token look at it.
 
 Matching works on distinct token sets (URLs that differ in numbers alone share one), and verdicts come back to
-URLs by their set; the sets of a host with a third of all pages are as few as any other's.
+URLs by their set; the sets of a host with a third of all pages are as few as any other's. The sets that most pages share,
+``HOT_SETS`` at most, are broadcast with their verdicts, and their pages are dealt over all tasks of the join for the rest.
 
 A fixed rule fits its host and all subdomains where the path starts with the rule's path; the longest one that
 fits decides. Where none fits, the surest mined rule does, or ``allow``.
@@ -32,11 +33,14 @@ from .common import materialize, read_table
 #: (verdict, host and path) of the fixed rules.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
 MIN_SUPPORT = 0.002
-#: Labelled URLs that a rule must hold for at least, whatever their share.
-MIN_COUNT = 20
+#: Labelled URLs that a rule must hold for at least, whatever their share; up to 2,500 labelled URLs it decides.
+MIN_COUNT = 5
 MIN_CONFIDENCE = 0.6
 #: More mined rules than this are joined by a shuffle.
 BROADCAST_RULES = 20_000
+#: A token set of more than one page in so many is hot (so there are no more hot sets than this): its pages get their
+#: verdict by a broadcast.
+HOT_SETS = 1000
 _URL = r"(?s)^.*?://([^/?#]*)([^?#]*)"
 
 
@@ -176,15 +180,30 @@ def judge(pages: DataFrame, labels: DataFrame, rules: tuple = RULES) -> DataFram
     named = labels.select(F.col("page_id").alias("id_"), F.when(F.coalesce("bad", F.lit(False)), "block").otherwise("allow").alias("label"))
     mined, items = mine(parsed.join(named, F.col("page_id") == F.col("id_")).select("tokens", "label"))
     parsed = parsed.withColumn("signature", F.array_join("tokens", " ")).withColumn("rule", fixed_rule(F.col("host"), F.col("path"), rules))
-    verdicts = mined_verdicts(in_items(parsed.select("signature", "tokens").distinct(), items), mined)
-    own = verdict_of(F.col("rule"), rules)
-    return parsed.join(verdicts, "signature", "left").select(
+    sets = materialize(parsed.groupBy("signature", "tokens").agg(F.count(F.lit(1)).alias("pages")), "token-sets")
+    verdicts = mined_verdicts(in_items(sets, items), mined)
+    return with_verdicts(parsed, sets, verdicts).select(
         "page_id", "host", "path", "rule",
-        F.coalesce(own, "mined", F.lit("allow")).alias("verdict"),
-        F.when(own.isNotNull(), "fixed").when(F.col("mined").isNotNull(), "mined").otherwise("default").alias("source"),
+        F.coalesce(verdict_of(F.col("rule"), rules), "mined", F.lit("allow")).alias("verdict"),
+        F.when(F.col("rule").isNotNull(), "fixed").when(F.col("mined").isNotNull(), "mined").otherwise("default").alias("source"),
     )
 
 
+def with_verdicts(parsed: DataFrame, sets: DataFrame, verdicts: DataFrame, hot_sets: int = HOT_SETS) -> DataFrame:
+    """``parsed`` with the verdict ``mined`` of each row's token set (null without one). ``sets`` (signature, pages) are
+    all token sets; those of more than one row in ``hot_sets`` come by a broadcast of at most so many."""
+    total = sets.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    judged = materialize(sets.select("signature", "pages").join(verdicts, "signature", "left"), "verdicts")
+    hot = F.col("pages") > total / hot_sets
+    few = judged.where(hot).select(F.col("signature").alias("hot_"), F.col("mined").alias("hot_mined"))
+    others = judged.where(~hot & F.col("mined").isNotNull()).select(F.col("signature").alias("set_"), F.lit(0).alias("part_"), F.col("mined").alias("set_mined"))
+    found = parsed.join(F.broadcast(few), F.col("signature") == F.col("hot_"), "left")
+    # Rows of a hot set look for nothing in the other join: they go to parts of their own.
+    part = F.when(F.col("hot_").isNull(), 0).otherwise(F.lit(1) + F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 16)).cast("int"))
+    found = found.withColumn("part", part).join(others, (F.col("signature") == F.col("set_")) & (F.col("part") == F.col("part_")), "left")
+    return found.withColumn("mined", F.coalesce("hot_mined", "set_mined")).drop("hot_", "hot_mined", "set_", "part", "part_", "set_mined")
+
+
 def op1_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels are those of the documents with the pages' ids: of low quality or toxic is bad."""
     labels = read_table(spark, sf_dir, "labels")

@@ -1,6 +1,7 @@
 """Operators over whole tables against brute force and held-out labels."""
 
 import itertools
+import math
 import re
 import zlib
 from collections import Counter
@@ -268,7 +269,7 @@ def test_mining_equals_counting(spark):
         assert x.anchor in x["items"]
         for tokens in itertools.product(*(together[i] for i in x["items"])):
             found[tuple(sorted(tokens)), x.label] = (x.confidence, x.support)
-    told = rules_by_counting(rows + [([], "allow")], url_rules.MIN_COUNT, 0.6)
+    told = rules_by_counting(rows + [([], "allow")], max(math.ceil(0.01 * (len(rows) + 1)), url_rules.MIN_COUNT), 0.6)
     assert (("w",), "block") in told and any(len(items) > 1 for items, _ in told)
     assert set(found) == set(told)
     for key, values in told.items():
@@ -296,6 +297,31 @@ def test_mined_verdicts_equal_brute_force(spark):
         assert found.get(" ".join(s)) == (max(fits)[1] if fits else None)
 
 
+def test_rows_of_hot_and_other_sets_get_their_verdicts(spark):
+    rows = [(i, f"u{i}", "hot" if i % 3 == 0 else "plain" if i % 3 == 1 else f"s{i % 40}") for i in range(600)] + [(5, "u5", "s5")] * 2
+    parsed = spark.createDataFrame(rows, "page_id long, url string, signature string")
+    sets = parsed.groupBy("signature").agg(F.count(F.lit(1)).alias("pages"))
+    known = {"hot": "block", **{f"s{k}": "block" if k % 4 else "allow" for k in range(20)}}  # the hot set "plain" has none
+    verdicts = spark.createDataFrame(list(known.items()), "signature string, mined string")
+    for hot_sets in (1, 10, 10_000):  # none, two, all
+        found = url_rules.with_verdicts(parsed, sets, verdicts, hot_sets)
+        assert found.columns == ["page_id", "url", "signature", "mined"]
+        assert sorted(map(repr, map(tuple, found.collect()))) == sorted(repr((*x, known.get(x[2]))) for x in rows)
+    assert url_rules.with_verdicts(parsed.limit(0), sets.limit(0), verdicts.limit(0)).count() == 0
+
+
+def test_small_tables_have_mined_rules_of_both_kinds(spark):
+    """Forty labelled URLs of both classes: the rules for and against are those that eight URLs show."""
+    pages = [(i, f"http://{('spam', 'news', 'mix')[i % 3]}.org/{i % 7}a/x{i}") for i in range(60)]
+    labels = [(i, i % 3 == 0 or (i % 3 == 2 and i % 2 == 0)) for i in range(40)]
+    extra = spark.createDataFrame(pages, "page_id long, url string").withColumn("mined", F.lit("taken")).withColumn("signature", F.lit(1))
+    rows = url_rules.judge(extra, spark.createDataFrame(labels, "page_id long, bad boolean")).collect()
+    assert {(x.verdict, x.source) for x in rows if x.page_id % 3 == 0} == {("block", "mined")}
+    assert {(x.verdict, x.source) for x in rows if x.page_id % 3 == 1} == {("allow", "mined")}
+    found = url_rules.op1_url_rules(spark, "/root/testdata/sf0.01").groupBy("source").count().collect()
+    assert dict(map(tuple, found))["mined"] > 0
+
+
 def test_perspectives_equal_sql(spark):
     rows = [(1, 0, "user", "hi <|x|>"), (1, 1, "assistant", None), (1, 2, None, "who?"), (1, 2, None, "who?"), (1, 3, "system", "s"), (2, 0, "system", "alone"), (None, 5, "a b", "x"), (None, None, "user", ""), (3, 70, "user", "é" * 9), (3, 500, "bot", "y"), (4, 1, "a b", "1"), (4, 2, "a_b", "<\\|2 <\\\\| <x|"), (4, 3, "unknown", "3"), (4, 4, None, "4"), (4, 5, "é*~+%", "5"), (4, 6, "", "6")]
     rows += [(9, t, "user" if t % 2 else "assistant", f"turn {t}") for t in range(300)]
