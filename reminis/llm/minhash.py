@@ -100,7 +100,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, rep) of every row, and the pairs (a, b, jaccard), a < b, of representatives whose
-    shingle sets are at least so similar. A representative is the smallest id with its set."""
+    shingle sets are at least so similar. A representative is the smallest id with its set; a set that only rows without
+    an id have gets none (``rep`` is null) and is in no pair, as no id could name it."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -221,6 +221,10 @@ def test_minhash_near_duplicates(spark):
     assert {(x.doc_id, x.rep) for x in members.collect()} == {(1, 1), (2, 2), (3, 1), (4, 4), (5, 5), (6, 5)}
     a, b = shingle_set(" ".join(texts[1])), shingle_set(" ".join(texts[2]))
     assert [(x.a, x.b, round(x.jaccard, 6)) for x in pairs.collect()] == [(1, 2, round(len(a & b) / len(a | b), 6))]
+    unnamed = [(None, " ".join(base), "x"), (None, " ".join(texts[4]) + " end", "x")]  # a copy of 1; one that is near 4 and has no twin
+    members, pairs = minhash.near_duplicates(docs.union(spark.createDataFrame(unnamed, SCHEMA)))
+    assert sorted(((x.rep or 0) for x in members.collect() if x.doc_id is None)) == [0, 1]
+    assert [(x.a, x.b) for x in pairs.collect()] == [(1, 2)]
 
 
 @pytest.mark.parametrize("raw", [b"", b"a", b"x" * 64, b"y" * 65, bytes(range(256)) * 40, b"\0\0"])
