@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,15 +17,20 @@ from reminis.llm.common import materialize, read_table
 
 
 def fitted(fit_on: Callable, ready: Callable, spark: SparkSession, docs: DataFrame, sf_dir: str) -> object | None:
-    """A model of the labelled rows of ``docs``; where these don't have both classes (rows that no label knows, one
-    class alone), of the labelled documents of ``sf_dir``; None where those don't either. Labels are sampled among
-    those of the table's documents, so that samples are filled."""
+    """A model of the labelled rows of ``docs``; None where these don't have both classes. Labels are sampled among those of
+    ``docs``, so that samples are filled. The documents of ``sf_dir`` may be gone once the first stage is written, and no stage
+    of a run needs them: they are read, where they are there, only for rows of another table, which no label knows."""
     labels = read_table(spark, sf_dir, "labels")
-    for table in (docs, read_table(spark, sf_dir, "documents")):
-        model = fit_on(table, labels, found=True)
-        if ready(model):
-            return model
-    return None
+    model = fit_on(docs, labels, found=True)
+    if ready(model):
+        return model
+    if labels.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").isEmpty():
+        try:
+            model = fit_on(read_table(spark, sf_dir, "documents"), labels, found=True)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+    return model if ready(model) else None
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
