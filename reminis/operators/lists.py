@@ -5,7 +5,8 @@ stores every vector in the list of its nearest centroid, in a folder of its own,
 (``reach``). Directions count, so vectors are scaled to length one, where the Euclidean distance e and the cosine distance d
 have e * e = 2 d. A vector without a direction (null, empty, all zeros) is in list -1.
 
-``search`` reads the ``probes`` lists whose centroids are nearest to a query. ``exact`` reads these first; the k-th distance
+``search`` ranks the vectors of the ``probes`` lists whose centroids are nearest to a query, in cells (``cells``); lists that
+none of few queries wants are not read. ``exact`` reads these first; the k-th distance
 found there is a bar that the k nearest cannot exceed. By the triangle inequality a vector lies no nearer to the query than
 its reach and the centroid's distance differ, and a list no nearer than the centroid's distance less the longest reach. So
 lists beyond the bar are not read, vectors beyond it not compared, and the result is that of comparing all.
@@ -24,7 +25,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reminis.functions import vectors as vx
+from reminis.operators import cells
 from reminis.operators import retrieval as rt
+from reminis.operators.cells import directions
 from reminis.operators.ranking import top
 from reminis.sources.versions import Versions
 
@@ -41,19 +44,6 @@ def _unit(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("__length", length).where(F.col("__length") > 0).withColumn("unit", F.transform("embedding", lambda x: x.cast("double") / F.col("__length"))).drop("__length")
 
 
-def directions(column: pa.ChunkedArray | pa.Array, size: int) -> np.ndarray:
-    """A row for each vector, of length one; NaN where there is no direction. All have ``size`` components, or are an error."""
-    rows = column.to_pylist()
-    out = np.full((len(rows), size), np.nan)
-    for i, row in enumerate(rows):
-        if row:
-            if len(row) != size:
-                raise ValueError("vectors of different lengths")
-            out[i] = row
-    length = np.sqrt((out**2).sum(1, keepdims=True))
-    return np.where(length > 0, out / np.where(length > 0, length, 1), np.nan)
-
-
 def apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distances of all rows of ``a`` and ``b``."""
     return np.sqrt(np.maximum((a**2).sum(1)[:, None] - 2 * a @ b.T + (b**2).sum(1)[None, :], 0))
@@ -142,6 +132,26 @@ class VectorLists:
         kind = queries.schema["query_id"].dataType.simpleString()
         return queries.select("query_id", "embedding").mapInArrow(measure, f"query_id {kind}, list int, away double, bound double, nth long")
 
+    def probed(self, queries: DataFrame, probes: int) -> DataFrame:
+        """``queries`` (query_id, embedding) with ``mark``: a bit for each list, set for the ``probes`` nearest. A query without a
+        direction has none."""
+        centres = self.centres
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.zeros((len(batch), max(1, -(-len(centres) // 64)) * 64), np.uint8)
+                if len(centres) and len(batch):
+                    own = directions(batch.column(1), centres.shape[1])
+                    there = np.flatnonzero(~np.isnan(own).any(1))
+                    near = apart(own[there], centres).argsort(1, kind="stable")[:, :probes]
+                    bits[np.repeat(there, near.shape[1]), near.ravel()] = 1
+                words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+                marks = pa.ListArray.from_arrays(pa.array(np.arange(len(batch) + 1, dtype=np.int32) * words.shape[1]), pa.array(words.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), marks], names=["query_id", "embedding", "mark"])
+
+        kind = queries.schema["query_id"].dataType.simpleString()
+        return queries.select("query_id", "embedding").mapInArrow(mark, f"query_id {kind}, embedding {queries.schema['embedding'].dataType.simpleString()}, mark array<bigint>")
+
     def of(self, wanted: DataFrame, bounded: bool) -> DataFrame:
         """The vectors of the lists in ``wanted`` (query_id, list, ...), once for each query that wants the list. Lists that few
         queries want are named, so that no other folder is read."""
@@ -155,10 +165,19 @@ def search(index: VectorLists, queries: DataFrame, limit: int, probes: int) -> D
     """query_id, vec_id, distance, rank among the vectors of the ``probes`` lists nearest to each query (query_id, embedding).
     A query without a direction finds nothing."""
     queries, bounded = rt.at_hand(queries.select("query_id", "embedding"))
-    near = index.away(queries).where(F.col("nth") <= probes).select("query_id", "list")
-    near = rt.at_hand(near)[0] if bounded else near
-    scored = _scored(index.of(near, bounded), queries, bounded)
-    return top(scored.select("query_id", "vec_id", "distance"), ["query_id"], [F.asc("distance"), F.asc("vec_id")], limit, "rank")
+    rows = index.vectors()
+    if bounded:  # lists that none of few queries wants are not read
+        wanted = index.away(queries).where(F.col("nth") <= probes).select("list").distinct().collect()
+        rows = rows.where(F.col("list").isin(sorted({r.list for r in wanted})))
+    else:  # vectors without a direction are in none of the lists that are probed
+        rows = rows.where("list >= 0")
+
+    def allowed(mark, marks):
+        own = marks[:, 0]
+        return (mark[own >> 6] >> (own & 63)) & 1 == 1
+
+    rows = rows.select("vec_id", "embedding", F.array(F.col("list").cast("long")).alias("mark"))
+    return cells.search(rows, index.probed(queries, probes), allowed, limit, 9, rows.count(), queries.count())
 
 
 def _scored(rows: DataFrame, queries: DataFrame, bounded: bool) -> DataFrame:
