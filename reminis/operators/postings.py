@@ -2,8 +2,10 @@
 
 The index has segments, one for each ingest, until ``compact`` makes one of them. A segment holds
 
-* ``docs``: for each live fact its length, its terms with their counts, and its places in the order of recency (newest
-  first, then by id) among its user's facts and among those of its decay rate;
+* ``terms``: for each live fact its terms with their counts, from which segments are merged; no search reads it, and no sort
+  or window has these wide rows;
+* ``docs``: for each live fact its length, and its places in the order of recency (newest first, then by id) among its user's
+  facts and among those of its decay rate;
 * ``postings``: for each user and term the facts that have it, by place. Files are dealt by a hash of user and term and
   sorted, so a search reads the directories and row groups of its terms;
 * ``heads``: for each user, term and block of ``BLOCK`` places how many facts have the term, and what bounds their scores:
@@ -44,8 +46,8 @@ BLOCK = 128
 BUCKET_FACTS, MOST_BUCKETS = 50_000, 1024
 #: Facts that one task numbers.
 TASK_FACTS = 200_000
-#: Entries of postings that one task writes.
-TASK_ENTRIES = 2_000_000
+#: Entries of postings that one task writes, and facts of which one task makes them.
+TASK_ENTRIES, JOIN_FACTS = 1_000_000, 20_000
 #: Hits whose ranks are found with one group for each query; more are split into groups that the order follows.
 FEW_HITS = 200_000
 #: Blocks that are named in a scan's filter; more are joined.
@@ -96,9 +98,12 @@ def spread(rows: DataFrame, path: str, many: int) -> DataFrame:
     return rows.sparkSession.read.parquet(path)
 
 
-def postings_of(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, user_id, term, pos, block, pos_rate, fact_id, created_at, rate, tf, dl."""
-    words = docs.select("user_id", "fact_id", "created_at", "rate", "dl", "pos", "pos_rate", F.inline("terms"))
+def postings_of(terms: DataFrame, places: DataFrame, buckets: int, many: int) -> DataFrame:
+    """bucket, user_id, term, pos, block, pos_rate, fact_id, created_at, rate, tf, dl. Facts with their terms pass by a table of
+    the places of ``JOIN_FACTS`` facts or so; they are not sorted."""
+    parts = max(terms.sparkSession.sparkContext.defaultParallelism, -(-many // JOIN_FACTS))
+    both = terms.repartition(parts, "row").join(places.select("row", "pos", "pos_rate").repartition(parts, "row").hint("shuffle_hash"), "row")
+    words = both.select("user_id", "fact_id", "created_at", "rate", "dl", "pos", "pos_rate", F.inline("terms"))
     return words.select(
         bucket_of(buckets).alias("bucket"), "user_id", "term", "pos", F.floor(F.col("pos") / BLOCK).cast("long").alias("block"), "pos_rate",
         "fact_id", "created_at", "rate", "tf", "dl",
@@ -146,31 +151,32 @@ class KeywordIndex:
 
     def compact(self, deleted: DataFrame | None = None) -> KeywordIndex:
         """One segment of all facts but the deleted ones, made from their stored terms."""
-        return self._published(self._alive(deleted).select("user_id", "fact_id", "created_at", "rate", "dl", "terms"), ())
+        stored = self._table("terms" if "terms" in self.schemas else "docs")  # docs had them once
+        return self._published(self._without(stored, deleted).select("user_id", "fact_id", "created_at", "rate", "dl", "terms"), ())
 
     def _published(self, rows: DataFrame, kept: tuple[int, ...]) -> KeywordIndex:
         """A segment of ``rows`` is written, then published. Another writer's version in between is an error: its facts
         would be lost."""
         number = self.version + 1
         staging = f"{self.path}/staging/{number}-{id(self)}"
-        rows.write.mode("overwrite").parquet(f"{staging}/rows")
-        rows = self.spark.read.schema(rows.schema).parquet(f"{staging}/rows")
-        many = rows.count()
+        rows = rows.withColumn("row", F.monotonically_increasing_id())
+        rows.write.mode("overwrite").parquet(f"{self.path}/terms/seg={number}")
+        terms = self.spark.read.schema(rows.schema).parquet(f"{self.path}/terms/seg={number}")
+        many, entries = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0))).first()
         buckets = self.buckets if kept else max(1, min(many // BUCKET_FACTS, MOST_BUCKETS))
-        ranges = spread(rows, f"{staging}/ranges", many)
+        ranges = spread(terms.drop("terms"), f"{staging}/ranges", many)
         docs = placed(ranges, "part").drop("part").sortWithinPartitions("user_id", "pos")
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
         docs = self.spark.read.parquet(f"{self.path}/docs/seg={number}")
         docs.groupBy("user_id", "rate").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/seg={number}")
-        entries = docs.agg(F.sum(F.size("terms"))).first()[0] or 0
         parts = max(buckets, self.spark.sparkContext.defaultParallelism, entries // TASK_ENTRIES)
-        posts = postings_of(docs, buckets)
+        posts = postings_of(terms, docs, buckets, many)
         for name, order in (("postings", "pos"), ("heads", "block")):
             keys, path = ["bucket", "user_id", "term", order], f"{self.path}/{name}/seg={number}"
             rows = posts if name == "postings" else heads_of(self.spark.read.schema(posts.schema).parquet(f"{self.path}/postings/seg={number}"))
             rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
         counts = self.spark.read.parquet(f"{self.path}/counts/seg={number}")
-        schemas = {name: json.loads(StructType([*df.schema, StructField("seg", IntegerType())]).json()) for name, df in (("docs", docs), ("counts", counts), ("postings", posts), ("heads", heads_of(posts)))}
+        schemas = {name: json.loads(StructType([*df.schema, StructField("seg", IntegerType())]).json()) for name, df in (("terms", terms), ("docs", docs), ("counts", counts), ("postings", posts), ("heads", heads_of(posts)))}
         content = {"segments": [*kept, number], "buckets": buckets, "schemas": schemas}
         if not Versions(self.spark, self.path).publish(number, content):
             raise RuntimeError(f"another writer has published version {number} of {self.path}")

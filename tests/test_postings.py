@@ -132,3 +132,16 @@ def test_terms_are_counted_as_tokens_are(spark, facts):
         tokens = r.tokens or []
         assert stored[r.fact_id].dl == len(tokens) and {t.term: t.tf for t in stored[r.fact_id].terms} == {t: tokens.count(t) for t in tokens}
     assert FACTS is not None
+
+
+def test_terms_pass_no_sort_and_no_window(spark, facts, tmp_path):
+    """What one task holds to number facts and to make postings doesn't grow with the texts."""
+    index = ps.KeywordIndex.build(facts, str(tmp_path))
+    assert "terms" not in index.docs.columns
+    plan = ps.postings_of(index._table("terms"), index.docs, 4, 900)._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BuildRight" in plan and "Sort " not in plan and "Window" not in plan
+    # facts of one id, of which each has a row
+    twice = ps.KeywordIndex.build(facts.unionByName(facts.where("fact_id < 30")), str(tmp_path))
+    terms = ps.with_terms(facts)
+    expected = terms.selectExpr("sum(if(fact_id < 30, 2, 1) * size(terms))").first()[0]
+    assert twice.postings.count() == expected and twice.docs.count() == index.docs.count() + terms.where("fact_id < 30").count()
