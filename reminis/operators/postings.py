@@ -38,6 +38,7 @@ from reminis.functions import formats as fm
 from reminis.functions import text as tx
 from reminis.operators import retrieval as rt
 from reminis.operators.ranking import top
+from reminis.operators.store import storage_bytes
 from reminis.sources.tables import timestamp
 from reminis.sources.versions import Versions
 
@@ -45,9 +46,9 @@ BLOCK = 128
 #: Facts for each bucket of postings, and the most buckets.
 BUCKET_FACTS, MOST_BUCKETS = 50_000, 1024
 #: Facts that one task numbers.
-TASK_FACTS = 200_000
-#: Entries of postings that one task writes, and facts of which one task makes them.
-TASK_ENTRIES, JOIN_FACTS = 1_000_000, 20_000
+TASK_FACTS = 50_000
+#: Entries of postings that one task makes or writes, those of which one task makes heads, and facts of which one task makes postings.
+TASK_ENTRIES, TASK_HEADS, JOIN_FACTS = 1_000_000, 500_000, 20_000
 #: Hits whose ranks are found with one group for each query; more are split into groups that the order follows.
 FEW_HITS = 200_000
 #: Blocks that are named in a scan's filter; more are joined.
@@ -75,33 +76,39 @@ def with_terms(facts: DataFrame) -> DataFrame:
     return rows.select("user_id", "fact_id", "created_at", "rate", "dl", F.expr(terms).alias("terms"))
 
 
-def placed(rows: DataFrame, part: str, backwards: bool = False) -> DataFrame:
+def placed(rows: DataFrame, part: str, backwards: bool = False, tasks: int | None = None) -> DataFrame:
     """``rows`` with ``pos`` and ``pos_rate``: their places from 0 in the order of recency among the user's, and among those
     of the user and rate. ``part`` is a column that the order follows (or runs against): rows are numbered within each of
-    its values and the sizes of those before are added, so that a user with many facts is not one group."""
-    out = rows
-    for keys, name in ((["user_id"], "pos"), (["user_id", "rate"], "pos_rate")):
-        within = F.row_number().over(Window.partitionBy(*keys, part).orderBy(*_recency())) - 1
+    its values and the sizes of those before are added, so that a user with many facts is not one group. ``tasks``: how many
+    number them, where it isn't left to the session."""
+    out = rows if tasks is None else rows.repartitionByRange(tasks, part)  # serves both windows
+    kinds = ((["user_id"], "pos"), (["user_id", "rate"], "pos_rate"))
+    for keys, name in kinds:
+        out = out.withColumn(f"__{name}", F.row_number().over(Window.partitionBy(*keys, part).orderBy(*_recency())) - 1)
+    for keys, name in kinds:
         sizes = rows.groupBy(*keys, part).agg(F.count(F.lit(1)).alias("__n"))
         before = Window.partitionBy(*keys).orderBy(F.desc(part) if backwards else F.asc(part)).rowsBetween(Window.unboundedPreceding, -1)
         bases = sizes.select(*[F.col(k).alias(f"__{k}") for k in [*keys, part]], F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__base"))
         same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in [*keys, part]]
-        both = out.withColumn("__nth", within).join(bases, same)
-        out = both.select(*out.columns, (F.col("__base") + F.col("__nth")).cast("long").alias(name))
+        out = out.join(bases, same).withColumn(name, (F.col("__base") + F.col(f"__{name}")).cast("long")).drop(*bases.columns, f"__{name}")
     return out
 
 
+def tasks_for(many: int) -> int:
+    """Tasks that number ``many`` facts."""
+    return max(1, min(-(-many // TASK_FACTS), 20_000))
+
+
 def spread(rows: DataFrame, path: str, many: int) -> DataFrame:
     """``rows`` sorted by user and recency over ranges, as a stored table with the range's number."""
-    parts = max(1, min(-(-many // TASK_FACTS), 20_000))
-    rows.repartitionByRange(parts, F.col("user_id"), *_recency()).withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
+    rows.repartitionByRange(tasks_for(many), F.col("user_id"), *_recency()).withColumn("part", F.spark_partition_id()).write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.parquet(path)
 
 
-def postings_of(terms: DataFrame, places: DataFrame, buckets: int, many: int) -> DataFrame:
+def postings_of(terms: DataFrame, places: DataFrame, buckets: int, many: int, entries: int = 0) -> DataFrame:
     """bucket, user_id, term, pos, block, pos_rate, fact_id, created_at, rate, tf, dl. Facts with their terms pass by a table of
-    the places of ``JOIN_FACTS`` facts or so; they are not sorted."""
-    parts = max(terms.sparkSession.sparkContext.defaultParallelism, -(-many // JOIN_FACTS))
+    the places of ``JOIN_FACTS`` facts or so, fewer where they have more than ``TASK_ENTRIES`` of all ``entries``; they are not sorted."""
+    parts = max(terms.sparkSession.sparkContext.defaultParallelism, -(-many // JOIN_FACTS), -(-entries // TASK_ENTRIES))
     both = terms.repartition(parts, "row").join(places.select("row", "pos", "pos_rate").repartition(parts, "row").hint("shuffle_hash"), "row")
     words = both.select("user_id", "fact_id", "created_at", "rate", "dl", "pos", "pos_rate", F.inline("terms"))
     return words.select(
@@ -110,11 +117,22 @@ def postings_of(terms: DataFrame, places: DataFrame, buckets: int, many: int) ->
     )
 
 
-def heads_of(postings: DataFrame) -> DataFrame:
+def by_files(spark: SparkSession, path: str, schema: StructType, parts: int) -> DataFrame:
+    """The table that ``parts`` tasks wrote under ``path``, read by about as many. A scan packs files up to a size, and the many
+    small rows of large splits are held until they are dealt out; so it has a session with a smaller one."""
+    session = spark.newSession()
+    session.conf.set("spark.sql.files.maxPartitionBytes", str(max(storage_bytes(spark, path) // parts, 2**20)))
+    session.conf.set("spark.sql.files.openCostInBytes", "65536")
+    return session.read.schema(schema).parquet(path)
+
+
+def heads_of(postings: DataFrame, parts: int) -> DataFrame:
     """bucket, user_id, term, block, n, max_tf, min_dl, best: the entry of the largest count (of the shortest fact), tf above
-    and 2 ** 31 - dl below 32 bits."""
+    and 2 ** 31 - dl below 32 bits. Entries are dealt to ``parts`` ranges of blocks and counted there: rare terms make about as
+    many heads as entries, so a table of them for each file, or each of the session's shuffle partitions, grows with the facts."""
+    keys = ["bucket", "user_id", "term", "block"]
     best = F.shiftleft(F.col("tf").cast("long"), 32) + (F.lit(2**31) - F.col("dl"))
-    return postings.groupBy("bucket", "user_id", "term", "block").agg(
+    return postings.repartitionByRange(parts, *keys).groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.max(best).alias("best")
     )
 
@@ -165,18 +183,20 @@ class KeywordIndex:
         many, entries = terms.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("terms").cast("long")), F.lit(0))).first()
         buckets = self.buckets if kept else max(1, min(many // BUCKET_FACTS, MOST_BUCKETS))
         ranges = spread(terms.drop("terms"), f"{staging}/ranges", many)
-        docs = placed(ranges, "part").drop("part").sortWithinPartitions("user_id", "pos")
+        docs = placed(ranges, "part", tasks=tasks_for(many)).drop("part").sortWithinPartitions("user_id", "pos")
         docs.write.mode("overwrite").parquet(f"{self.path}/docs/seg={number}")
         docs = self.spark.read.parquet(f"{self.path}/docs/seg={number}")
         docs.groupBy("user_id", "rate").agg(F.count(F.lit(1)).alias("n"), F.sum("dl").alias("len")).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/counts/seg={number}")
         parts = max(buckets, self.spark.sparkContext.defaultParallelism, entries // TASK_ENTRIES)
-        posts = postings_of(terms, docs, buckets, many)
-        for name, order in (("postings", "pos"), ("heads", "block")):
-            keys, path = ["bucket", "user_id", "term", order], f"{self.path}/{name}/seg={number}"
-            rows = posts if name == "postings" else heads_of(self.spark.read.schema(posts.schema).parquet(f"{self.path}/postings/seg={number}"))
-            rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy("bucket").parquet(path)
+        posts = postings_of(terms, docs, buckets, many, entries)
+        keys = ["bucket", "user_id", "term"]
+        rows = posts.repartitionByRange(parts, *keys, "pos").sortWithinPartitions(*keys, "pos")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/seg={number}")
+        stored = by_files(self.spark, f"{self.path}/postings/seg={number}", posts.schema, parts)
+        rows = heads_of(stored, max(parts, entries // TASK_HEADS)).sortWithinPartitions(*keys, "block")
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/heads/seg={number}")
         counts = self.spark.read.parquet(f"{self.path}/counts/seg={number}")
-        schemas = {name: json.loads(StructType([*df.schema, StructField("seg", IntegerType())]).json()) for name, df in (("terms", terms), ("docs", docs), ("counts", counts), ("postings", posts), ("heads", heads_of(posts)))}
+        schemas = {name: json.loads(StructType([*df.schema, StructField("seg", IntegerType())]).json()) for name, df in (("terms", terms), ("docs", docs), ("counts", counts), ("postings", posts), ("heads", heads_of(posts, parts)))}
         content = {"segments": [*kept, number], "buckets": buckets, "schemas": schemas}
         if not Versions(self.spark, self.path).publish(number, content):
             raise RuntimeError(f"another writer has published version {number} of {self.path}")

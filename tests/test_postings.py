@@ -145,3 +145,33 @@ def test_terms_pass_no_sort_and_no_window(spark, facts, tmp_path):
     terms = ps.with_terms(facts)
     expected = terms.selectExpr("sum(if(fact_id < 30, 2, 1) * size(terms))").first()[0]
     assert twice.postings.count() == expected and twice.docs.count() == index.docs.count() + terms.where("fact_id < 30").count()
+
+
+def test_tasks_of_the_build_grow_with_the_facts(spark, facts, tmp_path, monkeypatch):
+    """Numbering facts and counting heads are dealt to as many tasks as there are facts and entries for, not to as many as the session
+    shuffles with, and places and heads are whole."""
+    monkeypatch.setattr(ps, "TASK_FACTS", 70)
+    index = ps.KeywordIndex.build(facts, str(tmp_path))
+    plan = ps.heads_of(index.postings, 9)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "rangepartitioning(bucket" in plan and ", 9), REPARTITION_BY_NUM" in plan
+    files, stored = len(index.postings.inputFiles()), f"{tmp_path}/postings/seg=1"
+    assert ps.by_files(spark, stored, index.postings.drop("seg").schema, 1).rdd.getNumPartitions() <= files
+    plan = ps.postings_of(index._table("terms"), index.docs, 1, 900, 17 * ps.TASK_ENTRIES)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 17), REPARTITION_BY_NUM") == 2
+    heads = {(r.user_id, r.term, r.block): (r.n, r.max_tf, r.min_dl, r.best) for r in index.heads.collect()}
+    expected = {}
+    for r in index.postings.collect():
+        expected.setdefault((r.user_id, r.term, r.block), []).append((r.tf, r.dl))
+    assert heads == {k: (len(v), max(t for t, _ in v), min(d for _, d in v), max((t << 32) + 2**31 - d for t, d in v)) for k, v in expected.items()}
+
+    rows = ps.spread(ps.with_terms(facts).drop("terms"), str(tmp_path / "ranges"), 900)
+    found = ps.placed(rows, "part", tasks=13)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count(", 13), REPARTITION_BY_NUM") == 1 and plan.count("Window [row_number()") == 2
+    places = sorted((r.user_id, r.pos, r.created_at or datetime.min, r.fact_id, r.rate, r.pos_rate) for r in found.collect())
+    whole, of_rate = {}, {}
+    for user, pos, at, fact, rate, pos_rate in sorted(places, key=lambda p: (p[0], -(p[2] - datetime.min).total_seconds(), p[3])):
+        assert pos == whole.setdefault(user, 0) and pos_rate == of_rate.setdefault((user, rate), 0)
+        whole[user] += 1
+        of_rate[user, rate] += 1
+    assert len(places) == rt.live(facts).count()
