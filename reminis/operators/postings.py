@@ -43,6 +43,8 @@ from reminis.sources.tables import timestamp
 from reminis.sources.versions import Versions
 
 BLOCK = 128
+#: Levels of keyword scores in one. Scores have nine places, so a level has less than a million of them, whatever the facts.
+LEVELS = 1024
 #: Facts for each bucket of postings, and the most buckets.
 BUCKET_FACTS, MOST_BUCKETS = 50_000, 1024
 #: Facts that one task numbers.
@@ -304,7 +306,9 @@ def hits_of(entries: DataFrame, terms: DataFrame, bounded: bool = True) -> DataF
     """query_id, user_id, fact_id, created_at, rate, pos, pos_rate, bm25 of the facts that have a term of the query."""
     both = entries.join(rt.small(terms, bounded), ["user_id", "term"])
     own = [F.max(c).alias(c) for c in ("created_at", "rate", "pos", "pos_rate")]
-    return both.groupBy("query_id", "user_id", "fact_id").agg(*own, F.round(F.sum(F.expr(_part("tf", "dl"))), 9).alias("bm25"))
+    # Decimals add up to the same in any order: ``candidates`` reads hits more than once and joins them on their scores.
+    score = F.sum(F.expr(_part("tf", "dl")).cast("decimal(38, 18)")).cast("double")
+    return both.groupBy("query_id", "user_id", "fact_id").agg(*own, F.round(score, 9).alias("bm25"))
 
 
 def chosen_blocks(heads: DataFrame, terms: DataFrame, limit: int, bounded: bool = True) -> DataFrame:
@@ -346,19 +350,35 @@ FROM facts
     return entries.sparkSession.sql(text, entries=entries, terms=terms, docs=docs, blocks=blocks, near=near)
 
 
+def dealt(hits: DataFrame) -> DataFrame:
+    """``hits`` with ``stretch``, a range of ``TASK_FACTS`` places, and ``nth``, their number among those of one score and stretch."""
+    rows = hits.withColumn("stretch", F.floor(F.col("pos") / TASK_FACTS).cast("long"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("query_id", "bm25", "stretch").orderBy("pos")))
+
+
 def candidates(hits: DataFrame, docs: DataFrame, queries: DataFrame, near: DataFrame, keep: int) -> DataFrame:
     """query_id, fact_id, created_at, rate, bm25, vec_rank, bm25_rank: the hits, the near facts (query_id, user_id, fact_id,
     rank), and of each decay rate the ``keep`` newest facts without a hit (and some more), with the ranks that they have among
-    all facts. Hits are numbered within levels of score, and counted within blocks of places; sums over levels and blocks
-    tell the rest, so no query's hits are one group."""
+    all facts. Hits of one score follow each other by place; they are numbered within ranges of ``TASK_FACTS`` places. Sums over the
+    ranges of a score, the scores of a level and the levels of a query tell how many stand before, so neither a query's hits nor
+    those of one score are one group. Hits are counted within blocks of places in the same way."""
     asked = queries.select("query_id", "user_id")
     rates = docs.select("user_id", "rate").distinct()
     text = f"""
-WITH dealt AS (SELECT *, floor(bm25 * 4) AS level, row_number() OVER (PARTITION BY query_id, floor(bm25 * 4) ORDER BY bm25 DESC, created_at DESC, fact_id) AS nth FROM {{hits}}),
-sizes AS (SELECT query_id, level, max(nth) AS n FROM dealt GROUP BY query_id, level),
-bases AS (SELECT query_id, level, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM sizes),
-ranked AS (SELECT d.*, base + nth AS bm25_rank FROM dealt d JOIN bases b ON d.query_id = b.query_id AND d.level = b.level),
-total AS (SELECT query_id, sum(n) AS n_hits FROM sizes GROUP BY query_id),
+WITH sizes AS (SELECT query_id, floor(bm25 * {LEVELS}) AS level, bm25, stretch, max(nth) AS n FROM {{dealt}} GROUP BY query_id, bm25, stretch),
+scores AS (SELECT query_id, level, bm25, sum(n) AS n FROM sizes GROUP BY query_id, level, bm25),
+levels AS (SELECT query_id, level, sum(n) AS n FROM scores GROUP BY query_id, level),
+of_levels AS (SELECT query_id, level, coalesce(sum(n) OVER (PARTITION BY query_id ORDER BY level DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM levels),
+of_scores AS (
+  SELECT s.query_id, s.bm25, l.base + coalesce(sum(s.n) OVER (PARTITION BY s.query_id, s.level ORDER BY s.bm25 DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+  FROM scores s JOIN of_levels l ON s.query_id = l.query_id AND s.level = l.level
+),
+bases AS (
+  SELECT z.query_id, z.bm25, z.stretch, s.base + coalesce(sum(z.n) OVER (PARTITION BY z.query_id, z.bm25 ORDER BY z.stretch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base
+  FROM sizes z JOIN of_scores s ON z.query_id = s.query_id AND z.bm25 = s.bm25
+),
+ranked AS (SELECT d.*, base + nth AS bm25_rank FROM {{dealt}} d JOIN bases b ON d.query_id = b.query_id AND d.bm25 = b.bm25 AND d.stretch = b.stretch),
+total AS (SELECT query_id, sum(n) AS n_hits FROM levels GROUP BY query_id),
 by_rate AS (SELECT query_id, rate, pos_rate div {BLOCK} AS block, count(*) AS n FROM {{hits}} GROUP BY query_id, rate, pos_rate div {BLOCK}),
 -- hits that may stand among the newest facts of a rate: those of blocks before which too few facts have no hit
 cuts AS (
@@ -402,7 +422,7 @@ every AS (
 )
 SELECT e.query_id, e.fact_id, e.created_at, e.rate, e.bm25, n.rank AS vec_rank, e.bm25_rank FROM every e LEFT JOIN {{near}} n ON n.query_id = e.query_id AND n.fact_id = e.fact_id
 """
-    return hits.sparkSession.sql(text, hits=hits, docs=docs, asked=asked, rates=rates, near=near)
+    return hits.sparkSession.sql(text, hits=hits, dealt=dealt(hits), docs=docs, asked=asked, rates=rates, near=near)
 
 
 # --- searching -------------------------------------------------------------------------------------------

@@ -175,3 +175,25 @@ def test_tasks_of_the_build_grow_with_the_facts(spark, facts, tmp_path, monkeypa
         whole[user] += 1
         of_rate[user, rate] += 1
     assert len(places) == rt.live(facts).count()
+
+
+def ranks_of(found, key="rank"):
+    return {(r.query_id, r.fact_id): r[key] for r in found.collect()}
+
+
+def test_hits_of_one_score_are_not_one_group(spark, tmp_path, monkeypatch):
+    """Facts of one text have one score; their ranks are found in ranges of places, and are those of a scan."""
+    monkeypatch.setattr(ps, "FEW_HITS", 0)
+    monkeypatch.setattr(ps, "TASK_FACTS", 50)
+    rows = [(i, "u", "alpha beta" if i % 4 else "gamma beta delta", "slow", "s", NOW - timedelta(minutes=i // 3), None) for i in range(2_000)]
+    facts = evolve(spark.createDataFrame(rows, SHAPE))
+    index = ps.KeywordIndex.build(facts, str(tmp_path))
+    query = spark.createDataFrame([(0, "u", "alpha beta", [1.0]), (1, "u", "gamma", [1.0])], "query_id long, user_id string, text string, embedding array<float>")
+    asked = ps.Asked.of(index, query)
+    near = spark.createDataFrame([(0, "u", 8, 1)], "query_id long, user_id string, fact_id long, rank long")
+    found = asked.candidates(near, 10)
+    assert (ranks := ranks_of(found, "bm25_rank")) and len(ranks) >= 2_500
+    scanned = ranks_of(rt.bm25_rank(rt.tokens_of(facts), query))
+    assert ranks == {key: scanned[key] for key in ranks}
+    numbered = ps.dealt(asked.hits()).groupBy("query_id").agg(F.max("nth").alias("most"), F.count(F.lit(1)).alias("n")).collect()
+    assert {r.query_id: r.n for r in numbered} == {0: 2_000, 1: 500} and max(r.most for r in numbered) <= 50
