@@ -16,7 +16,7 @@ A search scores the facts that have a term of the query from their postings. All
 of recency after them, so the rank of any of these follows from its place and the number of hits before it; and
 of each decay rate, where places, ages and scores fall together, only the newest can reach the pool. So no fact is tokenised
 and nothing is made for each query and fact. Where the index has one segment and no fact was deleted since, places are read;
-else they are counted anew among the users who ask, from ids and dates alone.
+else they are counted anew among the users who ask, from ids and dates alone, and given to the postings.
 
 A search for keywords alone skips blocks: a block counts if the sum of its terms' bounds reaches the ``limit``-th best of
 the entries that the blocks name. (Facts deleted since may be among those entries: then all blocks are read.)
@@ -486,11 +486,15 @@ class Asked:
         return self.index.placed_docs(self.queries.select("user_id").distinct(), self.deleted)
 
     def candidates(self, near: DataFrame, keep: int) -> DataFrame:
+        entries, docs = self.entries(), self.docs()
+        if not self.index.clean(self.deleted):  # places of postings are those of their segment, as it was written
+            now = docs.select("user_id", "fact_id", "pos", "pos_rate")
+            entries = entries.drop("pos", "pos_rate").join(now, ["user_id", "fact_id"])
         if self.room is None:
-            return candidates(self.hits(), self.docs(), self.queries, near, keep)
+            return candidates(hits_of(entries, self.terms, self.bounded), docs, self.queries, near, keep)
         kind = self.queries.schema["query_id"].dataType.simpleString()
         wanted = self.index.spark.createDataFrame([(*key, keep + n) for key, n in self.room.items()], f"query_id {kind}, user_id string, cut long")
-        return few_candidates(self.entries(), self.terms, self.docs(), wanted, near)
+        return few_candidates(entries, self.terms, docs, wanted, near)
 
 
 def pool(asked: Asked, near: DataFrame, keep: int, as_of: datetime) -> DataFrame:

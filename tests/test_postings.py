@@ -181,6 +181,21 @@ def ranks_of(found, key="rank"):
     return {(r.query_id, r.fact_id): r[key] for r in found.collect()}
 
 
+@pytest.mark.parametrize("few_hits", [200_000, 0])
+def test_ranks_after_deletions_and_in_segments(spark, facts, vectors, queries, tmp_path, monkeypatch, few_hits):
+    """Places that are stored in a segment don't count where they were counted anew: keyword ranks are those of a scan."""
+    monkeypatch.setattr(ps, "FEW_HITS", few_hits)
+    more = made(spark, 120, 7, first=900)
+    index = ps.KeywordIndex.build(facts, str(tmp_path)).add(more)
+    whole = facts.unionByName(more)
+    deleted = whole.where("fact_id % 7 = 2 or fact_id in (900, 903)").select("user_id", "fact_id")
+    left = whole.join(deleted, ["user_id", "fact_id"], "left_anti").select(whole.columns)
+    asked = ps.Asked.of(index, queries, deleted)
+    near = rt.vector_rank(left, vectors, asked.queries, 50).select("query_id", "user_id", "fact_id", "rank")
+    found, scanned = ranks_of(asked.candidates(near, 40), "bm25_rank"), ranks_of(rt.bm25_rank(rt.tokens_of(left), queries))
+    assert len(found) > 300 and found == {key: scanned[key] for key in found}
+
+
 def test_hits_of_one_score_are_not_one_group(spark, tmp_path, monkeypatch):
     """Facts of one text have one score; their ranks are found in ranges of places, and are those of a scan."""
     monkeypatch.setattr(ps, "FEW_HITS", 0)
